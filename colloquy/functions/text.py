@@ -11,6 +11,10 @@ WHITESPACE = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 SAME_LINE = r"[^\n\r\x{2028}\x{2029}]"
 
 # Markup escapes in the order they are applied.
@@ -18,9 +22,11 @@ ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br/>"))
 
 
 def strip(text: Column) -> Column:
-    # The lookbehind keeps a long inner run of white space from being retried at each of its characters.
-    head = F.regexp_replace(text, rf"\A{WHITESPACE}+", "")
-    return F.regexp_replace(head, rf"(?<!{WHITESPACE}){WHITESPACE}+\z", "")
+    return F.trim(text, F.lit(WHITESPACE_CHARACTERS))
+
+
+def is_blank(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE_CHARACTERS)) == ""
 
 
 def escape_markup(text: Column) -> Column:

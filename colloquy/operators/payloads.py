@@ -41,30 +41,24 @@ def normalise_payloads(
         }
     )
     names = [f"_field{i}" for i in range(len(fields))]
-    read = parsed.withColumns(
-        {n: F.try_variant_get("_list", f"$[0]['{f}']", "variant") for n, f in zip(names, fields)}
-        | {
-            "_id": F.try_variant_get("_list", f"$[0]['{ID_FIELD}']", "variant"),
-            "_root": F.schema_of_variant(F.try_variant_get("_list", "$[0]", "variant")),
-        }
-    )
-    readable = F.col("_whole") & (F.col("_root") != "VOID")
-    readable = F.coalesce(readable, F.lit(False))
+    found = {n: F.try_variant_get("_list", f"$[0]['{f}']", "variant") for n, f in zip(names, fields)}
+    found["_id"] = F.try_variant_get("_list", f"$[0]['{ID_FIELD}']", "variant")
+    is_null = F.is_variant_null(F.try_variant_get("_list", "$[0]", "variant"))
+    readable = F.col("_whole") & F.col("_list").isNotNull() & ~is_null
+    read = parsed.withColumns(found | {"_readable": readable})
+    typed = read.withColumns({f"{n}_kind": F.schema_of_variant(n) for n in found})
     kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(names):
-        value = F.col(name)
-        kind = F.when(_counts(value), F.schema_of_variant(value)).otherwise(kind)
-        text = F.when(_counts(value), F.try_variant_get(value, "$", "string")).otherwise(text)
-    judged = read.withColumns(
+        kind = F.when(_counts(name), F.col(f"{name}_kind")).otherwise(kind)
+        text = F.when(_counts(name), F.try_variant_get(name, "$", "string")).otherwise(text)
+    judged = typed.withColumns({"_kind": kind, "_text": text}).withColumns(
         {
-            "_kind": kind,
-            "_text": text,
             "conversation_id": F.when(
-                readable & _counts(F.col("_id")), F.try_variant_get("_id", "$", "string")
+                F.col("_readable") & _counts("_id"), F.try_variant_get("_id", "$", "string")
             ),
-            "status": F.when(~readable, "bad_body")
-            .when(kind.isNull(), "fallback")
-            .when(kind == "STRING", "ok")
+            "status": F.when(~F.col("_readable"), "bad_body")
+            .when(F.col("_kind").isNull(), "fallback")
+            .when(F.col("_kind") == "STRING", "ok")
             .otherwise("bad_type"),
         }
     )
@@ -73,17 +67,17 @@ def normalise_payloads(
         .when(F.col("status") == "fallback", fallback)
         .otherwise(failure)
     )
-    return judged.withColumn("reply", reply).drop(
-        "_list", "_whole", "_root", "_id", "_kind", "_text", *names
+    return judged.withColumn("reply", reply).select(
+        *bodies.columns, "conversation_id", "reply", "status"
     )
 
 
-def _counts(value: Column) -> Column:
+def _counts(name: str) -> Column:
     """Whether a JSON value is present and neither null, "", 0 nor false."""
-    kind = F.schema_of_variant(value)
+    value, kind = F.col(name), F.col(f"{name}_kind")
     empty = (
-        F.when(kind == "VOID", True)
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string") == "")
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string") == "")
+        .when(kind == "VOID", True)
         .when(kind == "BOOLEAN", ~F.try_variant_get(value, "$", "boolean"))
         .when(
             (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")),

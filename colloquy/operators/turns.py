@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.functions.text import strip
+from colloquy.functions.text import is_blank, strip
 from colloquy.operators.chunks import CHUNK, Chunks, Fold, measure, released, scan
 
 TURN_KEY = "conv_id"
@@ -14,9 +14,10 @@ TURN_ORDER = ("turn",)
 def clean_turns(turns: DataFrame) -> DataFrame:
     """Strip user text and drop user turns left empty; replies stay as they are."""
     asked = F.col("role") == "user"
-    return turns.withColumn(
-        "text", F.when(asked, strip(F.col("text"))).otherwise(F.col("text"))
-    ).where(~asked | (F.col("text") != ""))
+    text = F.col("text")
+    return turns.where(~asked | ~is_blank(text)).withColumn(
+        "text", F.when(asked, strip(text)).otherwise(text)
+    )
 
 
 def turn_chunks(turns: DataFrame, max_rows: int | None = None) -> Chunks:
