@@ -1,4 +1,4 @@
-"""Forecasts in user messages and positions in replies."""
+"""Patterns of forecasts in user messages and of positions in replies."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from pyspark.sql import Column, functions as F
 from colloquy.functions.text import SAME_LINE, WHITESPACE
 
 
-def _captured(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
 def _slug(entity: str) -> str:
     return re.sub(r"\W+", "_", entity.lower())
 
@@ -25,36 +21,18 @@ def position_name(entity: str) -> str:
     return f"position_{_slug(entity)}"
 
 
-def forecasts(lowered: Column, entities) -> dict[str, Column]:
-    """Forecast place per entity, all null unless every entity has one.
-
-    `lowered` is the lower-cased message. A number after the name is tried before a marked number
-    in front of it, and nothing is read from a message without the letter p.
-    """
-    places = {}
-    for entity in entities:
-        name = re.escape(entity.lower())
-        after = _captured(lowered, rf"{name}{WHITESPACE}*[p#]?([0-9]+)")
-        before = _captured(lowered, rf"[p#]([0-9]+){SAME_LINE}*{name}")
-        places[entity] = F.coalesce(after, before)
-    worth_reading = F.contains(lowered, F.lit("p"))
-    for entity in entities:
-        worth_reading = worth_reading & F.contains(lowered, F.lit(entity.lower()))
-    complete = worth_reading
-    for place in places.values():
-        complete = complete & place.isNotNull()
-    return {
-        forecast_name(entity): F.when(complete, F.concat(F.lit("P"), place))
-        for entity, place in places.items()
-    }
-
-
-def positions(reply: Column, entities) -> dict[str, Column]:
-    """First place named after each entity on the same line of a reply; names match by case."""
-    found = {}
-    for entity in entities:
-        place = _captured(reply, rf"{re.escape(entity)}{SAME_LINE}*?[Pp]([0-9]+)")
-        found[position_name(entity)] = F.when(
-            F.contains(reply, F.lit(entity)), F.concat(F.lit("P"), place)
-        )
-    return found
+def number_after(lowered: Column, entity: str) -> Column:
+    """Digits after a name, with or without a mark; empty when there are none."""
+    return F.regexp_extract(
+        lowered, rf"{re.escape(entity.lower())}{WHITESPACE}*[p#]?([0-9]+)", 1
+    )
+
+
+def number_before(lowered: Column, entity: str) -> Column:
+    """Marked digits before a name on its line; empty when there are none."""
+    return F.regexp_extract(lowered, rf"[p#]([0-9]+){SAME_LINE}*{re.escape(entity.lower())}", 1)
+
+
+def place_in_reply(reply: Column, entity: str) -> Column:
+    """Digits of the first place after a name on its line, the name's case kept; else empty."""
+    return F.regexp_extract(reply, rf"{re.escape(entity)}{SAME_LINE}*?[Pp]([0-9]+)", 1)

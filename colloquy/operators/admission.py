@@ -16,7 +16,8 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from colloquy.operators.chunks import CHUNK, Chunks, Fold, assign, locate, measure, scan
 
@@ -24,16 +25,14 @@ FOREVER = 2**63 - 1
 NEVER = -FOREVER
 
 
-def ticks(df: DataFrame, name: str) -> Column:
-    """A time or number column as BIGINT; times in microseconds."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(kind, T.TimestampNTZType):
-        # By subtraction, which unlike a cast to TIMESTAMP does not depend on the session time zone.
-        since = F.col(name) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return (since.cast("interval second").cast("decimal(24,6)") * 1000000).cast("bigint")
-    return F.col(name).cast("bigint")
+def check_times(sends: DataFrame, start: str, end: str) -> None:
+    kinds = [sends.schema[start].dataType, sends.schema[end].dataType]
+    timed = (T.TimestampType, T.TimestampNTZType)
+    if not (
+        kinds[0] == kinds[1] and isinstance(kinds[0], timed)
+        or all(isinstance(k, T.IntegralType) for k in kinds)
+    ):
+        raise ValueError(f"{start} and {end} must be timestamps of one type, or integers")
 
 
 def admit_sends(
@@ -49,56 +48,73 @@ def admit_sends(
     A send without an end is pending for good. `start` and `id` must not be null, and (key, start, id)
     must be unique.
     """
-    begin = ticks(sends, start)
-    finish = F.greatest(begin, F.coalesce(ticks(sends, end), F.lit(FOREVER)))
-    timed = sends.withColumns({"_start": begin, "_end": finish})
-    chunks = measure(timed, key, ("_start", id), max_rows)
-    rows = assign(timed, chunks)
-    if chunks.bounds is None:
-        rows = rows.withColumn("_enter", F.lit(NEVER))
-    else:
-        entries = _entries(rows, chunks, id, max_rows)
-        # Only a key that was cut has chunks, and a chunk without an entry is skipped as a whole.
-        entered = F.coalesce(F.col("_enter"), F.lit(FOREVER))
-        rows = chunks.join_chunks(rows, entries).withColumn(
-            "_enter", F.when(F.col(CHUNK).isNull(), NEVER).otherwise(entered)
-        )
-    first = F.row_number().over(chunks.window(rows)) == 1
-    ordered = rows.withColumn("_first", first).select(
-        *sends.columns, "_start", "_end", "_enter", "_first"
-    )
+    check_times(sends, start, end)
+    chunks = measure(sends, key, (start, id), max_rows)
+    rows = assign(sends, chunks)
+    if chunks.bounds is not None:
+        entries = _entries(rows, chunks, start, end, id, max_rows)
+        rows = chunks.join_chunks(rows, entries)
+    groups = chunks.groups(rows)
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, start, id)
     schema = T.StructType([*sends.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return ordered.mapInArrow(_walk, schema)
+    return ordered.mapInArrow(_walker(sends.columns, groups, start, end), schema)
 
 
-def decide(starts, ends, firsts, enters, free: int) -> tuple[np.ndarray, int]:
-    """Walk sends in order; `free` is the state before them, and is returned as it is after them."""
-    admitted = np.zeros(len(starts), dtype=bool)
-    rows = zip(starts.tolist(), ends.tolist(), firsts.tolist(), enters.tolist())
-    for i, (start, end, first, enter) in enumerate(rows):
-        if first:
-            free = enter
+def decide(starts: list[int], ends: list[int], free: int) -> tuple[list[bool], int]:
+    """Walk sends in order from the state `free`; returns the verdicts and the state after them."""
+    admitted = []
+    for start, end in zip(starts, ends):
+        admitted.append(start >= free)
         if start >= free:
-            admitted[i] = True
             free = end
     return admitted, free
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    free = FOREVER
-    for batch in batches:
-        starts, ends, enters, firsts = (
-            batch.column(name).to_numpy(zero_copy_only=False)
-            for name in ("_start", "_end", "_enter", "_first")
-        )
-        admitted, free = decide(starts, ends, firsts, enters, free)
-        kept = batch.select([n for n in batch.schema.names if n not in _WORK])
-        yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(admitted)], names=[*kept.schema.names, "admitted"]
-        )
+def _ticks(starts: pa.ChunkedArray | pa.Array, ends) -> tuple[np.ndarray, np.ndarray]:
+    """Times as integers; an end before its start frees the key at the start."""
+    starts = starts.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    ends = ends.cast(pa.int64()).fill_null(FOREVER).to_numpy(zero_copy_only=False)
+    return starts, np.maximum(starts, ends)
+
+
+def _walker(columns: list[str], groups: list[str], start: str, end: str):
+    """Task that walks rows sorted by group and carries the state over from batch to batch."""
 
+    def entry(batch: pa.RecordBatch, row: int) -> int:
+        # Only a key that was cut has chunks, and a chunk without an entry is skipped as a whole.
+        if len(groups) == 1 or not batch.column(groups[1])[row].is_valid:
+            return NEVER
+        entered = batch.column("_enter")[row]
+        return entered.as_py() if entered.is_valid else FOREVER
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, free = None, NEVER
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, ends = _ticks(batch.column(start), batch.column(end))
+            cuts = {0}
+            for name in groups:
+                cuts.update(_run_ends(batch.column(name)))
+            cuts = sorted(cuts)
+            starts, ends, admitted = starts.tolist(), ends.tolist(), []
+            for a, b in zip(cuts, cuts[1:]):
+                current = tuple(batch.column(name)[a].as_py() for name in groups)
+                if current != group:
+                    group, free = current, entry(batch, a)
+                verdicts, free = decide(starts[a:b], ends[a:b], free)
+                admitted += verdicts
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in columns), pa.array(admitted, pa.bool_())],
+                names=[*columns, "admitted"],
+            )
+
+    return walk
 
-_WORK = ("_start", "_end", "_enter", "_first")
+
+def _run_ends(values: pa.Array) -> list[int]:
+    """Where runs of equal neighbours end; nulls are equal."""
+    return pc.run_end_encode(values).run_ends.to_pylist()
 
 
 def chunk_steps(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,27 +137,26 @@ def chunk_steps(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return upto[turning], exits[turning]
 
 
-def _entries(rows: DataFrame, chunks: Chunks, id: str, max_rows: int | None) -> DataFrame:
+def _entries(
+    rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, max_rows: int | None
+) -> DataFrame:
     """(key, chunk, _enter) for each chunk in which a send is admitted."""
     key = chunks.key
-    cut = rows.where(F.col(CHUNK).isNotNull()).select(key, CHUNK, "_start", "_end", id)
-    kind = cut.schema[key].dataType
+    cut = rows.where(F.col(CHUNK).isNotNull()).select(key, CHUNK, start, end, id)
     schema = T.StructType(
         [
-            T.StructField(key, kind),
-            T.StructField(CHUNK, cut.schema[CHUNK].dataType),
+            cut.schema[key],
+            cut.schema[CHUNK],
             T.StructField("_upto", T.LongType()),
             T.StructField("_exit", T.LongType()),
         ]
     )
 
     def tabulate(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_start", "ascending"), (id, "ascending")])
-        upto, exits = chunk_steps(table["_start"].to_numpy(), table["_end"].to_numpy())
-        place = table.slice(0, 1).take([0] * len(upto)) if len(upto) else table.slice(0, 0)
-        return pa.table(
-            {key: place[key], CHUNK: place[CHUNK], "_upto": upto, "_exit": exits}
-        )
+        table = table.sort_by([(start, "ascending"), (id, "ascending")])
+        upto, exits = chunk_steps(*_ticks(table[start].combine_chunks(), table[end].combine_chunks()))
+        place = table.select([key, CHUNK]).take(np.zeros(len(upto), dtype=np.int64))
+        return place.append_column("_upto", [upto]).append_column("_exit", [exits])
 
     # A chunk is bounded by construction, so it may be one group.
     steps = cut.groupBy(key, CHUNK).applyInArrow(tabulate, schema).checkpoint()
@@ -154,10 +169,10 @@ def _entries(rows: DataFrame, chunks: Chunks, id: str, max_rows: int | None) ->
         .select(F.col(key).alias("_key"), CHUNK, F.lag("_to").over(along).alias("_from"), "_to")
     )
     # A node is a time at which a chunk leaves its key free; the start is left by a chunk before all.
-    start = steps.groupBy(key).agg(F.lit(-1).alias("_from_chunk"), F.lit(NEVER).alias("_time"))
+    before = steps.groupBy(key).agg(F.lit(-1).alias("_from_chunk"), F.lit(NEVER).alias("_time"))
     left = steps.select(key, F.col(CHUNK).alias("_from_chunk"), F.col("_exit").alias("_time"))
     probes = (
-        locate(start.unionByName(left.distinct()), chunks, spans, F.col("_time"), "_felt")
+        locate(before.unionByName(left.distinct()), chunks, spans, F.col("_time"), "_felt")
         .where(F.col("_felt").isNotNull())
         .withColumn("_felt", F.greatest(F.col("_felt"), F.col("_from_chunk") + 1))
     )

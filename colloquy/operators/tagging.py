@@ -52,16 +52,61 @@ def mode_signal(
 def extract_forecast(
     messages: DataFrame, entities: Sequence[str] = ENTITIES, text: str = "message"
 ) -> DataFrame:
-    """Messages with one `forecast_…` column per entity, all null unless all are named."""
-    lowered = messages.withColumn(LOWERED, F.lower(text))
-    return lowered.withColumns(signals.forecasts(F.col(LOWERED), entities)).drop(LOWERED)
+    """Messages with one `forecast_…` column per entity, all null unless all are named.
+
+    A number after the name is tried before a marked number in front of it, and a message without the
+    letter p is not read.
+    """
+    lowered = F.col(LOWERED)
+    worth_reading = F.contains(lowered, F.lit("p"))
+    for entity in entities:
+        worth_reading = worth_reading & F.contains(lowered, F.lit(entity.lower()))
+    # Each pattern is a column of its own, so that it runs once and only where it is needed.
+    steps = messages.withColumn(LOWERED, F.lower(text)).withColumns(
+        {
+            f"_after{i}": F.when(worth_reading, signals.number_after(lowered, e)).otherwise("")
+            for i, e in enumerate(entities)
+        }
+    )
+    steps = steps.withColumns(
+        {
+            f"_place{i}": F.when(F.col(f"_after{i}") != "", F.col(f"_after{i}"))
+            .when(worth_reading, signals.number_before(lowered, e))
+            .otherwise("")
+            for i, e in enumerate(entities)
+        }
+    )
+    complete = F.lit(True)
+    for i in range(len(entities)):
+        complete = complete & (F.col(f"_place{i}") != "")
+    places = {
+        signals.forecast_name(e): F.when(complete, F.concat(F.lit("P"), F.col(f"_place{i}")))
+        for i, e in enumerate(entities)
+    }
+    work = [f"_{step}{i}" for step in ("after", "place") for i in range(len(entities))]
+    return steps.withColumns(places).drop(LOWERED, *work)
 
 
 def extract_positions(
     messages: DataFrame, entities: Sequence[str] = ENTITIES, text: str = "reply"
 ) -> DataFrame:
     """Replies with one `position_…` column per entity, each found by itself."""
-    return messages.withColumns(signals.positions(F.col(text), entities))
+    reply = F.col(text)
+    found = messages.withColumns(
+        {
+            f"_place{i}": F.when(
+                F.contains(reply, F.lit(e)), signals.place_in_reply(reply, e)
+            ).otherwise("")
+            for i, e in enumerate(entities)
+        }
+    )
+    places = {
+        signals.position_name(e): F.when(
+            F.col(f"_place{i}") != "", F.concat(F.lit("P"), F.col(f"_place{i}"))
+        )
+        for i, e in enumerate(entities)
+    }
+    return found.withColumns(places).drop(*[f"_place{i}" for i in range(len(entities))])
 
 
 def attach_labels(

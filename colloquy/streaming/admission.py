@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from colloquy.operators.admission import FOREVER, NEVER, decide, ticks
+from colloquy.operators.admission import FOREVER, NEVER, check_times, decide
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,10 +25,7 @@ class Admission(StatefulProcessor):
         free = self.free_at.get()[0] if self.free_at.exists() else NEVER
         # Rows of a key come in no fixed order within a micro-batch.
         batch = pd.concat(list(rows)).sort_values(["begin", "send"], kind="stable")
-        idle = np.zeros(len(batch), dtype=bool)
-        admitted, free = decide(
-            batch["begin"].to_numpy(), batch["finish"].to_numpy(), idle, idle, free
-        )
+        admitted, free = decide(batch["begin"].tolist(), batch["finish"].tolist(), free)
         self.free_at.update((int(free),))
         yield pd.DataFrame(
             {"send": batch["send"].to_numpy(), "session": key[0], "admitted": admitted}
@@ -39,6 +35,22 @@ class Admission(StatefulProcessor):
         pass
 
 
+def _ticks(sends: DataFrame, name: str) -> Column:
+    """A time as BIGINT, in microseconds."""
+    time = F.col(name)
+    kind = sends.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(time)
+    if isinstance(kind, T.TimestampNTZType):
+        # From its parts, which unlike a cast to TIMESTAMP do not depend on the session time zone.
+        minutes = (
+            F.unix_date(time.cast("date")).cast("bigint") * 1440 + F.hour(time) * 60 + F.minute(time)
+        )
+        seconds = F.extract(F.lit("SECOND"), time)
+        return minutes * 60000000 + (seconds * 1000000).cast("bigint")
+    return time.cast("bigint")
+
+
 def admit_stream(
     sends: DataFrame, key: str = "key", start: str = "start", end: str = "end", id: str = "id"
 ) -> DataFrame:
@@ -49,12 +61,13 @@ def admit_stream(
     `stream_files`. The state is one number per key and is kept for good.
     """
     sends.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    begin = ticks(sends, start)
+    check_times(sends, start, end)
+    begin = _ticks(sends, start)
     timed = sends.select(
         F.col(key).alias("session"),
         F.col(id).alias("send"),
         begin.alias("begin"),
-        F.greatest(begin, F.coalesce(ticks(sends, end), F.lit(FOREVER))).alias("finish"),
+        F.greatest(begin, F.coalesce(_ticks(sends, end), F.lit(FOREVER))).alias("finish"),
     )
     schema = T.StructType(
         [
