@@ -30,9 +30,16 @@ def number_after(lowered: Column, entity: str) -> Column:
 
 def number_before(lowered: Column, entity: str) -> Column:
     """Marked digits before a name on its line; empty when there are none."""
-    return F.regexp_extract(lowered, rf"[p#]([0-9]+){SAME_LINE}*{re.escape(entity.lower())}", 1)
+    return _extract_on_line(lowered, r"[p#]([0-9]+)", "*", re.escape(entity.lower()))
 
 
 def place_in_reply(reply: Column, entity: str) -> Column:
     """Digits of the first place after a name on its line, the name's case kept; else empty."""
-    return F.regexp_extract(reply, rf"{re.escape(entity)}{SAME_LINE}*?[Pp]([0-9]+)", 1)
+    return _extract_on_line(reply, re.escape(entity), "*?", r"[Pp]([0-9]+)")
+
+
+def _extract_on_line(text: Column, head: str, gap: str, tail: str) -> Column:
+    # The dot is several times faster than the class, and differs from it only in U+0085.
+    exact = F.regexp_extract(text, f"{head}{SAME_LINE}{gap}{tail}", 1)
+    dotted = F.regexp_extract(text, f"{head}.{gap}{tail}", 1)
+    return F.when(F.contains(text, F.lit("\u0085")), exact).otherwise(dotted)

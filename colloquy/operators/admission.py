@@ -6,8 +6,9 @@ happens to a row depends on all earlier decisions, so rows are walked in order,
 A key too large for one task is cut into chunks. A chunk is a function from the time at which it finds
 the key free to the time at which it leaves it free, and that function is tabulated per chunk, in
 parallel. The few distinct times at which chunks leave their key are then linked to the chunk where each
-is next felt, and the links that start at the first chunk are followed by pointer doubling. This gives
-every chunk its true entry time, and the ordinary walk runs per chunk.
+is next felt, and the links are followed from the first chunk on, in one pass per key, or by pointer
+doubling where a key has too many links for one task. This gives every chunk its true entry time, and the
+ordinary walk runs per chunk.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from colloquy.operators.chunks import CHUNK, Chunks, Fold, assign, locate, measure, scan
+from colloquy.operators.chunks import CHUNK, MAX_ROWS, Chunks, Fold, assign, locate, measure, scan
 
 FOREVER = 2**63 - 1
 NEVER = -FOREVER
@@ -202,10 +203,34 @@ def _entries(
         .select(key, F.col("_from_chunk").alias("_from"), "_time", "_felt", "_next")
         .checkpoint()
     )
-    reached = _reachable(links, chunks)
-    return _on_node(chunks, links, reached).select(
-        key, F.col("_felt").alias(CHUNK), F.col("_time").alias("_enter")
-    )
+    most = links.groupBy(key).count().agg(F.max("count")).first()[0]
+    limit = MAX_ROWS if max_rows is None else max_rows
+    if most <= limit:
+        ordered = links.repartition(key).sortWithinPartitions(key, "_from")
+        path = ordered.mapInArrow(_follower(key), links.schema)
+    else:
+        path = _on_node(chunks, links, _reachable(links, chunks))
+    return path.select(key, F.col("_felt").alias(CHUNK), F.col("_time").alias("_enter"))
+
+
+def _follower(key: str):
+    """Task that follows each key's links from its start; links lead to later chunks, so once is enough."""
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, node = object(), None
+        for batch in batches:
+            taken = []
+            names = (key, "_from", "_time", "_felt", "_next")
+            links = zip(*(batch.column(name).to_pylist() for name in names))
+            for i, (current, chunk, time, felt, after) in enumerate(links):
+                if current != group:
+                    group, node = current, (-1, NEVER)
+                if (chunk, time) == node:
+                    taken.append(i)
+                    node = (felt, after)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return follow
 
 
 def _on_node(chunks: Chunks, links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -393,9 +393,9 @@ def transcripts(spark, folder):
 @query(f"WITH {TURNS}, {CLEANED} {_transcript('conv_id', 'cleaned', 'turn')}")
 def transcript_files(spark, folder):
     turns = turns_of(spark, folder)
-    path = new_folder(spark, "transcripts")
-    shown = transcript(clean_turns(turns), chunks=turn_chunks(turns))
-    write_transcript(shown.drop("turn"), path, buckets=16)
+    path, chunks = new_folder(spark, "transcripts"), turn_chunks(turns)
+    shown = transcript(clean_turns(turns), chunks=chunks)
+    write_transcript(shown.drop("turn"), path, chunks=chunks)
     return spark.read.parquet(path).drop("bucket")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from colloquy.operators.chunks import Chunks
+
 TURN_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 # Role names of the log and the role they stand for; other roles are not part of a conversation.
 ROLES = {"user": "user", "assistant": "ai", "ai": "ai"}
@@ -42,21 +44,22 @@ def stream_turns(
 
 
 def write_transcript(
-    transcript: DataFrame, path: str, buckets: int = 256, files: int | None = None
+    transcript: DataFrame, path: str, buckets: int | None = None, chunks: Chunks | None = None
 ) -> None:
     """Transcript by conversation bucket, each file in reading order.
 
-    Rows are range partitioned down to the message, so a long conversation fills several files, which follow
-    each other by name. `files` is the number of ranges, by default the shuffle partitions.
+    By default there are as many buckets as shuffle partitions, and they agree with the partitioning by
+    conversation that the transcript comes with: rows are sorted where they are, and a task writes its
+    bucket. Where `chunks` says that conversations were cut, or with another number of buckets, rows are
+    range partitioned down to the message, and a long conversation fills several files.
     """
-    bucketed = transcript.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
+    partitions = int(transcript.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or partitions
     order = ["bucket", "conv_id", "number"]
-    ranged = (
-        bucketed.repartitionByRange(files, *order)
-        if files
-        else bucketed.repartitionByRange(*order)
-    )
-    ranged.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    bucketed = transcript.withColumn("bucket", F.pmod(F.hash("conv_id"), F.lit(count)))
+    if partitions % count or (chunks is not None and chunks.bounds is not None):
+        bucketed = bucketed.repartitionByRange(*order)
+    bucketed.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
 
 
 def write_requests(requests: DataFrame, path: str, record: str = "record") -> None:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import admission
 from colloquy.operators.admission import admit_sends
 
 SCHEMA = "id BIGINT, key BIGINT, start BIGINT, end BIGINT"
@@ -64,6 +65,22 @@ def test_split_key_equals_brute_force(spark, name):
     assert verdicts(admit_sends(sends, max_rows=60)) == expected
 
 
+@pytest.mark.parametrize(
+    "name, unused", [("parity", "_reachable"), ("constant", "_follower")], ids=["walk", "doubling"]
+)
+def test_links_are_followed_either_way(spark, monkeypatch, name, unused):
+    monkeypatch.setattr(admission, unused, None)
+    rows = shape(name, 1500, random.Random(name))
+    got = verdicts(admit_sends(spark.createDataFrame(rows, SCHEMA), max_rows=60))
+    assert got == brute_force(rows)
+
+
+def test_times_must_agree(spark):
+    df = spark.sql("SELECT 1 AS id, 1 AS key, 1.5D AS start, 2.5D AS end")
+    with pytest.raises(ValueError):
+        admit_sends(df)
+
+
 def test_times_and_payload_columns_survive(spark):
     df = spark.sql(
         "SELECT id, 'k' AS key, timestamp_ntz'2024-03-31 01:59:00' + make_interval(0,0,0,0,0,id) AS start,"

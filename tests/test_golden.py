@@ -69,6 +69,7 @@ POSITIONS = {
     "Albon\nP7": (None, None),
     "Albon\rP7": (None, None),
     "Albon\u2028P7": (None, None),
+    "Albon\u0085P7": ("P7", None),
     "albon P3": (None, None),
     "Albon\nAlbon p2": ("P2", None),
 }
