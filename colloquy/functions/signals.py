@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from colloquy.functions.text import SAME_LINE, WHITESPACE
+from colloquy.functions.text import WHITESPACE
 
 
 def _slug(entity: str) -> str:
@@ -21,6 +21,12 @@ def position_name(entity: str) -> str:
     return f"position_{_slug(entity)}"
 
 
+def by_line(text: Column) -> Column:
+    """Text for the patterns below. Their dot ends at U+0085, which is no line end here; it is covered up by a
+    character that no pattern reads."""
+    return F.replace(text, F.lit("\u0085"), F.lit("_"))
+
+
 def number_after(lowered: Column, entity: str) -> Column:
     """Digits after a name, with or without a mark; empty when there are none."""
     return F.regexp_extract(
@@ -30,16 +36,9 @@ def number_after(lowered: Column, entity: str) -> Column:
 
 def number_before(lowered: Column, entity: str) -> Column:
     """Marked digits before a name on its line; empty when there are none."""
-    return _extract_on_line(lowered, r"[p#]([0-9]+)", "*", re.escape(entity.lower()))
+    return F.regexp_extract(lowered, rf"[p#]([0-9]+).*{re.escape(entity.lower())}", 1)
 
 
 def place_in_reply(reply: Column, entity: str) -> Column:
     """Digits of the first place after a name on its line, the name's case kept; else empty."""
-    return _extract_on_line(reply, re.escape(entity), "*?", r"[Pp]([0-9]+)")
-
-
-def _extract_on_line(text: Column, head: str, gap: str, tail: str) -> Column:
-    # The dot is several times faster than the class, and differs from it only in U+0085.
-    exact = F.regexp_extract(text, f"{head}{SAME_LINE}{gap}{tail}", 1)
-    dotted = F.regexp_extract(text, f"{head}.{gap}{tail}", 1)
-    return F.when(F.contains(text, F.lit("\u0085")), exact).otherwise(dotted)
+    return F.regexp_extract(reply, rf"{re.escape(entity)}.*?[Pp]([0-9]+)", 1)

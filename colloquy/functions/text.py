@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# The characters of ECMAScript white space, and any character but a line end.
+# The characters of ECMAScript white space, and any character but a line end. The dot of Java
+# would also end at U+0085, that of other engines not at all or elsewhere.
 WHITESPACE = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

@@ -46,15 +46,18 @@ def normalise_payloads(
     is_null = F.is_variant_null(F.try_variant_get("_list", "$[0]", "variant"))
     readable = F.col("_whole") & F.col("_list").isNotNull() & ~is_null
     read = parsed.withColumns(found | {"_readable": readable})
-    typed = read.withColumns({f"{n}_kind": F.schema_of_variant(n) for n in found})
+    typed = read.withColumns(
+        {f"{n}_kind": F.schema_of_variant(n) for n in found}
+        | {f"{n}_text": F.try_variant_get(n, "$", "string") for n in found}
+    )
     kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(names):
         kind = F.when(_counts(name), F.col(f"{name}_kind")).otherwise(kind)
-        text = F.when(_counts(name), F.try_variant_get(name, "$", "string")).otherwise(text)
+        text = F.when(_counts(name), F.col(f"{name}_text")).otherwise(text)
     judged = typed.withColumns({"_kind": kind, "_text": text}).withColumns(
         {
             "conversation_id": F.when(
-                F.col("_readable") & _counts("_id"), F.try_variant_get("_id", "$", "string")
+                F.col("_readable") & _counts("_id"), F.col("_id_text")
             ),
             "status": F.when(~F.col("_readable"), "bad_body")
             .when(F.col("_kind").isNull(), "fallback")
@@ -74,18 +77,13 @@ def normalise_payloads(
 
 def _counts(name: str) -> Column:
     """Whether a JSON value is present and neither null, "", 0 nor false."""
-    value, kind = F.col(name), F.col(f"{name}_kind")
+    kind, text = F.col(f"{name}_kind"), F.col(f"{name}_text")
     empty = (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string") == "")
-        .when(kind == "VOID", True)
-        .when(kind == "BOOLEAN", ~F.try_variant_get(value, "$", "boolean"))
-        .when(
-            (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")),
-            F.try_variant_get(value, "$", "double") == 0,
-        )
-        .otherwise(False)
+        F.when(kind == "STRING", text == "")
+        .when(kind == "BOOLEAN", text == "false")
+        .otherwise((kind == "VOID") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
     )
-    return value.isNotNull() & ~empty
+    return F.col(name).isNotNull() & ~empty
 
 
 def outcome_exchanges(outcomes: DataFrame) -> DataFrame:

@@ -16,7 +16,12 @@ from colloquy.functions.rules import (
     mode_text,
 )
 from colloquy.operators.chunks import CHUNK, Chunks, Fold, measure, released, scan
-from colloquy.operators.tagging import extract_forecast, extract_positions, mode_signal
+from colloquy.operators.tagging import (
+    extract_forecast,
+    extract_positions,
+    mode_signal,
+    with_lowered,
+)
 from colloquy.operators.turns import TURN_KEY, TURN_ORDER
 
 
@@ -34,7 +39,8 @@ def exchange_signals(
             "reply": F.when(F.col("answered"), F.col("reply")),
         }
     )
-    told = extract_positions(extract_forecast(mode_signal(heard, mode_rules), entities), entities)
+    moods = mode_signal(with_lowered(heard), mode_rules)
+    told = extract_positions(extract_forecast(moods, entities), entities)
     kept = [c for c in (CHUNK,) if c in exchanges.columns]
     return told.select(
         key,

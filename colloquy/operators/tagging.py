@@ -24,6 +24,17 @@ from colloquy.functions.rules import (
 LOWERED = "_lowered"
 
 
+def with_lowered(messages: DataFrame, text: str = "message") -> DataFrame:
+    """Messages with their text in lower case, for several of the jobs below to share."""
+    if LOWERED in messages.columns:
+        return messages
+    return messages.withColumn(LOWERED, F.lower(text))
+
+
+def _dropped(result: DataFrame, given: DataFrame) -> DataFrame:
+    return result if LOWERED in given.columns else result.drop(LOWERED)
+
+
 def tag_intent(
     messages: DataFrame,
     rules: Sequence[Rule] = INTENT_RULES,
@@ -33,9 +44,8 @@ def tag_intent(
     whole_words: bool = False,
 ) -> DataFrame:
     """Messages with the label of the first rule that matches, else `default`."""
-    lowered = messages.withColumn(LOWERED, F.lower(text))
     tagged = first_match(F.col(LOWERED), rules, default, whole_words)
-    return lowered.withColumn(into, tagged).drop(LOWERED)
+    return _dropped(with_lowered(messages, text).withColumn(into, tagged), messages)
 
 
 def mode_signal(
@@ -57,12 +67,13 @@ def extract_forecast(
     A number after the name is tried before a marked number in front of it, and a message without the
     letter p is not read.
     """
-    lowered = F.col(LOWERED)
+    lowered = F.col("_lines")
     worth_reading = F.contains(lowered, F.lit("p"))
     for entity in entities:
         worth_reading = worth_reading & F.contains(lowered, F.lit(entity.lower()))
     # Each pattern is a column of its own, so that it runs once and only where it is needed.
-    steps = messages.withColumn(LOWERED, F.lower(text)).withColumns(
+    lines = with_lowered(messages, text).withColumn("_lines", signals.by_line(F.col(LOWERED)))
+    steps = lines.withColumns(
         {
             f"_after{i}": F.when(worth_reading, signals.number_after(lowered, e)).otherwise("")
             for i, e in enumerate(entities)
@@ -84,15 +95,15 @@ def extract_forecast(
         for i, e in enumerate(entities)
     }
     work = [f"_{step}{i}" for step in ("after", "place") for i in range(len(entities))]
-    return steps.withColumns(places).drop(LOWERED, *work)
+    return _dropped(steps.withColumns(places).drop("_lines", *work), messages)
 
 
 def extract_positions(
     messages: DataFrame, entities: Sequence[str] = ENTITIES, text: str = "reply"
 ) -> DataFrame:
     """Replies with one `position_…` column per entity, each found by itself."""
-    reply = F.col(text)
-    found = messages.withColumns(
+    reply = F.col("_lines")
+    found = messages.withColumn("_lines", signals.by_line(F.col(text))).withColumns(
         {
             f"_place{i}": F.when(
                 F.contains(reply, F.lit(e)), signals.place_in_reply(reply, e)
@@ -106,7 +117,9 @@ def extract_positions(
         )
         for i, e in enumerate(entities)
     }
-    return found.withColumns(places).drop(*[f"_place{i}" for i in range(len(entities))])
+    return found.withColumns(places).drop(
+        "_lines", *[f"_place{i}" for i in range(len(entities))]
+    )
 
 
 def attach_labels(

@@ -31,6 +31,7 @@ from colloquy.operators.tagging import (
     extract_positions,
     mode_signal,
     tag_intent,
+    with_lowered,
 )
 from colloquy.operators.transcript import AGENT, USER, transcript, turns_of_outcomes
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges, turn_chunks
@@ -256,7 +257,7 @@ def intent_tags(spark, folder):
     f" {_cases('text', MODE_RULES, None)} AS mode FROM documents"
 )
 def document_tags(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = with_lowered(table(spark, folder, "documents"), "text")
     tagged = mode_signal(tag_intent(documents, text="text"), text="text")
     return tagged.select("doc_id", "intent", "mode")
 
