@@ -125,12 +125,13 @@ def chunk_steps(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     n = len(starts)
     # The next send to be admitted after send i, n when there is none in the chunk.
-    following = np.maximum(np.searchsorted(starts, ends, side="left"), np.arange(1, n + 1)).tolist()
-    exits = ends.tolist()
+    following = np.maximum(np.searchsorted(starts, ends, side="left"), np.arange(1, n + 1))
+    exits = ends.copy()
+    # Views hand out plain integers without a list of them.
+    after, left = memoryview(following), memoryview(exits)
     for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            exits[i] = exits[following[i]]
-    exits = np.asarray(exits, dtype=np.int64)
+        if after[i] < n:
+            left[i] = left[after[i]]
     # Of equal starts the first send decides; of neighbouring equal exits the last step stands for all.
     distinct = np.concatenate([[True], starts[1:] != starts[:-1]])
     upto, exits = starts[distinct], exits[distinct]

@@ -16,22 +16,28 @@ from colloquy.sources.shared import shared_folder
 
 # Rows of one key that one task may sort by itself.
 MAX_ROWS = 2_000_000
-# Most keys that are cut, and most extra chunks they are cut into. Where MAX_ROWS would need more, chunks
-# grow to the total rows over this number, so the broadcast table of cut points has at most
-# 2 * MAX_CUTS + 1 rows whatever the data.
+# Most keys that are cut, and about as many chunks. Where MAX_ROWS would need more, chunks grow to the total
+# rows over this number.
 MAX_CUTS = 200_000
+# Rows of a table of cut points that may be broadcast. It is above what MAX_CUTS allows for, so that a larger
+# table, which would be joined by shuffle, is not expected.
+BROADCAST_ROWS = 1_000_000
+# Rows looked at per chunk to place its cut.
+SAMPLE = 100
 CHUNK = "_chunk"
 
 
 class Chunks(NamedTuple):
     """Cut points of the large keys, or no `bounds` when no key is large.
 
-    `bounds` has one row (_key, _chunk, _from, _to) per chunk; `longest` is the most chunks of one key.
+    `bounds` has one row (_key, _chunk, _from, _to) per chunk, `size` rows in all; `longest` is the most
+    chunks of one key.
     """
 
     key: str
     order: tuple[str, ...]
     bounds: DataFrame | None = None
+    size: int = 0
     longest: int = 0
     null_key: bool = False
 
@@ -46,8 +52,10 @@ class Chunks(NamedTuple):
         return Window.partitionBy(*self.groups(rows)).orderBy(*self.order)
 
     def same_key(self, left: Column, right: Column) -> Column:
-        # Plain equality lets a join use the partitioning of the windows.
-        return left.eqNullSafe(right) if self.null_key else left == right
+        # Plain equality lets a join use the partitioning of the windows. Without bounds it is not known whether
+        # rows that bring their chunks have a null key.
+        unsure = self.null_key or self.bounds is None
+        return left.eqNullSafe(right) if unsure else left == right
 
     def join_chunks(self, rows: DataFrame, table: DataFrame) -> DataFrame:
         """Left join of a table with one row per chunk; its size as measured picks the strategy."""
@@ -73,9 +81,9 @@ def measure(
 ) -> Chunks:
     """Count rows per key and cut the keys above `max_rows`.
 
-    Runs one counting job over the key column. Only if a key is too large, the order columns of the
-    large keys are range partitioned, and the first row of each range becomes a cut point. The result
-    also fits any rows derived from `rows` that keep their key and order columns.
+    Runs one counting job over the key column. Only if a key is too large, some rows of the large keys are
+    looked at to place cuts between them; every row then has its chunk, wherever the cuts are. The result also
+    fits any rows derived from `rows` that keep their key and order columns.
     """
     max_rows = MAX_ROWS if max_rows is None else max_rows
     chunks = Chunks(key, tuple(order))
@@ -92,24 +100,36 @@ def measure(
     shared_folder(rows.sparkSession)
     chunks = chunks._replace(null_key=seen["null_key"])
     keys = sizes.where(F.col("_rows") > max_rows).select(F.col(key).alias("_key"))
-    starts = (
+    share = min(1.0, SAMPLE / max_rows)
+    seen_rows = (
         rows.select(key, *order)
         .join(F.broadcast(keys), chunks.same_key(F.col(key), F.col("_key")), "left_semi")
-        .repartitionByRange(-(-seen["rows"] // max_rows) + 1, key, *order)
+        .where(F.rand(17) < share)
+        .repartitionByRange(int(seen["rows"] * share / 1_000_000) + 1, key, *order)
         .withColumn("_range", F.spark_partition_id())
-        .groupBy(key, "_range")
-        .agg(F.min(chunks.position).alias("_from"))
     )
-    along = Window.partitionBy(key).orderBy("_range")
-    number = F.row_number().over(along) - 1
-    bounds = starts.select(
-        F.col(key).alias("_key"),
-        number.alias(CHUNK),
-        F.when(number > 0, F.col("_from")).alias("_from"),
-        F.lead("_from").over(along).alias("_to"),
-    ).checkpoint()
-    longest = bounds.agg(F.max(CHUNK)).first()[0] + 1
-    return chunks._replace(bounds=bounds, longest=longest)
+    nth = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    points = (
+        seen_rows.withColumn("_nth", nth)
+        .where(F.col("_nth") % max(1, int(max_rows * share)) == 0)
+        .select(F.col(key).alias("_key"), chunks.position.alias("_from"))
+        .distinct()
+        # Which rows are looked at may differ between runs of the same plan.
+        .checkpoint()
+    )
+    along = Window.partitionBy("_key").orderBy("_from")
+    later = points.select(
+        "_key", F.row_number().over(along).alias(CHUNK), "_from", F.lead("_from").over(along).alias("_to")
+    )
+    none = F.when(F.lit(False), F.min("_from"))
+    first = points.groupBy("_key").agg(
+        F.lit(0).alias(CHUNK), none.alias("_from"), F.min("_from").alias("_to")
+    )
+    bounds = first.unionByName(later).checkpoint()
+    facts = bounds.agg(F.count("*").alias("size"), F.max(CHUNK).alias("last")).first()
+    if not facts["size"]:
+        return Chunks(key, tuple(order))
+    return chunks._replace(bounds=bounds, size=facts["size"], longest=facts["last"] + 1)
 
 
 def _large(sizes: DataFrame, key: str, max_rows: int):
@@ -134,7 +154,7 @@ def locate(
 ) -> DataFrame:
     """Rows with the chunk whose [_from, _to) holds `at`, null where there is none.
 
-    `bounds` is broadcast: it has one row per chunk. The search takes two steps, a stretch of chunks and
+    `bounds` has one row per chunk and is broadcast if its counted size allows. The search takes two steps, a stretch of chunks and
     then the chunk, so that a row is compared with about twice the root of its key's chunks.
     """
     stretch = math.isqrt(chunks.longest) + 1
@@ -147,16 +167,20 @@ def locate(
         & (F.col("_from").isNull() | (at >= F.col("_from")))
         & (F.col("_to").isNull() | (at < F.col("_to")))
     )
-    near = rows.join(
-        F.broadcast(coarse.withColumnRenamed("_stretch", "_part")), inside, "left"
-    ).drop("_key", "_from", "_to")
+    near = rows.join(_small(coarse, chunks).withColumnRenamed("_stretch", "_part"), inside, "left")
     inside = inside & (F.col("_part") == F.col("_stretch"))
-    found = near.join(F.broadcast(fine.withColumnRenamed(CHUNK, "_found")), inside, "left")
+    found = near.drop("_key", "_from", "_to").join(
+        _small(fine, chunks).withColumnRenamed(CHUNK, "_found"), inside, "left"
+    )
     return found.withColumn(into, F.col("_found")).drop(
         "_key", "_from", "_to", "_part", "_stretch", "_found"
     )
 
 
+def _small(table: DataFrame, chunks: Chunks) -> DataFrame:
+    return F.broadcast(table) if chunks.size <= BROADCAST_ROWS else table
+
+
 def released(result: DataFrame, given: DataFrame) -> DataFrame:
     """Drop the chunk column unless the caller brought it."""
     return result if CHUNK in given.columns else result.drop(CHUNK)

@@ -70,10 +70,22 @@ def test_chunks_are_bounded(turns, cut):
 def test_number_of_cuts_is_bounded(turns, monkeypatch):
     monkeypatch.setattr(chunking, "MAX_CUTS", 6)
     few = measure(turns, "conv_id", ("turn",), max_rows=10)
-    assert 1 < few.bounds.count() <= 13
+    assert 1 < few.bounds.count() == few.size <= 13
     same(pair_exchanges(turns, few), pair_exchanges(turns))
 
 
+def test_cuts_may_fall_anywhere(turns, monkeypatch):
+    monkeypatch.setattr(chunking, "SAMPLE", 5)
+    rough = turn_chunks(turns, max_rows=40)
+    assert rough.size == rough.bounds.count() > 4
+    same(number_messages(turns, rough), number_messages(turns))
+
+
+def test_large_tables_of_cuts_are_joined_by_shuffle(turns, cut, monkeypatch):
+    monkeypatch.setattr(chunking, "BROADCAST_ROWS", 0)
+    same(number_messages(turns, cut), number_messages(turns))
+
+
 def test_pairs(turns, cut):
     cleaned = clean_turns(turns)
     same(pair_exchanges(cleaned, cut), pair_exchanges(cleaned))
