@@ -142,7 +142,7 @@ def chunk_steps(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 def _entries(
     rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, max_rows: int | None
 ) -> DataFrame:
-    """(key, chunk, _enter) for each chunk in which a send is admitted."""
+    """(_key, _number, _enter) for each chunk in which a send is admitted."""
     key = chunks.key
     cut = rows.where(F.col(CHUNK).isNotNull()).select(key, CHUNK, start, end, id)
     schema = T.StructType(
@@ -211,7 +211,9 @@ def _entries(
         path = ordered.mapInArrow(_follower(key), links.schema)
     else:
         path = _on_node(chunks, links, _reachable(links, chunks))
-    return path.select(key, F.col("_felt").alias(CHUNK), F.col("_time").alias("_enter"))
+    return path.select(
+        F.col(key).alias("_key"), F.col("_felt").alias("_number"), F.col("_time").alias("_enter")
+    )
 
 
 def _follower(key: str):

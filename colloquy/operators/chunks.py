@@ -58,8 +58,7 @@ class Chunks(NamedTuple):
         return left.eqNullSafe(right) if unsure else left == right
 
     def join_chunks(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        """Left join of a table with one row per chunk; its size as measured picks the strategy."""
-        table = table.withColumnsRenamed({self.key: "_key", CHUNK: "_number"})
+        """Left join of a table with one row per (_key, _number); its measured size picks the strategy."""
         on = self.same_key(F.col(self.key), F.col("_key")) & (F.col(CHUNK) == F.col("_number"))
         return rows.join(table, on, "left").drop("_key", "_number")
 
@@ -189,6 +188,10 @@ def released(result: DataFrame, given: DataFrame) -> DataFrame:
 def scan(rows: DataFrame, chunks: Chunks, folds: dict[str, Fold]) -> DataFrame:
     """`rows` with one running column per fold, in the order of the chunks."""
     rows = assign(rows, chunks)
+    if CHUNK in rows.columns:
+        # Read twice below, and shuffled once: until rows are summed up nothing is asked of their key or chunk,
+        # or the question would move below the shuffle and make another one of it.
+        rows = rows.repartition(*chunks.groups(rows))
     window = chunks.window(rows)
     local = rows.select("*", *[_local(f, window).alias(n) for n, f in folds.items()])
     if CHUNK not in rows.columns:
@@ -196,13 +199,17 @@ def scan(rows: DataFrame, chunks: Chunks, folds: dict[str, Fold]) -> DataFrame:
 
     at = chunks.position
     whole = (
-        rows.where(F.col(CHUNK).isNotNull())
-        .groupBy(chunks.key, CHUNK)
-        .agg(*[_summary(f, at).alias(n) for n, f in folds.items()])
+        rows.groupBy(chunks.key, CHUNK)
+        .agg(
+            F.any_value(chunks.key).alias("_key"),
+            F.max(CHUNK).alias("_number"),
+            *[_summary(f, at).alias(n) for n, f in folds.items()],
+        )
+        .where(F.col("_number").isNotNull())
     )
-    along = Window.partitionBy(chunks.key).orderBy(CHUNK)
+    along = Window.partitionBy("_key").orderBy("_number")
     carry = whole.select(
-        chunks.key, CHUNK, *[_carry(f, n, along).alias(f"_carry_{n}") for n, f in folds.items()]
+        "_key", "_number", *[_carry(f, n, along).alias(f"_carry_{n}") for n, f in folds.items()]
     )
     before = F.lag(chunks.order[0]).over(window).isNull()
     after = F.lead(chunks.order[0]).over(window).isNull()

@@ -117,7 +117,7 @@ def _said(key: str = "user_id") -> str:
     return f"""said AS (
     SELECT *, reply IS NOT NULL AS answered FROM (
         SELECT {key} AS conv_id, event_id AS turn, {derived.MESSAGE} AS message,
-            {derived.REPLY} AS reply FROM events))"""
+            {derived.REPLY} AS reply FROM (SELECT *, {derived.PLACES} FROM events)))"""
 
 
 def _told(source: str) -> str:

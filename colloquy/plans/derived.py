@@ -16,27 +16,26 @@ VOCABULARY_RULES = (
     Rule("WORD", ("the", "there")),
 )
 
-PLACE = "CAST(event_id % 20 + 1 AS STRING)"
-OTHER_PLACE = "CAST(event_id % 17 + 1 AS STRING)"
-MESSAGE = f"""CASE event_id % 11
+PLACES = "CAST(event_id % 20 + 1 AS STRING) AS place, CAST(event_id % 17 + 1 AS STRING) AS other"
+MESSAGE = """CASE event_id % 11
     WHEN 0 THEN 'Watching the ' || event_type || ' from my sofa'
     WHEN 1 THEN 'At the CIRCUIT for ' || event_type
-    WHEN 2 THEN 'Albon P' || {PLACE} || ', Sainz P' || {OTHER_PLACE}
-    WHEN 3 THEN 'I pick p' || {PLACE} || ' for albon, #' || {OTHER_PLACE} || ' for sainz'
+    WHEN 2 THEN 'Albon P' || place || ', Sainz P' || other
+    WHEN 3 THEN 'I pick p' || place || ' for albon, #' || other || ' for sainz'
     WHEN 4 THEN 'What is a ' || event_type || '?'
     WHEN 5 THEN 'Should we pit after the ' || event_type
     WHEN 6 THEN 'History of every ' || event_type
-    WHEN 7 THEN 'my guess: albon ' || {PLACE} || ' sainz ' || {OTHER_PLACE}
-    WHEN 8 THEN 'p' || {PLACE} || chr(10) || 'albon #' || {PLACE} || ' sainz'
-    WHEN 9 THEN 'albon ' || {PLACE} || ' sainz ' || {OTHER_PLACE}
+    WHEN 7 THEN 'my guess: albon ' || place || ' sainz ' || other
+    WHEN 8 THEN 'p' || place || chr(10) || 'albon #' || place || ' sainz'
+    WHEN 9 THEN 'albon ' || place || ' sainz ' || other
     ELSE event_type END"""
-REPLY = f"""CASE event_id % 7
+REPLY = """CASE event_id % 7
     WHEN 0 THEN NULL
-    WHEN 1 THEN 'Albon is P' || {PLACE}
-    WHEN 2 THEN 'Sainz P' || {OTHER_PLACE} || ', Albon P' || {PLACE}
-    WHEN 3 THEN 'Albon and Sainz both ' || event_type || ', Sainz P' || {PLACE}
-    WHEN 4 THEN 'Albon' || chr(10) || 'P' || {PLACE} || ' sainz p1'
-    WHEN 5 THEN 'Albon lap' || {PLACE} || ' then Albon P' || {OTHER_PLACE}
+    WHEN 1 THEN 'Albon is P' || place
+    WHEN 2 THEN 'Sainz P' || other || ', Albon P' || place
+    WHEN 3 THEN 'Albon and Sainz both ' || event_type || ', Sainz P' || place
+    WHEN 4 THEN 'Albon' || chr(10) || 'P' || place || ' sainz p1'
+    WHEN 5 THEN 'Albon lap' || place || ' then Albon P' || other
     ELSE event_type END"""
 SEND_END = "ts + CAST(floor(value) AS BIGINT) * INTERVAL '1' MINUTE"
 # A third of all events in one session.
@@ -65,8 +64,9 @@ SENT_ID = """CASE turn % 3 WHEN 0 THEN 'c' || CAST(conv_id AS STRING) WHEN 1 THE
 
 def event_exchanges(events: DataFrame, key: str = "user_id") -> DataFrame:
     """Events as exchanges: the user is the conversation, the event its turn."""
-    said = events.select(
-        F.expr(key).alias("conv_id"),
+    placed = events.selectExpr("event_id", "event_type", f"{key} AS conv_id", *PLACES.split(", "))
+    said = placed.select(
+        "conv_id",
         F.col("event_id").alias("turn"),
         F.expr(MESSAGE).alias("message"),
         F.expr(REPLY).alias("reply"),
