@@ -153,8 +153,9 @@ def locate(
 ) -> DataFrame:
     """Rows with the chunk whose [_from, _to) holds `at`, null where there is none.
 
-    `bounds` has one row per chunk and is broadcast if its counted size allows. The search takes two steps, a stretch of chunks and
-    then the chunk, so that a row is compared with about twice the root of its key's chunks.
+    `bounds` has one row per chunk and is broadcast if its counted size allows. The search takes two steps, a
+    stretch of chunks and then the chunk, so that a row is compared with about twice the root of its key's
+    chunks.
     """
     stretch = math.isqrt(chunks.longest) + 1
     fine = bounds.withColumn("_stretch", F.floor(F.col(CHUNK) / stretch))
