@@ -51,8 +51,9 @@ from colloquy.streaming.admission import admit_stream
 from colloquy.streaming.snapshot import keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
 
-# Small enough that the sessions with a third of all events are cut at every scale of the test tables.
+# Small enough that sessions with a third of all events or turns are cut from sf0.01 on.
 CUT_ROWS = 500
+CUT_TURNS = 25
 
 QUERIES, SQL = {}, {}
 
@@ -418,6 +419,33 @@ def outcome_transcripts(spark, folder):
     )
 
 
+HOT = f"""given AS (SELECT {derived.HOT_CONVERSATION} AS conv_id, {derived.HOT_TURN} AS turn, role, text
+    FROM conversations), {TURNS.replace("FROM conversations", "FROM given")}"""
+
+
+def _hot_turns(spark, folder):
+    return known_turns(
+        table(spark, folder, "conversations").select(
+            F.expr(derived.HOT_CONVERSATION).alias("conv_id"),
+            F.expr(derived.HOT_TURN).alias("turn"),
+            "role",
+            "text",
+        )
+    )
+
+
+@query(f"WITH {HOT}, {CLEANED}, {PAIRED} SELECT * FROM paired")
+def exchanges_of_hot_conversation(spark, folder):
+    turns = _hot_turns(spark, folder)
+    return pair_exchanges(clean_turns(turns), turn_chunks(turns, CUT_TURNS))
+
+
+@query(f"WITH {HOT}, {CLEANED} {_transcript('conv_id, turn', 'cleaned', 'turn')}")
+def transcripts_of_hot_conversation(spark, folder):
+    turns = _hot_turns(spark, folder)
+    return transcript(clean_turns(turns), chunks=turn_chunks(turns, CUT_TURNS))
+
+
 # ---- session state -------------------------------------------------------------------------------
 
 

@@ -40,6 +40,9 @@ REPLY = """CASE event_id % 7
 SEND_END = "ts + CAST(floor(value) AS BIGINT) * INTERVAL '1' MINUTE"
 # A third of all events in one session.
 HOT_SESSION = "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END"
+# A third of all conversations as one, its turns in the order of the conversations.
+HOT_CONVERSATION = "CASE WHEN conv_id % 3 = 0 THEN -1 ELSE conv_id END"
+HOT_TURN = "conv_id * 1000 + turn"
 # White space in front of and behind user texts, and user texts of nothing else.
 PADDED_TEXT = """CASE WHEN role = 'user' AND (conv_id + turn) % 13 = 5 THEN ' \u3000' || chr(10)
     WHEN (conv_id + turn) % 3 = 0 THEN chr(9) || '\u00a0' || text || '\u2003 ' || chr(13) || chr(10)
