@@ -32,19 +32,21 @@ def normalise_payloads(
     body = F.when(F.startswith(body, F.lit("\ufeff")), F.substring(body, 2, 2147483647)).otherwise(
         body
     )
-    # A body is parsed inside brackets and inside braces: the parser stops after the first value, and only
-    # a single whole document fits into both.
-    parsed = bodies.withColumns(
-        {
-            "_list": F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))),
-            "_whole": F.try_parse_json(F.concat(F.lit('{"_":'), body, F.lit("}"))).isNotNull(),
-        }
-    )
+    # The parser stops after the first value, so a body is parsed inside brackets: more than one whole document
+    # does not fit, unless the body closes the bracket itself. Such a body must fit into braces as well.
+    parsed = bodies.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
     names = [f"_field{i}" for i in range(len(fields))]
     found = {n: F.try_variant_get("_list", f"$[0]['{f}']", "variant") for n, f in zip(names, fields)}
     found["_id"] = F.try_variant_get("_list", f"$[0]['{ID_FIELD}']", "variant")
-    is_null = F.is_variant_null(F.try_variant_get("_list", "$[0]", "variant"))
-    readable = F.col("_whole") & F.col("_list").isNotNull() & ~is_null
+    document = F.try_variant_get("_list", "$[0]", "variant")
+    in_braces = F.try_parse_json(F.concat(F.lit('{"_":'), body, F.lit("}")))
+    readable = (
+        F.col("_list").isNotNull()
+        & document.isNotNull()
+        & ~F.is_variant_null(document)
+        & F.try_variant_get("_list", "$[1]", "variant").isNull()
+        & (~F.contains(body, F.lit("]")) | in_braces.isNotNull())
+    )
     read = parsed.withColumns(found | {"_readable": readable})
     typed = read.withColumns(
         {f"{n}_kind": F.schema_of_variant(n) for n in found}

@@ -103,6 +103,9 @@ PAYLOADS = {
     '{"response":"x"}} y': ("bad_body", FAILURE_TEXT, None),
     '{"response":"x"},{}': ("bad_body", FAILURE_TEXT, None),
     '{"response":"x"}, "c":1': ("bad_body", FAILURE_TEXT, None),
+    '{"response":"x"},null': ("bad_body", FAILURE_TEXT, None),
+    "null] y": ("bad_body", FAILURE_TEXT, None),
+    '{"response":"[x]","a":[1]}': ("ok", "[x]", None),
     ' {"response":"x"}\n': ("ok", "x", None),
     '\ufeff{"response":"x"}': ("ok", "x", None),
     '{"response":"a","response":"b"}': ("ok", "b", None),
