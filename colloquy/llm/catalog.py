@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, oracles, quality_rules, secrets
+from colloquy.llm import chat, oracles, pii, quality_rules, secrets
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = F.col("findings")
+    kinds = [F.size(F.filter(findings, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return pii.find_personal(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *kinds,
+        F.sha2(pii.spans(findings, pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.spans(findings).alias("spans"),
+    )
+
+
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
