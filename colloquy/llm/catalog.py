@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, oracles, pii, quality_rules, secrets
+from colloquy.llm import chat, oracles, pii, quality_rules, secrets, sentencepiece_codec
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_bytes(path: str | None = None) -> bytes:
+    """A tokenizer model, half a megabyte; by default the public one that is installed."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        return file.read()
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(_table(spark, sf_dir, "documents"), model_bytes())
+
+
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = F.col("findings")
