@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, oracles, pii, quality_rules, secrets, sentencepiece_codec
+from colloquy.llm import chat, main_text, oracles, pii, quality_rules, secrets, sentencepiece_codec
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(_table(spark, sf_dir, "pages"), "page_id", "url")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
