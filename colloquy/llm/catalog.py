@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, main_text, oracles, pii, quality_rules, secrets, sentencepiece_codec
+from colloquy.llm import chat, main_text, oracles, pii, quality_rules, secrets, sentencepiece_codec, simhash
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(_table(spark, sf_dir, "documents"), model_bytes())
 
 
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = F.col("findings")
