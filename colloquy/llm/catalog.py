@@ -76,10 +76,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = F.col("findings")
-    kinds = [F.size(F.filter(findings, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return pii.find_personal(_table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *kinds,
+        *[pii.count_of(findings, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.spans(findings, pii.BASE_KINDS), 256).alias("base_sha256"),
         pii.spans(findings).alias("spans"),
     )
