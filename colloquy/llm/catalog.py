@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, main_text, oracles, pii, quality_rules, secrets, sentencepiece_codec, simhash
+from colloquy.llm import chat, main_text, oracles, pii, quality_model, quality_rules, secrets, sentencepiece_codec, simhash
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,22 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(_table(spark, sf_dir, "documents"), model_bytes())
 
 
+GOOD = 0.7
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality_model.fit(documents, labels, allowed=~quality_model.held_out(F.col("id")))
+    scored = quality_model.score(documents, model, "doc_id")
+    return scored.select(
+        "doc_id",
+        quality_model.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))

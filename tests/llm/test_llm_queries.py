@@ -38,6 +38,7 @@ SHAPES = {
         "base_failed:boolean kept:boolean",
     ),
     "op4_sentencepiece": ("documents", "doc_id:bigint n_tokens:bigint tokens_sha256:string round_trip:boolean"),
+    "op5_quality_classifier": ("documents", "doc_id:bigint held_out:boolean score:double predicted:int"),
     "op6_simhash": ("documents", "doc_id:bigint fingerprint:string component_id:bigint"),
     "op7_personal_data": (
         "documents",
