@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, main_text, oracles, pii, quality_model, quality_rules, secrets, sentencepiece_codec, simhash
+from colloquy.llm import chat, decontaminate, main_text, oracles, pii, quality_model, quality_rules, secrets, sentencepiece_codec, simhash
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 SQL["op1_secrets"] = oracles.OP1
 SQL["op3_quality_rules"] = oracles.OP3
 SQL["op8_chat_format"] = oracles.OP8

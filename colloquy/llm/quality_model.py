@@ -48,7 +48,7 @@ class Settings(NamedTuple):
     hidden: int = 32
     rounds: int = 400
     rate: float = 0.01
-    decay: float = 1e-4
+    decay: float = 1e-3
     seed: int = 7
 
 

@@ -23,7 +23,7 @@ def test_held_out_accuracy(scored):
     rows, labels = scored
     judged = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert len(judged) > 10
-    assert sum(p == q for p, q in judged) >= 0.97 * len(judged)
+    assert sum(p == q for p, q in judged) >= 0.95 * len(judged)
 
 
 def test_scores_and_held_out_rows(scored):
