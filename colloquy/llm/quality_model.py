@@ -272,8 +272,10 @@ def fit(
 def score(texts: DataFrame, model: Model, *keep: str, text: str = "text", into: str = "score") -> DataFrame:
     """(kept columns, probability of label 1) of every row, one pass without a shuffle."""
     spark = texts.sparkSession
-    read = texts.select(*keep, F.col(text).cast("string").alias("_t"))
     n = len(keep)
+    given = text in keep
+    read = texts.select(*keep, *([] if given else [F.col(text).cast("string").alias("_t")]))
+    at = keep.index(text) if given else n
     # Vectors of fixed size: buckets x size.
     shared = spark.sparkContext.broadcast(model)
 
@@ -284,7 +286,7 @@ def score(texts: DataFrame, model: Model, *keep: str, text: str = "text", into:
             if m.network is None:
                 scores = np.full(b.num_rows, m.share)
             else:
-                scores = m.network.scores(pool(b.column(n).to_pylist(), m.vectors, words).astype(np.float64))
+                scores = m.network.scores(pool(b.column(at).to_pylist(), m.vectors, words).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64())], [*keep, into])
 
     return read.mapInArrow(run, T.StructType([*read.schema[:n], T.StructField(into, T.DoubleType())]))

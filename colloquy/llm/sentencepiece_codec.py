@@ -240,13 +240,15 @@ ENCODED = T.ArrayType(T.IntegerType())
 
 def encode(texts: DataFrame, model: bytes, *keep: str, text: str = "text", into: str = "tokens") -> DataFrame:
     """(kept columns, ids of the text)."""
-    read = texts.select(*keep, F.col(text).cast("string").alias("_t"))
     n = len(keep)
+    given = text in keep
+    read = texts.select(*keep, *([] if given else [F.col(text).cast("string").alias("_t")]))
+    at = keep.index(text) if given else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in _slices(batches):
-            ids, _ = codec.encode_batch(batch.column(n).to_pylist())
+            ids, _ = codec.encode_batch(batch.column(at).to_pylist())
             column = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], column], [*keep, into])
 

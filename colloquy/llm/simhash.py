@@ -9,7 +9,8 @@ it passes on as a spanning tree, never as all pairs; components of the whole fol
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; rows
 with equal ids are separate rows; a null id is never a component's name, and a component without any id has none;
-an empty table gives an empty result; only the id and the text are read.
+an empty table gives an empty result; only the id and the text are read, and `keep_one`
+leaves all other columns as they are.
 """
 
 from __future__ import annotations
@@ -57,16 +58,17 @@ def fingerprint_values(texts: list[str | None], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(id, fingerprint) with the fingerprint's bits in a signed number."""
-    read = texts.select(id, F.col(text).cast("string").alias("_t"))
+def fingerprints(texts: DataFrame, *keep: str, text: str = "text", words: int = 3) -> DataFrame:
+    """(kept columns, fingerprint) with the fingerprint's bits in a signed number."""
+    read = texts.select(*keep, F.col(text).cast("string").alias("_t"))
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = fingerprint_values(batch.column(1).to_pylist(), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], [id, "fingerprint"])
+            values = fingerprint_values(batch.column(n).to_pylist(), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(values)], [*keep, "fingerprint"])
 
-    return read.mapInArrow(run, T.StructType([read.schema[0], T.StructField("fingerprint", T.LongType())]))
+    return read.mapInArrow(run, T.StructType([*read.schema[:n], T.StructField("fingerprint", T.LongType())]))
 
 
 def as_hex(fingerprint: Column) -> Column:
@@ -203,19 +205,45 @@ def near_links(unique: DataFrame, radius: int = 2, tile: int = TILE, count: int
     return ordered.mapInArrow(compare, "a BIGINT, b BIGINT").distinct()
 
 
+def classes(marked: DataFrame, radius: int = 2) -> DataFrame:
+    """(fingerprint, root): each distinct fingerprint with the one that names its component."""
+    unique = marked.select("fingerprint").distinct().checkpoint()
+    roots = components(near_links(unique, radius))
+    return unique.join(roots, unique["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def near_duplicates(
     texts: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2
 ) -> DataFrame:
     """(id, fingerprint, component_id): every row with the smallest id that links of `radius` bits lead to."""
     shared_folder(texts.sparkSession)
-    marked = fingerprints(texts, id, text, words).checkpoint()
-    unique = marked.groupBy("fingerprint").agg(F.min(id).alias("_first")).checkpoint()
-    roots = components(near_links(unique, radius))
-    named = unique.join(roots, unique["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root")
+    marked = fingerprints(texts, id, text=text, words=words).checkpoint()
+    named = classes(marked, radius).checkpoint()
+    first = marked.groupBy("fingerprint").agg(F.min(id).alias("first"))
+    smallest = named.join(first, "fingerprint").groupBy("root").agg(F.min("first").alias("component_id"))
+    label = named.join(smallest, "root").select(F.col("fingerprint").alias("f"), "component_id")
+    return marked.join(label, F.col("fingerprint") == F.col("f")).select(id, "fingerprint", "component_id")
+
+
+def keep_one(
+    texts: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2
+) -> DataFrame:
+    """All columns of one row of each component: that of the smallest id, and of equal ids the text of the
+    smallest hash. A row with an id goes before one without."""
+    shared_folder(texts.sparkSession)
+    columns = texts.columns
+    # Id and text in one key that is never null: rows that agree in it are repeated rows.
+    key = F.concat_ws(
+        ":",
+        F.coalesce(F.lpad(F.col(id).cast("string"), 20, " "), F.lit("none")),
+        F.hex(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))),
     )
-    smallest = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return marked.join(
-        named.join(smallest, "_root").select(F.col("fingerprint").alias("_f"), "component_id"),
-        F.col("fingerprint") == F.col("_f"),
-    ).select(id, "fingerprint", "component_id")
+    keyed = texts.select(F.struct(*columns).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), key.alias("key"))
+    marked = fingerprints(keyed, "id", "key", words=words).checkpoint()
+    named = classes(marked, radius)
+    first = marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    kept = named.join(first, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    rows = keyed.select("key", "row").dropDuplicates(["key"])
+    return rows.join(kept, "key", "left_semi").select("row.*")
