@@ -48,6 +48,10 @@ SHAPES = {
         None,
         "conv_id:bigint n_turns:bigint turns_sha256:string loss_chars:bigint loss_sha256:string formatted_chars:bigint",
     ),
+    "op9_suffix_dedup": (
+        "documents",
+        "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string",
+    ),
 }
 
 
