@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from typing import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from colloquy.functions.text import WHITESPACE
+from colloquy.functions.text import LINE_END, WHITESPACE
 
 
 def _slug(entity: str) -> str:
@@ -21,10 +22,22 @@ def position_name(entity: str) -> str:
     return f"position_{_slug(entity)}"
 
 
-def by_line(text: Column) -> Column:
-    """Text for the patterns below. Their dot ends at U+0085, which is no line end here; it is covered up by a
-    character that no pattern reads."""
-    return F.replace(text, F.lit("\u0085"), F.lit("_"))
+def check_entities(entities: Sequence[str]) -> None:
+    """Entities name columns, so no two may give the same name."""
+    names = [_slug(e) for e in entities]
+    if len(set(names)) < len(names) or "" in entities:
+        raise ValueError(f"entities without a column name of their own: {list(entities)}")
+
+
+def lines_with(text: Column, name: str) -> Column:
+    """Lines of a text that hold a name; null without any text."""
+    return F.filter(F.split(text, LINE_END), lambda line: F.contains(line, F.lit(name)))
+
+
+def _first_hit(lines: Column, found) -> Column:
+    """What the first line with a hit gives; empty when none does."""
+    hits = F.filter(F.transform(lines, found), lambda x: x != "")
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
 
 
 def number_after(lowered: Column, entity: str) -> Column:
@@ -35,10 +48,29 @@ def number_after(lowered: Column, entity: str) -> Column:
 
 
 def number_before(lowered: Column, entity: str) -> Column:
-    """Marked digits before a name on its line; empty when there are none."""
-    return F.regexp_extract(lowered, rf"[p#]([0-9]+).*{re.escape(entity.lower())}", 1)
+    """Marked digits before a name on its line; empty when there are none.
+
+    A line is read up to the last name in it, where the first marked digits are what a pattern over the
+    whole line would find; so each line is read once.
+    """
+    name = entity.lower()
+
+    def found(line: Column) -> Column:
+        behind = F.substring_index(line, name, -1)
+        before = F.left(line, F.length(line) - F.length(behind) - len(name))
+        return F.regexp_extract(before, "[p#]([0-9]+)", 1)
+
+    return _first_hit(lines_with(lowered, name), found)
 
 
 def place_in_reply(reply: Column, entity: str) -> Column:
-    """Digits of the first place after a name on its line, the name's case kept; else empty."""
-    return F.regexp_extract(reply, rf"{re.escape(entity)}.*?[Pp]([0-9]+)", 1)
+    """Digits of the first place after a name on its line, the name's case kept; else empty.
+
+    What follows the first name of a line is read once.
+    """
+
+    def found(line: Column) -> Column:
+        behind = F.substr(line, F.instr(line, F.lit(entity)) + len(entity))
+        return F.regexp_extract(behind, "[Pp]([0-9]+)", 1)
+
+    return _first_hit(lines_with(reply, entity), found)

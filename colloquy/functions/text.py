@@ -17,6 +17,7 @@ WHITESPACE_CHARACTERS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 SAME_LINE = r"[^\n\r\x{2028}\x{2029}]"
+LINE_END = r"[\n\r\x{2028}\x{2029}]"
 
 # Markup escapes in the order they are applied.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "<br/>"))

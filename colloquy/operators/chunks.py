@@ -16,11 +16,8 @@ from colloquy.sources.shared import shared_folder
 
 # Rows of one key that one task may sort by itself.
 MAX_ROWS = 2_000_000
-# Most keys that are cut, and about as many chunks. Where MAX_ROWS would need more, chunks grow to the total
-# rows over this number.
-MAX_CUTS = 200_000
-# Rows of a table of cut points that may be broadcast. It is above what MAX_CUTS allows for, so that a larger
-# table, which would be joined by shuffle, is not expected.
+# Rows of a table of keys or of cut points that may be broadcast; a larger one is joined by shuffle. Chunks
+# stay as they are, however many there are.
 BROADCAST_ROWS = 1_000_000
 # Rows looked at per chunk to place its cut.
 SAMPLE = 100
@@ -90,19 +87,16 @@ def measure(
     seen = _large(sizes, key, max_rows)
     if not seen["keys"]:
         return chunks
-    if seen["total"] > max_rows * MAX_CUTS:
-        max_rows = -(-seen["total"] // MAX_CUTS)
-        seen = _large(sizes, key, max_rows)
-        if not seen["keys"]:
-            return chunks
 
     shared_folder(rows.sparkSession)
     chunks = chunks._replace(null_key=seen["null_key"])
     keys = sizes.where(F.col("_rows") > max_rows).select(F.col(key).alias("_key"))
+    if seen["keys"] <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
     share = min(1.0, SAMPLE / max_rows)
     seen_rows = (
         rows.select(key, *order)
-        .join(F.broadcast(keys), chunks.same_key(F.col(key), F.col("_key")), "left_semi")
+        .join(keys, chunks.same_key(F.col(key), F.col("_key")), "left_semi")
         .where(F.rand(17) < share)
         .repartitionByRange(int(seen["rows"] * share / 1_000_000) + 1, key, *order)
         .withColumn("_range", F.spark_partition_id())
@@ -134,7 +128,6 @@ def measure(
 def _large(sizes: DataFrame, key: str, max_rows: int):
     large = F.col("_rows") > max_rows
     return sizes.agg(
-        F.sum("_rows").alias("total"),
         F.count_if(large).alias("keys"),
         F.sum(F.when(large, F.col("_rows"))).alias("rows"),
         F.coalesce(F.bool_or(large & F.col(key).isNull()), F.lit(False)).alias("null_key"),
@@ -190,8 +183,7 @@ def scan(rows: DataFrame, chunks: Chunks, folds: dict[str, Fold]) -> DataFrame:
     """`rows` with one running column per fold, in the order of the chunks."""
     rows = assign(rows, chunks)
     if CHUNK in rows.columns:
-        # Read twice below, and shuffled once: until rows are summed up nothing is asked of their key or chunk,
-        # or the question would move below the shuffle and make another one of it.
+        # Read twice below, and shuffled once.
         rows = rows.repartition(*chunks.groups(rows))
     window = chunks.window(rows)
     local = rows.select("*", *[_local(f, window).alias(n) for n, f in folds.items()])
@@ -199,14 +191,18 @@ def scan(rows: DataFrame, chunks: Chunks, folds: dict[str, Fold]) -> DataFrame:
         return local
 
     at = chunks.position
+    # Rows of keys that are not cut leave first, by a condition that the optimiser does not move: below the shuffle
+    # it would make another one of it. For the same reason every column is asked for.
+    in_chunks = rows.where(F.col(CHUNK).isNotNull() | (F.rand(0) < 1e-300))
     whole = (
-        rows.groupBy(chunks.key, CHUNK)
+        in_chunks.groupBy(chunks.key, CHUNK)
         .agg(
             F.any_value(chunks.key).alias("_key"),
             F.max(CHUNK).alias("_number"),
+            F.max(F.hash(*rows.columns)).alias("_all"),
             *[_summary(f, at).alias(n) for n, f in folds.items()],
         )
-        .where(F.col("_number").isNotNull())
+        .where(F.col("_number").isNotNull() & F.col("_all").isNotNull())
     )
     along = Window.partitionBy("_key").orderBy("_number")
     carry = whole.select(

@@ -89,10 +89,14 @@ def _counts(name: str) -> Column:
 
 
 def outcome_exchanges(outcomes: DataFrame) -> DataFrame:
-    """Normalised payloads as exchanges: a fallback answers, a failure does not."""
-    usable = F.col("status").isin("ok", "fallback")
+    """Normalised payloads as exchanges: a fallback answers, a failure does not, though it is `shown` as well."""
+    usable = F.coalesce(F.col("status").isin("ok", "fallback"), F.lit(False))
     return outcomes.withColumns(
-        {"reply": F.when(usable, F.col("reply")), "answered": usable}
+        {
+            "reply": F.when(usable, F.col("reply")),
+            "answered": usable,
+            "shown": F.col("status").isNotNull(),
+        }
     )
 
 

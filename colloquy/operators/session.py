@@ -41,7 +41,7 @@ def exchange_signals(
     )
     moods = mode_signal(with_lowered(heard), mode_rules)
     told = extract_positions(extract_forecast(moods, entities), entities)
-    kept = [c for c in (CHUNK,) if c in exchanges.columns]
+    kept = [c for c in (CHUNK, "shown") if c in exchanges.columns]
     return told.select(
         key,
         *order,
@@ -79,7 +79,7 @@ def session_state(
     )
 
 
-def snapshot_columns(entities: Sequence[str], at: Column) -> list[Column]:
+def snapshot_columns(entities: Sequence[str], at: Column, messages: Column) -> list[Column]:
     """Aggregates that fold the signals of a session; they need no order and combine map-side."""
 
     def chosen(pick, name):
@@ -90,16 +90,16 @@ def snapshot_columns(entities: Sequence[str], at: Column) -> list[Column]:
         chosen(F.min_by, "mode"),
         *[chosen(F.min_by, signals.forecast_name(e)) for e in entities],
         *[chosen(F.max_by, signals.position_name(e)) for e in entities],
-        (F.count("*") + F.count_if("answered")).alias("messages"),
+        messages.alias("messages"),
     ]
 
 
 def with_display(snapshot: DataFrame, entities: Sequence[str]) -> DataFrame:
-    first_forecast = F.col(signals.forecast_name(entities[0]))
+    missing = F.col(signals.forecast_name(entities[0])).isNull() if entities else F.lit(True)
     return snapshot.withColumns(
         {
             "mode_text": mode_text(F.col("mode")),
-            "forecast_text": F.when(first_forecast.isNull(), NO_FORECAST_TEXT),
+            "forecast_text": F.when(missing, NO_FORECAST_TEXT),
             **{
                 signals.position_name(e): F.coalesce(
                     F.col(signals.position_name(e)), F.lit(NO_POSITION_TEXT)
@@ -112,7 +112,6 @@ def with_display(snapshot: DataFrame, entities: Sequence[str]) -> DataFrame:
 
 def session_snapshot(
     exchanges: DataFrame,
-    turns: DataFrame | None = None,
     entities: Sequence[str] = ENTITIES,
     mode_rules: Sequence[Rule] = MODE_RULES,
     key: str = TURN_KEY,
@@ -120,19 +119,47 @@ def session_snapshot(
 ) -> DataFrame:
     """One row per session with its final state, the texts shown for it, and its message count.
 
-    `forecast_text` is the placeholder shown while there is no forecast. Messages are counted in `turns`;
-    without it an exchange counts one message, and one more when answered.
+    `forecast_text` is the placeholder shown while there is no forecast. An exchange counts one message, and
+    one more when a reply was shown: by a boolean column `shown` if there is one, as in what
+    `outcome_exchanges` gives, where a failure is shown too; else when it was answered.
     """
     told = exchange_signals(exchanges, entities, mode_rules, key, order)
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    folded = told.groupBy(key).agg(*snapshot_columns(entities, at))
-    if turns is not None:
-        counts = turns.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("messages"))
-        folded = (
-            counts.join(folded.drop("messages"), F.col("_key").eqNullSafe(F.col(key)), "left")
-            .drop(key)
-            .withColumnRenamed("_key", key)
-        )
+    shown = "shown" if "shown" in exchanges.columns else "answered"
+    messages = F.count("*") + F.count_if(shown)
+    return with_display(told.groupBy(key).agg(*snapshot_columns(entities, at, messages)), entities)
+
+
+def conversation_snapshot(
+    turns: DataFrame,
+    entities: Sequence[str] = ENTITIES,
+    mode_rules: Sequence[Rule] = MODE_RULES,
+    chunks: Chunks | None = None,
+) -> DataFrame:
+    """The snapshot of each conversation from its cleaned turns; every turn counts as a message.
+
+    One scan and one shuffle: a turn is reduced to its signals first, which the window then keeps where a question
+    has its reply next to it.
+    """
+    chunks = chunks or measure(turns, TURN_KEY, TURN_ORDER)
+    asked = F.col("role") == "user"
+    said = turns.withColumns(
+        {"message": F.when(asked, F.col("text")), "reply": F.when(F.col("role") == "ai", F.col("text"))}
+    )
+    told = extract_positions(
+        extract_forecast(mode_signal(with_lowered(said), mode_rules), entities), entities
+    )
+    firsts = ["mode", *[signals.forecast_name(e) for e in entities]]
+    lasts = [signals.position_name(e) for e in entities]
+    kept = [c for c in (CHUNK,) if c in turns.columns]
+    slim = told.select(chunks.key, *chunks.order, "role", *firsts, *lasts, *kept)
+    near = scan(slim, chunks, {"_next": Fold("lead", "role"), "_before": Fold("lag", "role")})
+    answered = asked & (F.col("_next") == "ai")
+    replies = (F.col("role") == "ai") & (F.col("_before") == "user")
+    heard = near.withColumns(
+        {c: F.when(answered, F.col(c)) for c in firsts} | {c: F.when(replies, F.col(c)) for c in lasts}
+    )
+    folded = heard.groupBy(chunks.key).agg(*snapshot_columns(entities, chunks.position, F.count("*")))
     return with_display(folded, entities)
 
 

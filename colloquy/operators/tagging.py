@@ -21,18 +21,21 @@ from colloquy.functions.rules import (
     first_match,
 )
 
-LOWERED = "_lowered"
+def lowered_name(text: str) -> str:
+    return f"_lowered_{text}"
 
 
 def with_lowered(messages: DataFrame, text: str = "message") -> DataFrame:
-    """Messages with their text in lower case, for several of the jobs below to share."""
-    if LOWERED in messages.columns:
+    """Messages with a column of their text in lower case, for several of the jobs below to share. It is named
+    after its source, so that a job on another text does not take it for its own."""
+    if lowered_name(text) in messages.columns:
         return messages
-    return messages.withColumn(LOWERED, F.lower(text))
+    return messages.withColumn(lowered_name(text), F.lower(text))
 
 
-def _dropped(result: DataFrame, given: DataFrame) -> DataFrame:
-    return result if LOWERED in given.columns else result.drop(LOWERED)
+def _dropped(result: DataFrame, given: DataFrame, text: str) -> DataFrame:
+    name = lowered_name(text)
+    return result if name in given.columns else result.drop(name)
 
 
 def tag_intent(
@@ -44,8 +47,8 @@ def tag_intent(
     whole_words: bool = False,
 ) -> DataFrame:
     """Messages with the label of the first rule that matches, else `default`."""
-    tagged = first_match(F.col(LOWERED), rules, default, whole_words)
-    return _dropped(with_lowered(messages, text).withColumn(into, tagged), messages)
+    tagged = first_match(F.col(lowered_name(text)), rules, default, whole_words)
+    return _dropped(with_lowered(messages, text).withColumn(into, tagged), messages, text)
 
 
 def mode_signal(
@@ -67,13 +70,13 @@ def extract_forecast(
     A number after the name is tried before a marked number in front of it, and a message without the
     letter p is not read.
     """
-    lowered = F.col("_lines")
+    signals.check_entities(entities)
+    lowered = F.col(lowered_name(text))
     worth_reading = F.contains(lowered, F.lit("p"))
     for entity in entities:
         worth_reading = worth_reading & F.contains(lowered, F.lit(entity.lower()))
     # Each pattern is a column of its own, so that it runs once and only where it is needed.
-    lines = with_lowered(messages, text).withColumn("_lines", signals.by_line(F.col(LOWERED)))
-    steps = lines.withColumns(
+    steps = with_lowered(messages, text).withColumns(
         {
             f"_after{i}": F.when(worth_reading, signals.number_after(lowered, e)).otherwise("")
             for i, e in enumerate(entities)
@@ -95,15 +98,16 @@ def extract_forecast(
         for i, e in enumerate(entities)
     }
     work = [f"_{step}{i}" for step in ("after", "place") for i in range(len(entities))]
-    return _dropped(steps.withColumns(places).drop("_lines", *work), messages)
+    return _dropped(steps.withColumns(places).drop(*work), messages, text)
 
 
 def extract_positions(
     messages: DataFrame, entities: Sequence[str] = ENTITIES, text: str = "reply"
 ) -> DataFrame:
     """Replies with one `position_…` column per entity, each found by itself."""
-    reply = F.col("_lines")
-    found = messages.withColumn("_lines", signals.by_line(F.col(text))).withColumns(
+    signals.check_entities(entities)
+    reply = F.col(text)
+    found = messages.withColumns(
         {
             f"_place{i}": F.when(
                 F.contains(reply, F.lit(e)), signals.place_in_reply(reply, e)
@@ -117,9 +121,7 @@ def extract_positions(
         )
         for i, e in enumerate(entities)
     }
-    return found.withColumns(places).drop(
-        "_lines", *[f"_place{i}" for i in range(len(entities))]
-    )
+    return found.withColumns(places).drop(*[f"_place{i}" for i in range(len(entities))])
 
 
 def attach_labels(

@@ -24,7 +24,12 @@ from colloquy.operators.payloads import (
     normalise_payloads,
     request_records,
 )
-from colloquy.operators.session import session_snapshot, session_state, stitch_ids
+from colloquy.operators.session import (
+    conversation_snapshot,
+    session_snapshot,
+    session_state,
+    stitch_ids,
+)
 from colloquy.operators.tagging import (
     attach_labels,
     extract_forecast,
@@ -475,8 +480,7 @@ FROM counted LEFT JOIN folded ON counted.conv_id = folded.conv_id"""
 )
 def conversation_snapshots(spark, folder):
     turns = turns_of(spark, folder)
-    cleaned = clean_turns(turns)
-    return session_snapshot(pair_exchanges(cleaned, turn_chunks(turns)), cleaned)
+    return conversation_snapshot(clean_turns(turns), chunks=turn_chunks(turns))
 
 
 def _returned(spark, folder, key):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import chunks as chunking
 from colloquy.operators.chunks import CHUNK, assign, measure
-from colloquy.operators.session import session_snapshot, session_state, stitch_ids
+from colloquy.operators.session import conversation_snapshot, session_snapshot, session_state, stitch_ids
 from colloquy.operators.transcript import transcript
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges, turn_chunks
 
@@ -67,11 +67,12 @@ def test_chunks_are_bounded(turns, cut):
     assert all(x["b"] < y["a"] for x, y in zip(ordered, ordered[1:]))
 
 
-def test_number_of_cuts_is_bounded(turns, monkeypatch):
-    monkeypatch.setattr(chunking, "MAX_CUTS", 6)
-    few = measure(turns, "conv_id", ("turn",), max_rows=10)
-    assert 1 < few.bounds.count() == few.size <= 13
-    same(pair_exchanges(turns, few), pair_exchanges(turns))
+def test_chunks_stay_small_however_many(turns):
+    many = measure(turns, "conv_id", ("turn",), max_rows=10)
+    assert many.size == many.bounds.count() > 60
+    placed = assign(turns, many).groupBy("conv_id", CHUNK).count().where(F.col(CHUNK).isNotNull())
+    assert placed.agg(F.max("count")).first()[0] < 60
+    same(pair_exchanges(turns, many), pair_exchanges(turns))
 
 
 def test_cuts_may_fall_anywhere(turns, monkeypatch):
@@ -129,5 +130,15 @@ def test_snapshot_is_the_last_state(turns):
     same(last, session_snapshot(exchanges).select("conv_id", *signals))
 
 
+def test_conversation_snapshot(turns, cut):
+    cleaned = clean_turns(turns)
+    same(conversation_snapshot(cleaned, chunks=cut), conversation_snapshot(cleaned))
+    paired = session_snapshot(pair_exchanges(cleaned)).drop("messages")
+    every = conversation_snapshot(cleaned).join(paired.select("conv_id").withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    same(every.select(paired.columns), paired)
+    counted = cleaned.groupBy("conv_id").agg(F.count("*").alias("messages"))
+    same(conversation_snapshot(cleaned).select("conv_id", "messages"), counted)
+
+
 def test_transcript_has_every_turn(turns):
     assert transcript(turns).count() == turns.count()

@@ -1,5 +1,8 @@
 """Expected rows for the rules that are easy to get wrong."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from colloquy.operators.tagging import (
     extract_positions,
     mode_signal,
     tag_intent,
+    with_lowered,
 )
 from colloquy.operators.transcript import transcript, turns_of_outcomes
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges
@@ -307,3 +311,61 @@ def test_numbers_start_at_zero(spark):
     turns = spark.createDataFrame([(1, 5), (1, 2), (2, 9)], "conv_id BIGINT, turn BIGINT")
     got = {(r["conv_id"], r["turn"]): r["number"] for r in number_messages(turns).collect()}
     assert got == {(1, 2): 0, (1, 5): 1, (2, 9): 0}
+
+
+OLD_PATTERNS = {
+    "before": r"[p#]([0-9]+)[^\n\r\x{2028}\x{2029}]*albon",
+    "reply": r"Albon[^\n\r\x{2028}\x{2029}]*?[Pp]([0-9]+)",
+}
+
+
+def test_lines_read_once_find_what_the_patterns_find(spark):
+    from colloquy.functions import signals
+
+    dice = random.Random(1)
+    parts = ["albon", "Albon", "p", "P", "#", "1", "23", " ", "\n", "\r", " ", "\u0085", "x", "albonp4"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(14))) for _ in range(4000)]
+    rows = frame(spark, texts, "t").select(
+        "t",
+        signals.number_before(F.col("t"), "Albon").alias("before"),
+        F.regexp_extract("t", OLD_PATTERNS["before"], 1).alias("old_before"),
+        signals.place_in_reply(F.col("t"), "Albon").alias("reply"),
+        F.regexp_extract("t", OLD_PATTERNS["reply"], 1).alias("old_reply"),
+    )
+    assert rows.where("before <> old_before OR reply <> old_reply").collect() == []
+    assert rows.where("before <> '' AND reply <> ''").count() > 50
+
+
+@pytest.mark.parametrize("text", ["p1 " * 700_000 + "albon sainz", "Albon Sainz " * 170_000, "albon p" * 300_000])
+def test_long_lines_take_linear_time(spark, text):
+    told = frame(spark, [text], "message").withColumn("reply", F.col("message"))
+    began = time.perf_counter()
+    extract_positions(extract_forecast(told)).drop("message", "reply").collect()
+    assert time.perf_counter() - began < 8
+
+
+def test_shared_lower_case_is_of_its_own_text(spark):
+    rows = spark.createDataFrame([("what is drs", "my prediction")], "message STRING, reply STRING")
+    shared = with_lowered(rows, "message")
+    assert tag_intent(shared, text="reply").first()["intent"] == "PREDICTION"
+    assert tag_intent(with_lowered(shared, "reply"), text="message").first()["intent"] == "TERM_EXPLAIN"
+    assert tag_intent(rows, text="reply").columns == ["message", "reply", "intent"]
+
+
+def test_entities_of_one_name_are_refused(spark):
+    for job in (extract_forecast, extract_positions):
+        with pytest.raises(ValueError):
+            job(spark.createDataFrame([("a", "b")], "message STRING, reply STRING"), ("A B", "A-B"))
+
+
+def test_no_entities(spark, story):
+    got = session_snapshot(story, entities=()).where("conv_id = 1").first().asDict()
+    assert got == {"conv_id": 1, "mode": "home", "messages": 11, "mode_text": "🏠 Home Fan", "forecast_text": "Set during onboarding"}
+
+
+def test_failures_are_shown_and_counted(spark):
+    bodies = [(1, 0, "a", '{"response":"b"}'), (1, 1, "c", "oops"), (1, 2, "d", '{"response":5}')]
+    df = spark.createDataFrame(bodies, "conv_id BIGINT, turn BIGINT, message STRING, body STRING")
+    outcomes = normalise_payloads(df)
+    assert session_snapshot(outcome_exchanges(outcomes)).first()["messages"] == 6
+    assert turns_of_outcomes(outcomes).count() == 6

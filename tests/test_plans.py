@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.admission import admit_sends
 from colloquy.operators.chunks import measure
-from colloquy.operators.session import session_snapshot, session_state, stitch_ids
+from colloquy.operators.session import conversation_snapshot, session_snapshot, session_state, stitch_ids
 from colloquy.operators.tagging import tag_intent
 from colloquy.operators.transcript import transcript
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges, turn_chunks
@@ -79,6 +79,30 @@ def test_admission_shuffles_and_sorts_once(spark):
     assert count(df, "Exchange") == 1 and count(df, "Sort") == 1
 
 
+def test_conversation_snapshot_shuffles_signals_once(spark, turns):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = conversation_snapshot(clean_turns(turns))
+        assert count(df, "Exchange") == 1 and count(df, "FileScan") == 1 and count(df, "SortMergeJoin") == 0
+        below = plan(df).split("Exchange")[1].splitlines()[1]
+        assert "text#" not in below
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("job", [number_messages, transcript, pair_exchanges, conversation_snapshot])
+def test_cut_rows_are_read_and_shuffled_once(spark, turns, job):
+    cut = turn_chunks(turns.withColumn("conv_id", F.col("conv_id") % 2), 10)
+    assert cut.size > 3
+    df = job(clean_turns(turns).withColumn("conv_id", F.col("conv_id") % 2), chunks=cut)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    rows = re.findall(r"[+:]- Exchange hashpartitioning\(conv_id#\d+L?, _chunk#\d+, \d+\), REPARTITION", text)
+    assert len(rows) == 1
+    assert len(re.findall(r"[-: ]ReusedExchange", text)) >= 1
+    assert len(re.findall(r"[-: ]FileScan", text)) == 1
+
+
 def test_cut_keys_are_spread(spark):
     said = event_exchanges(table(spark, FOLDER, "events"), "event_id % 2")
     cut = measure(said, "conv_id", ("turn",), 50)
