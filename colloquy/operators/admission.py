@@ -20,9 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from colloquy.operators.chunks import CHUNK, MAX_ROWS, Chunks, Fold, assign, locate, measure, scan
+from colloquy.operators.chunks import CHUNK, Chunks, Fold, assign, locate, measure, scan
 
 FOREVER = 2**63 - 1
+# Links of one key that one task follows; beyond that they are followed by doubling.
+MAX_LINKS = 2_000_000
 NEVER = -FOREVER
 
 
@@ -43,9 +45,12 @@ def admit_sends(
     end: str = "end",
     id: str = "id",
     max_rows: int | None = None,
+    max_links: int | None = None,
 ) -> DataFrame:
     """Sends with `admitted`; equal starts are decided in the order of `id`.
 
+    Runs a counting job while the plan is made, and where a key is cut a few more, see `_entries`.
+
     A send without an end is pending for good. `start` and `id` must not be null, and (key, start, id)
     must be unique.
     """
@@ -53,7 +58,7 @@ def admit_sends(
     chunks = measure(sends, key, (start, id), max_rows)
     rows = assign(sends, chunks)
     if chunks.bounds is not None:
-        entries = _entries(rows, chunks, start, end, id, max_rows)
+        entries = _entries(rows, chunks, start, end, id, max_rows, max_links)
         rows = chunks.join_chunks(rows, entries)
     groups = chunks.groups(rows)
     ordered = rows.repartition(*groups).sortWithinPartitions(*groups, start, id)
@@ -140,9 +145,19 @@ def chunk_steps(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _entries(
-    rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, max_rows: int | None
+    rows: DataFrame,
+    chunks: Chunks,
+    start: str,
+    end: str,
+    id: str,
+    max_rows: int | None,
+    max_links: int | None,
 ) -> DataFrame:
-    """(_key, _number, _enter) for each chunk in which a send is admitted."""
+    """(_key, _number, _enter) for each chunk in which a send is admitted.
+
+    Chunks are tabulated and linked in jobs of their own. No more than `max_links` links of a key are followed in one
+    pass; more are followed by doubling, two jobs a round.
+    """
     key = chunks.key
     cut = rows.where(F.col(CHUNK).isNotNull()).select(key, CHUNK, start, end, id)
     schema = T.StructType(
@@ -194,7 +209,8 @@ def _entries(
         F.col("_from_chunk").isNotNull().alias("_probe"),
         F.when(F.col("_from_chunk").isNull(), F.col("_felt")).alias("_step_chunk"),
     )
-    search = measure(falling, key, ("_by_chunk", "_by_time", "_probe"), max_rows)
+    most_rows = MAX_LINKS if max_links is None else max_rows
+    search = measure(falling, key, ("_by_chunk", "_by_time", "_probe"), most_rows)
     # A probe beyond the last chunk has no step of its own chunk to see.
     looked_up = scan(
         falling, search, {"_next": Fold("last", "_exit"), "_seen": Fold("last", "_step_chunk")}
@@ -205,8 +221,7 @@ def _entries(
         .checkpoint()
     )
     most = links.groupBy(key).count().agg(F.max("count")).first()[0]
-    limit = MAX_ROWS if max_rows is None else max_rows
-    if most <= limit:
+    if most <= (MAX_LINKS if max_links is None else max_links):
         ordered = links.repartition(key).sortWithinPartitions(key, "_from")
         path = ordered.mapInArrow(_follower(key), links.schema)
     else:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+import json
+from typing import NamedTuple, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Reply fields in the order they are tried, and the texts shown without a reply.
@@ -23,9 +25,12 @@ def normalise_payloads(
     """Bodies with `conversation_id`, `reply` and `status`.
 
     ok: the first field that is not empty, zero, false or null is a string. fallback: there is none.
-    bad_type: it is not a string. bad_body: the body is no JSON document, or it is null.
+    bad_type: it is not a string. bad_body: the body is no JSON document, or it is null. unread: it may be one, but
+    is nested deeper than the second reader goes.
 
-    The session is set to let the last of several equal object keys win, as JSON readers commonly do.
+    Bodies are read as VARIANT; one that this reader rejects, as it does by size, depth or length of a number, is read
+    once more by a reader without such limits, so that size decides nothing. Ids that are no strings are handed on as
+    text. The session is set to let the last of several equal object keys win, as JSON readers commonly do.
     """
     bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.col(body_col)
@@ -56,15 +61,18 @@ def normalise_payloads(
     for name in reversed(names):
         kind = F.when(_counts(name), F.col(f"{name}_kind")).otherwise(kind)
         text = F.when(_counts(name), F.col(f"{name}_text")).otherwise(text)
-    judged = typed.withColumns({"_kind": kind, "_text": text}).withColumns(
+    # Rows that were read hand a null to the second reader.
+    again = _second_reader(tuple(fields))(F.when(~F.coalesce("_readable", F.lit(False)), body))
+    judged = typed.withColumns({"_kind": kind, "_text": text, "_again": again}).withColumns(
         {
-            "conversation_id": F.when(
-                F.col("_readable") & _counts("_id"), F.col("_id_text")
+            "conversation_id": F.when(F.col("_readable") & _counts("_id"), F.col("_id_text")).otherwise(
+                F.col("_again.id")
             ),
-            "status": F.when(~F.col("_readable"), "bad_body")
+            "status": F.when(~F.col("_readable"), F.col("_again.status"))
             .when(F.col("_kind").isNull(), "fallback")
             .when(F.col("_kind") == "STRING", "ok")
             .otherwise("bad_type"),
+            "_text": F.when(F.col("_readable"), F.col("_text")).otherwise(F.col("_again.reply")),
         }
     )
     reply = (
@@ -88,6 +96,66 @@ def _counts(name: str) -> Column:
     return F.col(name).isNotNull() & ~empty
 
 
+class _Number(NamedTuple):
+    """A number as it is written, which may be longer than numbers get."""
+
+    text: str
+
+    def __bool__(self) -> bool:
+        return any(c in "123456789" for c in self.text.lower().partition("e")[0]) and float(self.text) != 0
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def read_again(body: str | None, fields: Sequence[str]) -> dict:
+    """status, reply and id of one body, by the rules of `normalise_payloads`."""
+    if body is None:
+        return {"status": "bad_body", "reply": None, "id": None}
+    try:
+        document = json.loads(body, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+    except ValueError:
+        return {"status": "bad_body", "reply": None, "id": None}
+    except RecursionError:
+        return {"status": "unread", "reply": None, "id": None}
+    if document is None:
+        return {"status": "bad_body", "reply": None, "id": None}
+    known = document if isinstance(document, dict) else {}
+    given = known.get(ID_FIELD)
+    value = next((known[f] for f in fields if _present(known.get(f))), None)
+    return {
+        "status": "fallback" if value is None else "ok" if isinstance(value, str) else "bad_type",
+        "reply": _sendable(value) if isinstance(value, str) else None,
+        "id": _as_text(given) if _present(given) else None,
+    }
+
+
+def _present(value) -> bool:
+    return bool(value) or isinstance(value, (list, dict))
+
+
+def _as_text(value) -> str:
+    if isinstance(value, _Number):
+        return value.text
+    if isinstance(value, str):
+        return _sendable(value)
+    return json.dumps(value, default=str, separators=(",", ":"))
+
+
+def _sendable(text: str) -> str:
+    """Half of a character pair by itself becomes a question mark."""
+    return text.encode("utf-8", "replace").decode()
+
+
+def _second_reader(fields: tuple[str, ...]):
+    def read(bodies: pd.Series) -> pd.DataFrame:
+        rows = [read_again(b, fields) for b in bodies]
+        return pd.DataFrame(rows, columns=["status", "reply", "id"], dtype=object)
+
+    return F.pandas_udf(read, "status STRING, reply STRING, id STRING")
+
+
 def outcome_exchanges(outcomes: DataFrame) -> DataFrame:
     """Normalised payloads as exchanges: a fallback answers, a failure does not, though it is `shown` as well."""
     usable = F.coalesce(F.col("status").isin("ok", "fallback"), F.lit(False))

@@ -356,6 +356,21 @@ def escaped_pages(spark, folder):
     return pages.select("page_id", escape_markup(F.col("html")).alias("html"))
 
 
+HOT = f"""given AS (SELECT {derived.HOT_CONVERSATION} AS conv_id, {derived.HOT_TURN} AS turn, role, text
+    FROM conversations), {TURNS.replace("FROM conversations", "FROM given")}"""
+
+
+def _hot_turns(spark, folder):
+    return known_turns(
+        table(spark, folder, "conversations").select(
+            F.expr(derived.HOT_CONVERSATION).alias("conv_id"),
+            F.expr(derived.HOT_TURN).alias("turn"),
+            "role",
+            "text",
+        )
+    )
+
+
 # ---- pairing, labels, order ----------------------------------------------------------------------
 
 
@@ -391,6 +406,15 @@ def message_numbers(spark, folder):
     return number_messages(turns_of(spark, folder))
 
 
+@query(
+    f"""WITH {HOT} SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS number
+FROM turns"""
+)
+def message_numbers_of_hot_conversation(spark, folder):
+    turns = _hot_turns(spark, folder)
+    return number_messages(turns, turn_chunks(turns, CUT_TURNS))
+
+
 @query(f"WITH {TURNS}, {CLEANED} {_transcript('conv_id, turn', 'cleaned', 'turn')}")
 def transcripts(spark, folder):
     turns = turns_of(spark, folder)
@@ -424,21 +448,6 @@ def outcome_transcripts(spark, folder):
     )
 
 
-HOT = f"""given AS (SELECT {derived.HOT_CONVERSATION} AS conv_id, {derived.HOT_TURN} AS turn, role, text
-    FROM conversations), {TURNS.replace("FROM conversations", "FROM given")}"""
-
-
-def _hot_turns(spark, folder):
-    return known_turns(
-        table(spark, folder, "conversations").select(
-            F.expr(derived.HOT_CONVERSATION).alias("conv_id"),
-            F.expr(derived.HOT_TURN).alias("turn"),
-            "role",
-            "text",
-        )
-    )
-
-
 @query(f"WITH {HOT}, {CLEANED}, {PAIRED} SELECT * FROM paired")
 def exchanges_of_hot_conversation(spark, folder):
     turns = _hot_turns(spark, folder)
@@ -519,6 +528,13 @@ def admission_of_hot_session(spark, folder):
     return admit_sends(sends, max_rows=CUT_ROWS).select("id", "key", "admitted")
 
 
+@query(_admitted(derived.HOT_SESSION))
+def admission_of_hot_session_by_doubling(spark, folder):
+    sends = event_sends(table(spark, folder, "events"), derived.HOT_SESSION)
+    admitted = admit_sends(sends, max_rows=CUT_ROWS, max_links=1)
+    return admitted.select("id", "key", "admitted")
+
+
 # ---- streams, run until their input is used up ---------------------------------------------------
 
 

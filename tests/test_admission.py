@@ -65,16 +65,26 @@ def test_split_key_equals_brute_force(spark, name):
     assert verdicts(admit_sends(sends, max_rows=60)) == expected
 
 
-@pytest.mark.parametrize(
-    "name, unused", [("parity", "_reachable"), ("constant", "_follower")], ids=["walk", "doubling"]
-)
-def test_links_are_followed_either_way(spark, monkeypatch, name, unused):
+@pytest.mark.parametrize("name", ["parity", "constant", "random"])
+@pytest.mark.parametrize("links, unused", [(None, "_reachable"), (1, "_follower")], ids=["walk", "doubling"])
+def test_links_are_followed_either_way(spark, monkeypatch, name, links, unused):
     monkeypatch.setattr(admission, unused, None)
     rows = shape(name, 1500, random.Random(name))
-    got = verdicts(admit_sends(spark.createDataFrame(rows, SCHEMA), max_rows=60))
+    got = verdicts(admit_sends(spark.createDataFrame(rows, SCHEMA), max_rows=60, max_links=links))
     assert got == brute_force(rows)
 
 
+def test_a_cut_key_takes_few_jobs(spark):
+    sends = spark.createDataFrame(shape("random", 1500, random.Random(2)), SCHEMA)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("admission", "")
+    try:
+        admit_sends(sends, max_rows=60).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("admission")) < 50
+
+
 def test_times_must_agree(spark):
     df = spark.sql("SELECT 1 AS id, 1 AS key, 1.5D AS start, 2.5D AS end")
     with pytest.raises(ValueError):

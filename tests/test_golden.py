@@ -12,6 +12,7 @@ from colloquy.operators.payloads import (
     FALLBACK_TEXT,
     normalise_payloads,
     outcome_exchanges,
+    read_again,
     request_records,
 )
 from colloquy.operators.session import session_snapshot, session_state, stitch_ids
@@ -369,3 +370,31 @@ def test_failures_are_shown_and_counted(spark):
     outcomes = normalise_payloads(df)
     assert session_snapshot(outcome_exchanges(outcomes)).first()["messages"] == 6
     assert turns_of_outcomes(outcomes).count() == 6
+
+
+def test_bodies_beyond_the_limits_of_the_first_reader(spark):
+    long = "x" * 21_000_000
+    deep = "[" * 1_500 + "]" * 1_500
+    bodies = {
+        1: ('{"response":"' + long + '","conversationId":"c"}', ("ok", len(long), "c")),
+        2: ('{"a":' + deep + ',"response":"d","conversationId":7}', ("ok", 1, "7")),
+        3: ('{"a":' + "1" * 1_500 + ',"result":"n"}', ("ok", 1, None)),
+        4: ('{"a":' + deep + ',"response":[]}', ("bad_type", len(FAILURE_TEXT), None)),
+        5: ('{"a":' + deep + ',"response":0.0,"result":-0e5,"output":""}', ("fallback", len(FALLBACK_TEXT), None)),
+        6: ('{"a":' + deep + ',"response":"x"} y', ("bad_body", len(FAILURE_TEXT), None)),
+        7: ('{"a":' + deep + ',"response":NaN}', ("bad_body", len(FAILURE_TEXT), None)),
+        8: ("[" * 400_000 + "]" * 400_000, ("unread", len(FAILURE_TEXT), None)),
+        9: ('{"response":' + "9" * 5_000 + "}", ("bad_type", len(FAILURE_TEXT), None)),
+    }
+    df = spark.createDataFrame([(k, b) for k, (b, _) in bodies.items()], "id INT, body STRING")
+    got = normalise_payloads(df).select("id", "status", F.length("reply").alias("n"), "conversation_id").collect()
+    assert {r["id"]: (r["status"], r["n"], r["conversation_id"]) for r in got} == {k: w for k, (_, w) in bodies.items()}
+
+
+def test_second_reader_agrees_with_the_first():
+    for body, (status, reply, id) in PAYLOADS.items():
+        body = body[1:] if body and body[0] == "\ufeff" else body
+        got = read_again(body, ("response", "result", "output"))
+        assert (got["status"], got["id"]) == (status, id), body
+        if status == "ok":
+            assert got["reply"] == reply
