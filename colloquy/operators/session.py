@@ -22,7 +22,7 @@ from colloquy.operators.tagging import (
     mode_signal,
     with_lowered,
 )
-from colloquy.operators.turns import TURN_KEY, TURN_ORDER
+from colloquy.operators.turns import TURN_KEY, TURN_ORDER, is_hidden
 
 
 def exchange_signals(
@@ -41,7 +41,7 @@ def exchange_signals(
     )
     moods = mode_signal(with_lowered(heard), mode_rules)
     told = extract_positions(extract_forecast(moods, entities), entities)
-    kept = [c for c in (CHUNK, "shown") if c in exchanges.columns]
+    kept = [c for c in (CHUNK, "shown", "hidden") if c in exchanges.columns]
     return told.select(
         key,
         *order,
@@ -121,12 +121,13 @@ def session_snapshot(
 
     `forecast_text` is the placeholder shown while there is no forecast. An exchange counts one message, and
     one more when a reply was shown: by a boolean column `shown` if there is one, as in what
-    `outcome_exchanges` gives, where a failure is shown too; else when it was answered.
+    `outcome_exchanges` gives, where a failure is shown too; else when it was answered. The message of an exchange
+    with a true `hidden` is not counted.
     """
     told = exchange_signals(exchanges, entities, mode_rules, key, order)
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     shown = "shown" if "shown" in exchanges.columns else "answered"
-    messages = F.count("*") + F.count_if(shown)
+    messages = F.count_if(~is_hidden(exchanges)) + F.count_if(shown)
     return with_display(told.groupBy(key).agg(*snapshot_columns(entities, at, messages)), entities)
 
 
@@ -136,7 +137,7 @@ def conversation_snapshot(
     mode_rules: Sequence[Rule] = MODE_RULES,
     chunks: Chunks | None = None,
 ) -> DataFrame:
-    """The snapshot of each conversation from its cleaned turns; every turn counts as a message.
+    """The snapshot of each conversation from its cleaned turns; every turn counts as a message but `hidden` ones.
 
     One scan and one shuffle: a turn is reduced to its signals first, which the window then keeps where a question
     has its reply next to it.
@@ -151,7 +152,7 @@ def conversation_snapshot(
     )
     firsts = ["mode", *[signals.forecast_name(e) for e in entities]]
     lasts = [signals.position_name(e) for e in entities]
-    kept = [c for c in (CHUNK,) if c in turns.columns]
+    kept = [c for c in (CHUNK, "hidden") if c in turns.columns]
     slim = told.select(chunks.key, *chunks.order, "role", *firsts, *lasts, *kept)
     near = scan(slim, chunks, {"_next": Fold("lead", "role"), "_before": Fold("lag", "role")})
     answered = asked & (F.col("_next") == "ai")
@@ -159,7 +160,9 @@ def conversation_snapshot(
     heard = near.withColumns(
         {c: F.when(answered, F.col(c)) for c in firsts} | {c: F.when(replies, F.col(c)) for c in lasts}
     )
-    folded = heard.groupBy(chunks.key).agg(*snapshot_columns(entities, chunks.position, F.count("*")))
+    folded = heard.groupBy(chunks.key).agg(
+        *snapshot_columns(entities, chunks.position, F.count_if(~is_hidden(turns)))
+    )
     return with_display(folded, entities)
 
 

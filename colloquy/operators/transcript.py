@@ -10,7 +10,7 @@ from colloquy.functions.rules import INTENT_LABELS, INTENT_RULES, Rule
 from colloquy.functions.text import escape_markup
 from colloquy.operators.chunks import Chunks, Fold, measure, scan
 from colloquy.operators.tagging import attach_labels, tag_intent
-from colloquy.operators.turns import TURN_KEY
+from colloquy.operators.turns import TURN_KEY, is_hidden
 
 
 class Party(NamedTuple):
@@ -34,14 +34,23 @@ def transcript(
     """Turns as shown: number, avatar, sender, label of the question answered, escaped text.
 
     A boolean column `failed` marks replies that stand for a failure; they get no label. An integer column
-    `weight` gives the numbers a message takes, see `number_messages`.
+    `weight` gives the numbers a message takes, see `number_messages`. Turns with a true `hidden` have no row
+    and take no number, but the reply to one is labelled after it.
     """
     chunks = chunks or measure(turns, TURN_KEY, tuple(order))
-    asked = tag_intent(turns, rules, text="text", into="_asked").withColumns(
-        {
-            "_asked": F.when(F.col("role") == "user", F.col("_asked")),
-            "_weight": F.col("weight") if "weight" in turns.columns else F.lit(1),
-        }
+    weight = F.col("weight") if "weight" in turns.columns else F.lit(1)
+    # Replies are not classified, so they are not lower-cased either.
+    questions = turns.withColumn("_question", F.when(F.col("role") == "user", F.col("text")))
+    asked = (
+        tag_intent(questions, rules, text="_question", into="_asked")
+        .withColumns(
+            {
+                "_asked": F.when(F.col("role") == "user", F.col("_asked")),
+                "_weight": F.when(is_hidden(turns), 0).otherwise(weight),
+                "_hidden": is_hidden(turns),
+            }
+        )
+        .drop("_question")
     )
     seen = scan(asked, chunks, {"_total": Fold("total", "_weight"), "intent": Fold("lag", "_asked")})
     shown = F.col("role") == "ai"
@@ -49,7 +58,7 @@ def transcript(
         shown = shown & ~F.coalesce(F.col("failed"), F.lit(False))
     labelled = attach_labels(seen.withColumn("intent", F.when(shown, F.col("intent"))), labels)
     by_agent = F.col("role") == "ai"
-    return labelled.select(
+    return labelled.where(~F.col("_hidden")).select(
         chunks.key,
         *order,
         (F.col("_total") - 1).alias("number"),
@@ -64,8 +73,9 @@ def transcript(
 def turns_of_outcomes(outcomes: DataFrame, count_failed_twice: bool = False) -> DataFrame:
     """Exchanges with normalised payloads as turns: the message, and the reply or failure after it.
 
-    Gives (conv_id, turn, slot, role, text, failed, weight), ordered by turn and slot. The numbering that
-    lets a reply of the wrong type use up two numbers is an option.
+    Gives (conv_id, turn, slot, role, text, failed, weight, hidden), ordered by turn and slot. The numbering that
+    lets a reply of the wrong type use up two numbers is an option. The message of an exchange with a true `hidden`
+    is hidden, its reply is not.
     """
     failed = F.col("status").isin("bad_body", "bad_type")
     twice = (F.col("status") == "bad_type") if count_failed_twice else F.lit(False)
@@ -76,6 +86,7 @@ def turns_of_outcomes(outcomes: DataFrame, count_failed_twice: bool = False) ->
             F.col("message").alias("text"),
             F.lit(False).alias("failed"),
             F.lit(1).alias("weight"),
+            is_hidden(outcomes).alias("hidden"),
         ),
         F.struct(
             F.lit(1).alias("slot"),
@@ -83,6 +94,7 @@ def turns_of_outcomes(outcomes: DataFrame, count_failed_twice: bool = False) ->
             F.col("reply").alias("text"),
             failed.alias("failed"),
             F.when(twice, 2).otherwise(1).alias("weight"),
+            F.lit(False).alias("hidden"),
         ),
     )
     turns = outcomes.select(TURN_KEY, "turn", "status", F.inline(said))

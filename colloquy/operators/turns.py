@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import is_blank, strip
 from colloquy.operators.chunks import CHUNK, Chunks, Fold, measure, released, scan
@@ -56,11 +56,16 @@ def number_messages(
     """Turns with their 0-based `number` in the conversation.
 
     A message takes one number; `weight` names a column with the count of numbers it takes, of which
-    it shows the last.
+    it shows the last. A turn with a true `hidden`, where there is such a column, takes and shows none.
     """
     chunks = chunks or turn_chunks(turns)
-    counted = turns.withColumn("_weight", F.col(weight) if weight else F.lit(1))
+    each = F.col(weight) if weight else F.lit(1)
+    counted = turns.withColumn("_weight", F.when(is_hidden(turns), 0).otherwise(each))
     numbered = scan(counted, chunks, {"number": Fold("total", "_weight")})
-    return released(
-        numbered.withColumn("number", F.col("number") - 1).drop("_weight"), turns
-    )
+    shown = F.when(~is_hidden(turns), F.col("number") - 1)
+    return released(numbered.withColumn("number", shown).drop("_weight"), turns)
+
+
+def is_hidden(rows: DataFrame) -> Column:
+    """Whether a turn is one that was never shown, such as a greeting sent on behalf of the user."""
+    return F.coalesce(F.col("hidden"), F.lit(False)) if "hidden" in rows.columns else F.lit(False)

@@ -42,6 +42,7 @@ from colloquy.operators.transcript import AGENT, USER, transcript, turns_of_outc
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges, turn_chunks
 from colloquy.plans import derived
 from colloquy.plans.derived import event_exchanges, event_sends, response_bodies, table
+from colloquy.plans.flow import conversation_flow
 from colloquy.plans.report import conversation_report
 from colloquy.sources.shared import new_folder
 from colloquy.sources.turns import (
@@ -514,6 +515,36 @@ def session_ids_of_hot_session(spark, folder):
     return stitch_ids(given, chunks=cut).drop("conversation_id")
 
 
+FLOW = f"""WITH {TURNS}, asked AS (SELECT * FROM turns WHERE role = 'user'), {OUTCOMES.replace("FROM turns", "FROM asked")},
+sends AS (SELECT conv_id, turn, text AS message, reply, status, status IN ('ok', 'fallback') AS answered,
+    nullif(conversation_id, '') AS returned, turn = 0 AS hidden FROM outcomes),
+{_told("sends")}, state AS ({STATE}),
+numbered AS (SELECT *, sum(CASE WHEN hidden THEN 1 ELSE 2 END) OVER (PARTITION BY conv_id ORDER BY turn) AS total,
+    last_value(returned IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS request_id,
+    last_value(returned IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_id FROM sends),
+labelled AS (SELECT *, {LABEL} AS label FROM (SELECT *, CASE WHEN answered THEN
+    {_cases("message", INTENT_RULES, DEFAULT_INTENT)} END AS intent FROM numbered))
+SELECT conv_id, turn, status, request_id, session_id, message AS sent_message, request_id AS sent_id,
+    CASE WHEN NOT hidden THEN total - 2 END::BIGINT AS number, (total - 1)::BIGINT AS reply_number, label,
+    mode, forecast_albon, forecast_sainz, position_albon, position_sainz
+FROM labelled JOIN state USING (conv_id, turn)"""
+
+
+@query(FLOW)
+def conversation_pipeline(spark, folder):
+    asked = turns_of(spark, folder).where(F.col("role") == "user")
+    bodies = response_bodies(asked.withColumn("message", F.col("text")), "message")
+    done = conversation_flow(bodies.withColumn("hidden", F.col("turn") == 0))
+    return done.withColumns(
+        {
+            "sent_message": F.get_json_object("record", "$.message"),
+            "sent_id": F.get_json_object("record", "$.conversationId"),
+        }
+    ).drop("record")
+
+
 # ---- admission -----------------------------------------------------------------------------------
 
 

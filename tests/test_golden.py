@@ -26,6 +26,7 @@ from colloquy.operators.tagging import (
 )
 from colloquy.operators.transcript import transcript, turns_of_outcomes
 from colloquy.operators.turns import clean_turns, number_messages, pair_exchanges
+from colloquy.plans.flow import conversation_flow
 
 INTENTS = {
     "What is an undercut?": "TERM_EXPLAIN",
@@ -398,3 +399,36 @@ def test_second_reader_agrees_with_the_first():
         assert (got["status"], got["id"]) == (status, id), body
         if status == "ok":
             assert got["reply"] == reply
+
+
+def test_hidden_turns(spark):
+    rows = [
+        (1, 0, "What is DRS?", '{"response":"hi, at home?","conversationId":"c1"}', True),
+        (1, 1, "pit", '{"response":5,"conversationId":"c2"}', False),
+        (1, 2, "tyre", "oops", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, message STRING, body STRING, hidden BOOLEAN")
+    outcomes = normalise_payloads(df)
+    shown = transcript(turns_of_outcomes(outcomes), order=("turn", "slot")).orderBy("number").collect()
+    assert [(r["number"], r["role"], r["label"]) for r in shown] == [
+        (0, "ai", "⚙ Terms Engine"),
+        (1, "user", None),
+        (2, "ai", None),
+        (3, "user", None),
+        (4, "ai", None),
+    ]
+    assert session_snapshot(outcome_exchanges(outcomes)).first()["messages"] == 5
+    numbers = number_messages(turns_of_outcomes(outcomes).withColumn("turn", F.col("turn") * 2 + F.col("slot")))
+    assert [r["number"] for r in numbers.orderBy("turn").collect()] == [None, 0, 1, 2, 3, 4]
+    flow = conversation_flow(df).orderBy("turn").collect()
+    assert [(r["status"], r["request_id"], r["session_id"], r["number"], r["reply_number"]) for r in flow] == [
+        ("ok", None, "c1", None, 0),
+        ("bad_type", "c1", "c2", 1, 2),
+        ("bad_body", "c2", "c2", 3, 4),
+    ]
+    assert [r["record"] for r in flow] == [
+        '{"message":"What is DRS?"}',
+        '{"message":"pit","conversationId":"c1"}',
+        '{"message":"tyre","conversationId":"c2"}',
+    ]
+    assert [r["label"] for r in flow] == ["⚙ Terms Engine", None, None]
