@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from colloquy.llm.batches import few_rows
 from colloquy.llm.suffix_array import permuted_common_prefixes, suffix_array
 from colloquy.sources.shared import new_folder
 
@@ -42,9 +43,11 @@ OPEN, COMMON, WHOLE, STRINGS, PAIRS, STARTS = range(6)
 class Settings(NamedTuple):
     length: int = 50
     gram: int = 20
+    # Documents whose anchors are put together before they are sent on.
+    batch: int = 2500
     # Bytes looked at together when anchors are searched, and of a shard.
-    chunk: int = 1 << 20
-    shard: int = 1 << 20
+    chunk: int = 1 << 18
+    shard: int = 1 << 19
     # Different surroundings of one gram: more than this in a batch, or in all, and it is compared by strings.
     in_batch: int = 256
     in_all: int = 10_000
@@ -157,59 +160,71 @@ def _find(s: Settings, buckets: int):
     """Anchors of a batch of documents, dealt out by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            marks = batch.column(1).to_numpy()
-            texts = [t.as_py().encode() for t in batch.column(2)]
-            order = [i for i in np.argsort(ids, kind="stable") if len(texts[i]) >= s.length]
+        for batch in few_rows(batches, s.batch):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = _bytes_of(batch.column(2))
+            long = np.flatnonzero(np.diff(offsets) >= s.length)
             found, at = [], 0
-            while at < len(order):
-                held, size = [], 0
-                while at < len(order) and size < s.chunk:
-                    held.append(order[at])
-                    size += len(texts[order[at]])
-                    at += 1
-                found.append(_of_texts([texts[i] for i in held], np.array(held), s))
+            while at < len(long):
+                # As many texts as a chunk holds, one at least.
+                end = int(np.searchsorted(offsets[long + 1], offsets[long[at]] + s.chunk, "right"))
+                own = long[at : max(end, at + 1)]
+                found.append(_of_texts(data, offsets[own], offsets[own + 1], own, s))
+                at += len(own)
             if not found:
                 continue
             row, place, gram, around = (np.concatenate(c) for c in zip(*found))
-            rows = list(_dealt(ids[row], marks[row], place, gram, around, buckets, s))
-            for begin in range(0, len(rows), 64):
-                part = zip(*rows[begin : begin + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, CELL_KINDS)], CELL_NAMES)
+            rows: list[tuple] = []
+            for cell in _dealt(ids[row], marks[row], place, gram, around, buckets, s):
+                rows.append(cell)
+                if len(rows) == 64:
+                    yield _batch_of(rows)
+                    rows = []
+            if rows:
+                yield _batch_of(rows)
 
     return run
 
 
-def _of_texts(texts: list[bytes], rows: np.ndarray, s: Settings):
-    """(row, place in its text, gram, surroundings) of the anchors of some texts."""
-    sizes = np.array([len(t) for t in texts])
-    if len(texts) == 1 and sizes[0] > 1 << 27:
-        # A text that the place bits cannot number, in pieces that share all but one byte of a string.
-        data, step, parts = texts[0], 1 << 26, []
-        for begin in range(0, len(data) - s.length + 1, step):
-            # With enough on either side for whole surroundings.
-            low = max(0, begin - 2 * s.length)
-            piece = data[low : begin + step + 3 * s.length]
-            _, place, gram, around = _of_texts([piece], rows, s)
-            own = (place + low >= begin) & (place + low < begin + step)
-            parts.append((place[own] + low, gram[own], around[own]))
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), CELL_KINDS)], CELL_NAMES)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts where they lie, and where each begins and ends; no text may be null."""
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), bounds
+
+
+def _of_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, s: Settings):
+    """(row, place in its text, gram, surroundings) of the anchors of texts in order within `data`."""
+    low, high = int(starts[0]), int(ends[-1])
+    if len(rows) == 1 and high - low > 1 << 27:
+        # A text that the place bits cannot number, in pieces with enough on either side for whole surroundings.
+        step, parts = 1 << 26, []
+        for begin in range(low, high - s.length + 1, step):
+            first, last = max(low, begin - 2 * s.length), min(high, begin + step + 3 * s.length)
+            _, place, gram, around = _of_texts(data, np.array([first]), np.array([last]), rows, s)
+            own = (place + first >= begin) & (place + first < begin + step)
+            parts.append((place[own] + first - low, gram[own], around[own]))
         place, gram, around = (np.concatenate(c) for c in zip(*parts))
         return np.full(len(place), rows[0]), place, gram, around
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    place, text, gram, around = anchors(np.frombuffer(b"".join(texts), np.uint8), starts, ends, s)
-    return rows[text], place - starts[text], gram, around
+    place, text, gram, around = anchors(data[low:high], starts - low, ends - low, s)
+    return rows[text], place - (starts - low)[text], gram, around
 
 
 def _dealt(ids, marks, place, gram, around, buckets: int, s: Settings) -> Iterator[tuple]:
-    """Cells of a batch: of equal surroundings only those of the first document are left open."""
+    """Cells of a batch: of equal surroundings only those of the smallest document are left open."""
     both = gram ^ _mix(around)
     order = np.argsort(both, kind="stable")
-    new = np.r_[True, both[order][1:] != both[order][:-1]]
+    both = both[order]
+    new = np.r_[True, both[1:] != both[:-1]]
     first = np.empty(len(order), ids.dtype)
-    first[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    first[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     kind = np.where(ids == first, OPEN, WHOLE)
+    del both, first
     grams, which, times = np.unique(gram, return_inverse=True, return_counts=True)
     if (times > s.in_batch).any():
         lead = np.zeros(len(order), bool)
@@ -229,8 +244,8 @@ def _dealt(ids, marks, place, gram, around, buckets: int, s: Settings) -> Iterat
 
 
 def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
-    # From bits that are not sent on.
-    return ((gram >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+    # Anchors have small hashes, so they are mixed once more to be dealt out evenly.
+    return ((_mix(gram) >> np.uint64(48)).astype(np.int64) * buckets) >> 16
 
 
 FATES = "id BIGINT, mark INT, kind INT, data BINARY"
@@ -301,7 +316,7 @@ def _cut(s: Settings):
     """Surroundings of open anchors, and hashes of all strings of those to be compared by strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[list] = [[] for _ in range(7)]
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, fates in enumerate(batch.column(3)):
@@ -312,10 +327,12 @@ def _cut(s: Settings):
                 text = batch.column(2)[i].as_py().encode()
                 data = np.frombuffer(text, np.uint8)
                 if len(open_at):
-                    grams = data[open_at[:, None] + np.arange(s.gram)]
+                    # The gram eight bytes at a time, the last eight perhaps in part for the second time.
+                    steps = [*range(0, s.gram - 8, 8), s.gram - 8]
+                    eights = data[open_at[:, None] + np.concatenate([np.arange(8) + x for x in steps])].view(np.uint64)
                     keys = np.zeros(len(open_at), np.uint64)
-                    for c in range(s.gram):
-                        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + grams[:, c])
+                    for c in range(len(steps)):
+                        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + eights[:, c])
                     first = np.maximum(0, open_at - s.before)
                     last = np.minimum(len(data), open_at + s.length)
                     n = len(open_at)
@@ -457,7 +474,7 @@ def _remove(s: Settings, id: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in few_rows(batches, 500):
             sizes, spans, kept = [], [], []
             for text, fates in zip(batch.column(1), batch.column(2)):
                 data = text.as_py().encode()
@@ -512,25 +529,25 @@ def remove_repeats(
     ).parquet(folder)
     fates = spark.read.schema(FATES).parquet(folder)
 
-    def with_fates(found: DataFrame) -> DataFrame:
+    def with_fates(found: DataFrame, how: str) -> DataFrame:
         listed = found.groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(
             F.collect_list(F.struct("kind", "data")).alias("fates")
         )
-        return read.join(listed, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m")), "left")
+        same = (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m"))
+        return known.join(listed, same, how).select("id", "mark", "t", "fates")
+
+    def cut(kind: int) -> DataFrame:
+        # Only texts with such anchors go to a task; all joins with the texts read one shuffle of them.
+        return with_fates(fates.where(F.col("kind") == kind), "inner").mapInArrow(_cut(s), PIECES)
 
-    pieces = (
-        with_fates(fates.where(F.col("kind").isin(OPEN, STRINGS)))
-        .select("id", "mark", "t", "fates")
-        .mapInArrow(_cut(s), PIECES)
-    )
     by_bytes = (
-        pieces.where(F.col("kind") == OPEN)
+        cut(OPEN)
         .select("g", "id", "mark", "start", "bytes")
         .repartition("g")
         .sortWithinPartitions("g")
         .mapInArrow(_shards(s), FATES)
     )
-    strings = pieces.where(F.col("kind") == STRINGS).select("g", "g2", "id", "mark", "start")
+    strings = cut(STRINGS).select("g", "g2", "id", "mark", "start")
     smallest = strings.groupBy("g", "g2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     start = F.unhex(F.lpad(F.hex("start"), 8, "0"))
     by_strings = (
@@ -539,7 +556,9 @@ def remove_repeats(
         .select("id", "mark", F.lit(STARTS).alias("kind"), start.alias("data"))
     )
     gone = fates.where(F.col("kind") == WHOLE).unionByName(by_bytes).unionByName(by_strings)
-    final = with_fates(gone).select("id", "t", "fates")
+    final = with_fates(gone, "left").select("id", "t", "fates")
+    unknown = read.where(F.col("id").isNull()).select("id", "t", F.lit(None).cast(final.schema["fates"].dataType).alias("fates"))
+    final = final.unionByName(unknown)
     schema = T.StructType(
         [
             T.StructField(id, T.LongType()),
