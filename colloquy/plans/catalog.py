@@ -56,6 +56,7 @@ from colloquy.sources.turns import (
 from colloquy.streaming.admission import admit_stream
 from colloquy.streaming.snapshot import keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
+from colloquy.streaming.turns import pair_stream
 
 # Small enough that sessions with a third of all events or turns are cut from sf0.01 on.
 CUT_ROWS = 500
@@ -606,4 +607,15 @@ def streamed_snapshots(spark, folder):
 @query(_admitted("user_id"))
 def streamed_admission(spark, folder):
     sends = event_sends(_stream(spark, folder, "events"))
-    return _finished(spark, admit_stream(sends), "admitted")
+    return _finished(spark, admit_stream(sends), "admitted").drop("late")
+
+
+@query(
+    f"""WITH {TURNS}, {CLEANED}, {PAIRED}, followed AS (
+    SELECT conv_id, turn FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after
+        FROM cleaned) WHERE after IS NOT NULL)
+SELECT * FROM paired JOIN followed USING (conv_id, turn)"""
+)
+def streamed_exchanges(spark, folder):
+    turns = clean_turns(stream_turns(spark, folder, "conversations.parquet"))
+    return _finished(spark, pair_stream(turns), "exchanges").drop("late")

@@ -14,21 +14,30 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class Admission(StatefulProcessor):
-    """Keeps the time from which a key is free again."""
+    """Keeps the time from which a key is free again, and the latest start that was decided."""
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.free_at = handle.getValueState("free_at", "free_at BIGINT")
+        self.state = handle.getValueState("free_at", "free_at BIGINT, decided BIGINT", self.keep_ms)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timer_values
     ) -> Iterator[pd.DataFrame]:
-        free = self.free_at.get()[0] if self.free_at.exists() else NEVER
+        free, decided = self.state.get() if self.state.exists() else (NEVER, NEVER)
         # Rows of a key come in no fixed order within a micro-batch.
         batch = pd.concat(list(rows)).sort_values(["begin", "send"], kind="stable")
-        admitted, free = decide(batch["begin"].tolist(), batch["finish"].tolist(), free)
-        self.free_at.update((int(free),))
+        begins = batch["begin"].tolist()
+        admitted, free = decide(begins, batch["finish"].tolist(), free)
+        self.state.update((int(free), int(max(decided, begins[-1]))))
         yield pd.DataFrame(
-            {"send": batch["send"].to_numpy(), "session": key[0], "admitted": admitted}
+            {
+                "send": batch["send"].to_numpy(),
+                "session": key[0],
+                "admitted": admitted,
+                "late": [b < decided for b in begins],
+            }
         )
 
     def close(self) -> None:
@@ -52,13 +61,21 @@ def _ticks(sends: DataFrame, name: str) -> Column:
 
 
 def admit_stream(
-    sends: DataFrame, key: str = "key", start: str = "start", end: str = "end", id: str = "id"
+    sends: DataFrame,
+    key: str = "key",
+    start: str = "start",
+    end: str = "end",
+    id: str = "id",
+    keep_ms: int | None = None,
 ) -> DataFrame:
-    """(id, key, admitted) for each send of a stream, in append mode.
+    """(id, key, admitted, late) for each send of a stream, in append mode.
 
-    Sends of a key must arrive in order across micro-batches; within one they may be shuffled. A task holds
-    the sends that one micro-batch brings for a key, so bound the micro-batch at the source, see
-    `stream_files`. The state is one number per key and is kept for good.
+    Sends of a key must arrive in order across micro-batches; within one they may be shuffled. One that starts
+    before a send of its key that an earlier micro-batch decided is decided by the state as it is then and marked
+    `late`, as its verdict may differ from that of a table in order. A task holds the sends that one micro-batch
+    brings for a key, so bound the micro-batch at the source, see `stream_files`. The state is two numbers per key,
+    kept for good or until a key has been still for `keep_ms`; a query with `keep_ms` looks for what expired without
+    end, so `availableNow` does not end it.
     """
     sends.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     check_times(sends, start, end)
@@ -74,9 +91,13 @@ def admit_stream(
             T.StructField("send", sends.schema[id].dataType),
             T.StructField("session", sends.schema[key].dataType),
             T.StructField("admitted", T.BooleanType()),
+            T.StructField("late", T.BooleanType()),
         ]
     )
     decided = timed.groupBy("session").transformWithStateInPandas(
-        Admission(), schema, outputMode="Append", timeMode="None"
+        Admission(keep_ms),
+        schema,
+        outputMode="Append",
+        timeMode="None" if keep_ms is None else "ProcessingTime",
     )
-    return decided.select(F.col("send").alias(id), F.col("session").alias(key), "admitted")
+    return decided.select(F.col("send").alias(id), F.col("session").alias(key), "admitted", "late")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from colloquy.functions.rules import ENTITIES
 from colloquy.operators.session import session_snapshot
 from colloquy.operators.turns import TURN_KEY
 
-VERSION = "batch"
+# A version is a run of the stream and a micro-batch in it; runs are numbered by what the folder holds.
+RUN, BATCH = "run", "batch"
+
+
+def _runs(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return sorted(int(n.removeprefix(f"{RUN}=")) for n in names if n.startswith(f"{RUN}="))
 
 
 def keep_snapshots(
@@ -24,12 +31,14 @@ def keep_snapshots(
     """Writer of the snapshot of each session that a micro-batch changes.
 
     Exchanges may arrive in any order, as state keeps (turn, value) pairs. The aggregation combines
-    before its shuffle, so a busy session sends one row per task. A repeated micro-batch overwrites its
-    own folder.
+    before its shuffle, so a busy session sends one row per task. Every call starts a run of its own, whose
+    versions are above all that the folder holds, with the old progress folder or a new one; a micro-batch that
+    is repeated within a run overwrites its own folder.
     """
+    run = max(_runs(exchanges.sparkSession, path), default=-1) + 1
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch}")
+        changed.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch}")
 
     return (
         session_snapshot(exchanges, key=key, **options)
@@ -42,6 +51,21 @@ def keep_snapshots(
 def latest_snapshots(spark: SparkSession, path: str, key: str = TURN_KEY) -> DataFrame:
     """The last version written of each session."""
     versions = spark.read.parquet(path)
-    state = [c for c in versions.columns if c not in (key, VERSION)]
-    last = versions.groupBy(key).agg(F.max_by(F.struct(*state), VERSION).alias("_state"))
+    state = [c for c in versions.columns if c not in (key, RUN, BATCH)]
+    last = versions.groupBy(key).agg(F.max_by(F.struct(*state), F.struct(RUN, BATCH)).alias("_state"))
     return last.select(key, "_state.*")
+
+
+def compact_snapshots(spark: SparkSession, path: str, key: str = TURN_KEY) -> None:
+    """Writes the last version of each session as a run of its own and removes the runs before it.
+
+    For a folder that no stream is writing to: the next `keep_snapshots` goes on above it. Should this break off
+    half-way, older runs are still there and nothing is lost.
+    """
+    runs = _runs(spark, path)
+    if not runs:
+        return
+    latest_snapshots(spark, path, key).write.parquet(f"{path}/{RUN}={runs[-1] + 1}/{BATCH}=0")
+    for run in runs:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RUN}={run}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

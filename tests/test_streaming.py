@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from colloquy.operators.session import session_snapshot
 from colloquy.sources.shared import new_folder
 from colloquy.sources.turns import stream_files
 from colloquy.streaming.admission import admit_stream
-from colloquy.streaming.snapshot import keep_snapshots, latest_snapshots
+from colloquy.streaming.snapshot import compact_snapshots, keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
+from colloquy.streaming.turns import pair_stream
 
 PHRASES = ["at home", "circuit", "Albon P{n}, Sainz P{m}", "hello", "explain the pit", "Albon P{n}"]
 
@@ -64,6 +66,62 @@ def test_snapshots(spark, arriving):
     ).start().awaitTermination()
     assert spark.read.parquet(out).select("batch").distinct().count() > 1
     same(latest_snapshots(spark, out), session_snapshot(table))
+    # A new progress folder begins at batch 0 again; what it reads anew is the last word.
+    keep_snapshots(stream, out, new_folder(spark, "progress")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert spark.read.parquet(out).select("run").distinct().count() == 2
+    same(latest_snapshots(spark, out), session_snapshot(table))
+    compact_snapshots(spark, out)
+    versions = spark.read.parquet(out)
+    assert versions.count() == versions.select("conv_id").distinct().count()
+    same(latest_snapshots(spark, out), session_snapshot(table))
+
+
+def test_a_new_run_outweighs_older_versions(spark):
+    schema = "conv_id BIGINT, turn BIGINT, message STRING, reply STRING, answered BOOLEAN"
+    folder, out = new_folder(spark, "arriving"), new_folder(spark, "snapshots")
+
+    def run():
+        stream = stream_files(spark, folder, schema, per_batch=1)
+        keep_snapshots(stream, out, new_folder(spark, "progress")).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    for turn in (1, 2):
+        spark.createDataFrame([(1, turn, "hello", "ok", True)], schema).write.mode("append").parquet(folder)
+    run()
+    spark.createDataFrame([(1, 0, "at home", "ok", True)], schema).write.mode("append").parquet(folder)
+    run()
+    got = latest_snapshots(spark, out).first()
+    assert (got["mode"], got["messages"]) == ("home", 6)
+
+
+def test_pairs(spark):
+    folder, out = new_folder(spark, "turns"), new_folder(spark, "pairs")
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    files = [
+        [(1, 1, "ai", "x"), (1, 0, "user", "a"), (2, 0, "user", "b")],
+        [(2, 1, "user", "c"), (1, 4, "user", "d")],
+        [(2, 2, "ai", "y"), (1, 2, "user", "late"), (1, 3, "ai", "later")],
+    ]
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    (
+        pair_stream(stream_files(spark, folder, schema, per_batch=1))
+        .writeStream.option("checkpointLocation", new_folder(spark, "progress"))
+        .trigger(availableNow=True)
+        .start(out, format="parquet")
+        .awaitTermination()
+    )
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        (1, 0, "a", "x", True, False),
+        (2, 0, "b", None, False, False),
+        (2, 1, "c", "y", True, False),
+        (1, 2, "late", None, False, True),
+        (1, 3, None, "later", False, True),
+    }
 
 
 def test_admission(spark):
@@ -88,4 +146,30 @@ def test_admission(spark):
         .start(out, format="parquet")
         .awaitTermination()
     )
-    same(spark.read.parquet(out), admit_sends(table).select("id", "key", "admitted"))
+    same(spark.read.parquet(out).drop("late"), admit_sends(table).select("id", "key", "admitted"))
+    assert spark.read.parquet(out).where("late").count() == 0
+
+
+def test_a_late_send_is_marked(spark):
+    folder, out = new_folder(spark, "sends"), new_folder(spark, "admitted")
+    schema = "id BIGINT, key STRING, start BIGINT, end BIGINT"
+    for part in ([(1, "a", 10, 20), (2, "b", 1, 2)], [(3, "a", 0, 5), (4, "b", 3, 4)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    # State that expires is looked at again and again, so the query is stopped once its rows are there.
+    query = (
+        admit_stream(stream_files(spark, folder, schema, per_batch=1), keep_ms=3_600_000)
+        .writeStream.option("checkpointLocation", new_folder(spark, "progress"))
+        .trigger(processingTime="1 second")
+        .start(out, format="parquet")
+    )
+    try:
+        until = time.time() + 120
+        while time.time() < until and query.exception() is None:
+            time.sleep(1)
+            if sum(p["numInputRows"] for p in query.recentProgress) >= 4:
+                break
+        time.sleep(3)
+    finally:
+        query.stop()
+    got = {(r["id"], r["admitted"], r["late"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, True, False), (2, True, False), (3, False, True), (4, True, False)}
