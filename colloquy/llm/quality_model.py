@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from colloquy.llm.batches import few_rows
 from colloquy.sources.shared import new_folder
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -110,7 +111,7 @@ class _Words:
     def look_up(self, word: str) -> tuple[int, int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             if word[0].isalpha():
                 form = UPPER if len(word) > 1 and word.isupper() else TITLE if word[0].isupper() else LOWER
@@ -244,7 +245,7 @@ def fit(
     sample = spark.read.parquet(folder).coalesce(8)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summed = contexts((t for b in batches for t in b.column(0).to_pylist()), s)
+        summed = contexts((t for b in few_rows(batches) for t in b.column(0).to_pylist()), s)
         yield pa.RecordBatch.from_arrays([pa.array([summed.tobytes()], pa.binary())], ["sums"])
 
     summed = np.zeros((s.buckets, s.size + 1), np.float32)
@@ -254,7 +255,7 @@ def fit(
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(s)
-        for b in batches:
+        for b in few_rows(batches):
             x = [v.tobytes() for v in pool(b.column(0).to_pylist(), vectors, words)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2)], ["x", "y", "c"])
 
@@ -282,7 +283,7 @@ def score(texts: DataFrame, model: Model, *keep: str, text: str = "text", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         words = _Words(m.settings)
-        for b in batches:
+        for b in few_rows(batches):
             if m.network is None:
                 scores = np.full(b.num_rows, m.share)
             else:

@@ -23,13 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from colloquy.llm.batches import few_rows
+
 MARK = "▁"
 # Numbers of the model format, as in its public schema.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 # Words kept with their ids between batches, and the longest one kept.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 CACHED_CHARS = 64
+# Words encoded in one call: the library keeps far more than ids of each until they are read.
+ENCODED_TOGETHER = 8192
 
 
 class Piece(NamedTuple):
@@ -198,7 +202,10 @@ class Codec:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         new = [w for w in words if w not in self.words]
-        encoded = [tuple(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        encoded: list[tuple[int, ...]] = []
+        for at in range(0, len(new), ENCODED_TOGETHER):
+            part = self.tokenizer.encode_batch_fast(new[at : at + ENCODED_TOGETHER], add_special_tokens=False)
+            encoded += [tuple(e.ids) for e in part]
         self.words.update(zip(new, encoded))
         if self.reference is not None and new:
             self._compare(new, encoded)
@@ -235,6 +242,20 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+def codec_of(data: bytes, verify: bool = False) -> Codec:
+    """The codec of a model, kept from task to task: what the library holds for one is not all given back.
+
+    It is kept at the library, which stays loaded in a worker; this module travels with each task.
+    """
+    import tokenizers
+
+    kept = getattr(tokenizers, "_kept_codec", None)
+    if kept is None or kept[0] != (data, verify):
+        kept = (data, verify), Codec(data, verify)
+        tokenizers._kept_codec = kept
+    return kept[1]
+
+
 ENCODED = T.ArrayType(T.IntegerType())
 
 
@@ -246,7 +267,7 @@ def encode(texts: DataFrame, model: bytes, *keep: str, text: str = "text", into:
     at = keep.index(text) if given else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in _slices(batches):
             ids, _ = codec.encode_batch(batch.column(at).to_pylist())
             column = pa.array(ids, pa.list_(pa.int32()))
@@ -261,8 +282,8 @@ def decode(tokens: DataFrame, model: bytes, *keep: str, column: str = "tokens",
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
-        for batch in batches:
+        codec = codec_of(model)
+        for batch in few_rows(batches, 250):
             texts = [None if ids is None else codec.decode(ids) for ids in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*keep, into])
 
@@ -287,7 +308,7 @@ def encode_digests(texts: DataFrame, model: bytes, id: str = "doc_id", text: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, verify=True)
+        codec = codec_of(model, verify=True)
         for batch in _slices(batches):
             given = [t or "" for t in batch.column(1).to_pylist()]
             ids, bad = codec.encode_batch(given)
@@ -305,12 +326,11 @@ def encode_digests(texts: DataFrame, model: bytes, id: str = "doc_id", text: str
     return read.mapInArrow(run, schema)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small batches, since ids take several times the room of their text. Threads of the library are switched
     on: a worker process has not used it before."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    os.environ.setdefault("RAYON_NUM_THREADS", "4")
+    return few_rows(batches, 250)
