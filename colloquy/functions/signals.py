@@ -34,10 +34,11 @@ def lines_with(text: Column, name: str) -> Column:
     return F.filter(F.split(text, LINE_END), lambda line: F.contains(line, F.lit(name)))
 
 
-def _first_hit(lines: Column, found) -> Column:
-    """What the first line with a hit gives; empty when none does."""
-    hits = F.filter(F.transform(lines, found), lambda x: x != "")
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+def _first_hit(text: Column, name: str, found) -> Column:
+    """What the first line with a hit gives; empty when none does. A text of one line, as most are, is not cut."""
+    hits = F.filter(F.transform(lines_with(text, name), found), lambda x: x != "")
+    one = F.when(F.contains(text, F.lit(name)), found(text))
+    return F.coalesce(F.when(text.rlike(LINE_END), F.get(hits, F.lit(0))).otherwise(one), F.lit(""))
 
 
 def number_after(lowered: Column, entity: str) -> Column:
@@ -60,7 +61,7 @@ def number_before(lowered: Column, entity: str) -> Column:
         before = F.left(line, F.length(line) - F.length(behind) - len(name))
         return F.regexp_extract(before, "[p#]([0-9]+)", 1)
 
-    return _first_hit(lines_with(lowered, name), found)
+    return _first_hit(lowered, name, found)
 
 
 def place_in_reply(reply: Column, entity: str) -> Column:
@@ -73,4 +74,4 @@ def place_in_reply(reply: Column, entity: str) -> Column:
         behind = F.substr(line, F.instr(line, F.lit(entity)) + len(entity))
         return F.regexp_extract(behind, "[Pp]([0-9]+)", 1)
 
-    return _first_hit(lines_with(reply, entity), found)
+    return _first_hit(reply, entity, found)
