@@ -259,21 +259,31 @@ def codec_of(data: bytes, verify: bool = False) -> Codec:
 ENCODED = T.ArrayType(T.IntegerType())
 
 
-def encode(texts: DataFrame, model: bytes, *keep: str, text: str = "text", into: str = "tokens") -> DataFrame:
-    """(kept columns, ids of the text)."""
+def encode(
+    texts: DataFrame, model: bytes, *keep: str, text: str = "text", into: str = "tokens", verify: bool = False
+) -> DataFrame:
+    """(kept columns, ids of the text), and with `verify` the n_differing and round_trip of `encode_digests`."""
     n = len(keep)
     given = text in keep
     read = texts.select(*keep, *([] if given else [F.col(text).cast("string").alias("_t")]))
     at = keep.index(text) if given else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model)
+        codec = codec_of(model, verify)
         for batch in _slices(batches):
-            ids, _ = codec.encode_batch(batch.column(at).to_pylist())
-            column = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], column], [*keep, into])
-
-    return read.mapInArrow(run, T.StructType([*read.schema[:n], T.StructField(into, ENCODED)]))
+            given = batch.column(at).to_pylist()
+            ids, bad = codec.encode_batch(given)
+            columns = [pa.array(ids, pa.list_(pa.int32()))]
+            if verify:
+                back = [None if i is None else codec.decode(i.tolist()) == x for i, x in zip(ids, given)]
+                columns += [pa.array(bad, pa.int64()), pa.array(back, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names)
+
+    schema = T.StructType([*read.schema[:n], T.StructField(into, ENCODED)])
+    if verify:
+        schema = schema.add("n_differing", T.LongType()).add("round_trip", T.BooleanType())
+    names = schema.names
+    return read.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: bytes, *keep: str, column: str = "tokens", into: str = "text") -> DataFrame:
