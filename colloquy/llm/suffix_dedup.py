@@ -12,8 +12,8 @@ id. Strings are judged on the input.
 3.  For those, and only for those, the surroundings themselves are cut out of the texts, brought together by gram,
     and put one behind the other in shards. A suffix array of each shard, by induced sorting, and the common prefixes
     of neighbours in it tell which strings of the full length occur more than once, and in which document first.
-4.  A gram with more different surroundings than a shard should hold is compared by all its strings instead, as
-    hashes grouped by the engine, so that no group is gathered in one task.
+4.  A gram with more different surroundings, or more places left, than a shard should hold is compared by all its
+    strings instead, as hashes grouped by the engine, so that no group is gathered in one task.
 
 Equal surroundings are recognised by 96 bits of hash and the strings of step 4 by 128; the rest is compared by bytes.
 
@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from colloquy.llm.batches import few_rows
@@ -48,7 +49,8 @@ class Settings(NamedTuple):
     # Bytes looked at together when anchors are searched, and of a shard.
     chunk: int = 1 << 18
     shard: int = 1 << 19
-    # Different surroundings of one gram: more than this in a batch, or in all, and it is compared by strings.
+    # Different surroundings of one gram: more than this in a batch, or in all, and it is compared by strings. In all,
+    # equal surroundings within a document count as often as they are there.
     in_batch: int = 256
     in_all: int = 10_000
 
@@ -291,7 +293,9 @@ def _fates(rows: list[dict], s: Settings) -> Iterator[pa.RecordBatch]:
         different = np.add.reduceat(new.astype(np.int64), starts)
         several = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)
         everywhere = np.isin(gram[starts], np.concatenate(common)) if common else np.zeros(len(starts), bool)
-        by_strings = everywhere | ((different > s.in_all) & several)
+        # What is cut out is every open place of a gram, also those of equal surroundings in one document.
+        places_of = np.add.reduceat((~whole).astype(np.int64), starts)
+        by_strings = everywhere | ((np.maximum(different, places_of) > s.in_all) & (different > 1) & several)
         by_bytes = (different > 1) & several & ~by_strings
         for kind, mine in ((WHOLE, whole), (STRINGS, by_strings[of] & ~whole), (OPEN, by_bytes[of] & ~whole)):
             parts[kind].append((ids[mine], marks[mine], places[mine]))
@@ -344,8 +348,10 @@ def _cut(s: Settings):
                     out[3] += [ids[i]] * n
                     out[4] += [marks[i]] * n
                 if len(string_at):
-                    at = (string_at[:, None] - np.arange(s.before + 1)).ravel()
-                    at = np.unique(at[(at >= 0) & (at + s.length <= len(data))])
+                    steps = np.zeros(len(data) + 1, np.int64)
+                    np.add.at(steps, np.maximum(0, string_at - s.before), 1)
+                    np.add.at(steps, string_at + 1, -1)
+                    at = np.flatnonzero(np.cumsum(steps)[: len(data) - s.length + 1] > 0)
                     hashes = gram_hashes(data, s.gram)
                     one = _mix(hashes[at])
                     for step in (*range(s.gram, s.before, s.gram), s.before):
@@ -353,14 +359,19 @@ def _cut(s: Settings):
                     two = _mix(hashes[at] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1))
                     for step in (*range(s.gram, s.before, s.gram), s.before):
                         two = _mix((two ^ hashes[at + step]) * np.uint64(0x94D049BB133111EB))
-                    n = len(at)
-                    out[0] += [STRINGS] * n
-                    out[1] += one.view(np.int64).tolist()
-                    out[2] += two.view(np.int64).tolist()
-                    out[3] += [ids[i]] * n
-                    out[4] += [marks[i]] * n
-                    out[5] += at.tolist()
-                    out[6] += [None] * n
+                    for low in range(0, len(at), 20_000):
+                        own = slice(low, low + 20_000)
+                        n = len(at[own])
+                        out[0] += [STRINGS] * n
+                        out[1] += one[own].view(np.int64).tolist()
+                        out[2] += two[own].view(np.int64).tolist()
+                        out[3] += [ids[i]] * n
+                        out[4] += [marks[i]] * n
+                        out[5] += at[own].tolist()
+                        out[6] += [None] * n
+                        if len(out[0]) >= 20_000:
+                            yield _pieces(out)
+                            out = [[] for _ in range(7)]
                 if len(out[0]) >= 20_000:
                     yield _pieces(out)
                     out = [[] for _ in range(7)]
@@ -379,7 +390,10 @@ def _pieces(out: list[list]) -> pa.RecordBatch:
 
 def _places(fates, kind: int, form: str = "<u4") -> np.ndarray:
     """Places of one kind out of a row's list of (kind, data)."""
-    own = [f["data"] for f in fates.as_py() or () if f["kind"] == kind]
+    listed = fates.values
+    if listed is None:
+        return np.empty(0, np.int64)
+    own = listed.field("data").filter(pc.equal(listed.field("kind"), kind)).to_pylist()
     return np.frombuffer(b"".join(own), form).astype(np.int64) if own else np.empty(0, np.int64)
 
 
