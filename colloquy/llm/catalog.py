@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, decontaminate, main_text, oracles, pii, quality_model, quality_rules, secrets, sentencepiece_codec, simhash, suffix_dedup
+from colloquy.llm import chat, decontaminate, main_text, oracles, pii, prefix_trie, quality_model, quality_rules, secrets, sentencepiece_codec, simhash, suffix_dedup
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.borrowed_heads(numbered))
+
+
 SQL["op1_secrets"] = oracles.OP1
 SQL["op3_quality_rules"] = oracles.OP3
 SQL["op8_chat_format"] = oracles.OP8
+SQL["op11_conversation_trie"] = oracles.OP11

@@ -106,3 +106,44 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE false END) AND bool_and(after IS NOT NULL OR role = 'assistant') AS valid
 FROM ordered GROUP BY conv_id
 """
+
+def _checksum(text: str) -> str:
+    """CRC-32 of a text of digits, as an unsigned number."""
+    shifts = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda y: ascii(y)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {shifts}))"
+
+
+OP11 = rf"""
+WITH numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, id) - 1 AS place, id, words
+  FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT conv_id, {_checksum("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM numbered)),
+rebuilt AS (
+  SELECT c.conv_id, n.place, n.id, n.words FROM convs c
+    JOIN numbered n ON n.conv_id = c.conv_id - c.conv_id % 20 AND n.place < c.h
+  UNION ALL
+  SELECT conv_id, place, id, words FROM convs JOIN numbered USING (conv_id) WHERE place >= h),
+whole AS (
+  SELECT conv_id, coalesce(list(id ORDER BY place) FILTER (id IS NOT NULL), []) AS ids, list(words ORDER BY place) AS words
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+begun AS (
+  SELECT conv_id, d, array_to_string(ids[1:d], '') AS path, CASE WHEN d > 0 THEN array_to_string(ids[1:d - 1], '') END AS above,
+    CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(ids) AS ends
+  FROM (SELECT *, unnest(generate_series(0, len(ids))) AS d FROM whole)),
+nodes AS (
+  SELECT path, d, any_value(above) AS above, any_value(words) AS words, count(*) AS n, min(conv_id) AS conv_id,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM begun GROUP BY path, d),
+children AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT *, coalesce(n_children, 0) AS kids FROM nodes LEFT JOIN children USING (path)),
+sums AS (
+  SELECT top.path, count(*) FILTER (sub.kids = 0) AS n_leaves, sum((sub.n - 1) * sub.words)::BIGINT AS saved_tokens
+  FROM counted top JOIN counted sub ON starts_with(sub.path, top.path) GROUP BY top.path)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n AS n_convs, c.kids AS n_children, n_leaves, saved_tokens,
+  c.ends_sha256
+FROM counted c JOIN sums USING (path) LEFT JOIN nodes p ON p.path = c.above
+"""
