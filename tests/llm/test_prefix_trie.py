@@ -148,7 +148,7 @@ def test_trees_of_bounded_size_add_up(monkeypatch):
 def test_tree_layouts_and_walk():
     dice = random.Random(7)
     keys = {bytes(dice.randrange(256) for _ in range(dice.choice([0, 1, 2, 3]))) for _ in range(3000)}
-    keys |= {b"shared path" + bytes([i]) for i in range(5)} | {b"shared"}
+    keys |= {b"shared path" + bytes([i]) for i in range(30)} | {b"shared"}
     tree, kinds = Tree(), set()
     for i, k in enumerate(dice.sample(sorted(keys), len(keys))):
         tree.add(k, 2, i)
