@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import chat, decontaminate, main_text, oracles, pii, prefix_trie, quality_model, quality_rules, secrets, sentencepiece_codec, simhash, suffix_dedup
+from colloquy.llm import (
+    chat,
+    decontaminate,
+    main_text,
+    mixing,
+    oracles,
+    periodic_runs,
+    pii,
+    prefix_trie,
+    quality_model,
+    quality_rules,
+    secrets,
+    sentencepiece_codec,
+    simhash,
+    suffix_dedup,
+)
 from colloquy.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +151,55 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.borrowed_heads(numbered))
 
 
+@query
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken")
+    )
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by the checksum of its id, goes on in periods from a place on."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # Words are made for those documents alone.
+    words = F.when(checksum % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = documents.select("doc_id", "text", words.alias("words"), F.floor(checksum / 10).cast("long").alias("g"))
+    n = F.size("words")
+    placed = split.withColumn("n", F.when(n > 0, n.cast("long"))).withColumn("a", F.col("g") % F.col("n"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    again = F.expr(
+        "array_join(transform(sequence(0, n - 1), i -> words[int(if(i < a, i, a + (i - a) % period))]), ' ')"
+    )
+    return placed.withColumn("period", period.cast("long")).select(
+        "doc_id", F.when(F.col("n").isNotNull(), again).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    told = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.p")
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 SQL["op1_secrets"] = oracles.OP1
 SQL["op3_quality_rules"] = oracles.OP3
 SQL["op8_chat_format"] = oracles.OP8
 SQL["op11_conversation_trie"] = oracles.OP11
+SQL["op12_mix"] = oracles.OP12
+SQL["op13_periodic_runs"] = oracles.OP13

@@ -147,3 +147,82 @@ SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n AS n_convs, c.k
   c.ends_sha256
 FROM counted c JOIN sums USING (path) LEFT JOIN nodes p ON p.path = c.above
 """
+
+# Documents of a source are walked in the order of their hash, one at a time.
+OP12 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'none') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash
+  FROM documents),
+sources AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)),
+-- Sources that reach their limit first come first: of all numbers of them the least that leaves no other one above.
+steps AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS shares,
+    coalesce(sum(3 * source_size) OVER before, 0) AS given, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k
+  FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT k, (total - given)::BIGINT AS rest, shares::BIGINT AS shares FROM steps
+  WHERE (total - given) * weight / shares <= 3 * source_size ORDER BY k LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN steps.k < level.k THEN (3 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / level.shares END AS target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+    floor(target - whole * source_size)::BIGINT AS budget
+  FROM steps, level),
+groups AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash) AS n
+  FROM (SELECT source, hash, any_value(size) AS size, sum(size)::BIGINT AS words FROM docs WHERE size > 0 GROUP BY source, hash)),
+walk AS (
+  SELECT source, 0::BIGINT AS n, budget AS space, budget AS most, budget * 1000 <= target AS done, FALSE AS taken, target
+  FROM targets
+  UNION ALL
+  SELECT w.source, g.n, CASE WHEN fits AND g.words <= space THEN space - g.words ELSE space END,
+    CASE WHEN fits AND g.words > space THEN space ELSE most END,
+    done OR (fits AND g.words > space AND space * 1000 <= target), fits AND g.words <= space, target
+  FROM (SELECT * FROM walk) w JOIN (SELECT * FROM groups) g ON g.source IS NOT DISTINCT FROM w.source AND g.n = w.n + 1,
+    LATERAL (SELECT NOT done AND g.size <= most AS fits)),
+ends AS (SELECT source, arg_max(space, n) AS space, any_value(target) AS target FROM walk GROUP BY source),
+extra AS (
+  SELECT g.source, arg_min(g.n, (abs(g.words - e.space), g.hash)) AS n
+  FROM ends e JOIN groups g ON g.source IS NOT DISTINCT FROM e.source JOIN walk w ON w.source IS NOT DISTINCT FROM g.source AND w.n = g.n
+  WHERE e.space * 1000 > e.target AND NOT w.taken AND g.words < 2 * e.space GROUP BY g.source)
+SELECT doc_id, d.size, source_size, t.target, (d.size * (whole + CASE WHEN w.taken OR x.n IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM docs d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source
+LEFT JOIN groups g ON g.source IS NOT DISTINCT FROM d.source AND g.hash = d.hash
+LEFT JOIN walk w ON w.source IS NOT DISTINCT FROM d.source AND w.n = g.n
+LEFT JOIN extra x ON x.source IS NOT DISTINCT FROM d.source AND x.n = g.n
+"""
+
+OP13 = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS given, len(given) AS n,
+    {_checksum("doc_id::VARCHAR")} AS h, h // 10 AS g, CASE WHEN n > 0 THEN g % n END AS a, 1 + (n - a) // (3 + g % 8) AS p
+  FROM documents),
+texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(generate_series(0, n - 1), lambda i: given[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+    ELSE given END AS words
+  FROM docs),
+windows AS (SELECT doc_id, i, words[i + 1:i + 6] AS six FROM (SELECT *, unnest(generate_series(0, n - 6)) AS i FROM texts WHERE n >= 12)),
+again AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.six = y.six AND x.i < y.i),
+islands AS (
+  SELECT doc_id, q, min(i) AS start, max(i) + 6 + q - min(i) AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM again) GROUP BY doc_id, q, island),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= 12 AND length >= 2 * q GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs,
+    first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(words[i + 1], ' ' ORDER BY i) AS collapsed
+  FROM (SELECT doc_id, words, unnest(generate_series(0, n - 1)) AS i FROM texts) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
