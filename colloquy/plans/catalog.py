@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.functions.rules import (
@@ -53,7 +55,9 @@ from colloquy.sources.turns import (
     write_requests,
     write_transcript,
 )
-from colloquy.streaming.admission import admit_stream
+from colloquy.streaming.admission import admission_state, admit_stream
+from colloquy.streaming.ordered import rocksdb_state
+from colloquy.streaming.session import session_state_stream, stitch_ids_stream
 from colloquy.streaming.snapshot import keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
 from colloquy.streaming.turns import pair_stream
@@ -494,8 +498,7 @@ def conversation_snapshots(spark, folder):
     return conversation_snapshot(clean_turns(turns), chunks=turn_chunks(turns))
 
 
-def _returned(spark, folder, key):
-    events = table(spark, folder, "events")
+def _returned(events, key):
     returned = "CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN NULL ELSE event_type END"
     return events.select(
         F.expr(key).alias("conv_id"),
@@ -506,12 +509,12 @@ def _returned(spark, folder, key):
 
 @query(IDS.replace("{key}", "user_id"))
 def session_ids(spark, folder):
-    return stitch_ids(_returned(spark, folder, "user_id")).drop("conversation_id")
+    return stitch_ids(_returned(table(spark, folder, "events"), "user_id")).drop("conversation_id")
 
 
 @query(IDS.replace("{key}", derived.HOT_SESSION))
 def session_ids_of_hot_session(spark, folder):
-    given = _returned(spark, folder, derived.HOT_SESSION)
+    given = _returned(table(spark, folder, "events"), derived.HOT_SESSION)
     cut = measure(given, "conv_id", ("turn",), CUT_ROWS)
     return stitch_ids(given, chunks=cut).drop("conversation_id")
 
@@ -582,6 +585,25 @@ def _finished(spark, stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _all_of(spark, purpose: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a job that waits for the watermark gives in the end: all of its input first, then, in a second run that goes on
+    from the first, the mark that nothing more will come."""
+    marks, path, progress = new_folder(spark, "marks"), new_folder(spark, purpose), new_folder(spark, "progress")
+    spark.createDataFrame([], "until TIMESTAMP").write.parquet(marks)
+    for last in (False, True):
+        if last:
+            spark.sql("SELECT TIMESTAMP '9000-01-01 00:00:00' AS until").write.mode("append").parquet(marks)
+        stream = job(stream_files(spark, marks, "until TIMESTAMP"))
+        with rocksdb_state(spark):
+            running = (
+                stream.writeStream.option("checkpointLocation", progress)
+                .trigger(availableNow=True)
+                .start(path, format="parquet")
+            )
+        running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).drop("late")
+
+
 @query(f"WITH {TURNS} SELECT * FROM turns")
 def streamed_turns(spark, folder):
     return _finished(spark, stream_turns(spark, folder, "conversations.parquet"), "turns")
@@ -607,15 +629,51 @@ def streamed_snapshots(spark, folder):
 @query(_admitted("user_id"))
 def streamed_admission(spark, folder):
     sends = event_sends(_stream(spark, folder, "events"))
-    return _finished(spark, admit_stream(sends), "admitted").drop("late")
+    return _all_of(spark, "admitted", lambda marks: admit_stream(sends, delay="1 hour", marks=marks))
 
 
-@query(
-    f"""WITH {TURNS}, {CLEANED}, {PAIRED}, followed AS (
-    SELECT conv_id, turn FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after
-        FROM cleaned) WHERE after IS NOT NULL)
-SELECT * FROM paired JOIN followed USING (conv_id, turn)"""
-)
+@query(_admitted("user_id"))
+def streamed_admission_after_table(spark, folder):
+    """The first half of the time is decided as a table, the stream goes on from there."""
+    events = table(spark, folder, "events")
+    times = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    half = F.lit(times["first"] + (times["last"] - times["first"]) / 2)
+    before = admit_sends(event_sends(events.where(F.col("ts") < half)))
+    sends = event_sends(_stream(spark, folder, "events").where(F.col("ts") >= half))
+    after = _all_of(spark, "admitted", lambda marks: admit_stream(sends, marks=marks, initial=admission_state(before)))
+    return before.select("id", "key", "admitted").unionByName(after)
+
+
+@query(f"WITH {TURNS}, {CLEANED}, {PAIRED} SELECT * FROM paired")
 def streamed_exchanges(spark, folder):
     turns = clean_turns(stream_turns(spark, folder, "conversations.parquet"))
-    return _finished(spark, pair_stream(turns), "exchanges").drop("late")
+    timed = turns.withColumn("said", F.timestamp_seconds(60 * F.col("turn")))
+    return _all_of(spark, "exchanges", lambda marks: pair_stream(timed, "said", marks=marks))
+
+
+def _timed(exchanges: DataFrame) -> DataFrame:
+    return exchanges.withColumn("said", F.timestamp_seconds("turn"))
+
+
+@query(f"WITH {_said()}, {_told('said')} {STATE}")
+def streamed_running_state(spark, folder):
+    said = _timed(event_exchanges(_stream(spark, folder, "events")))
+    return _all_of(spark, "states", lambda marks: session_state_stream(said, "said", marks=marks))
+
+
+@query(f"WITH {_said()}, {_told('said')} {STATE}")
+def streamed_running_state_after_table(spark, folder):
+    """The first half of the turns is a table, the stream goes on from the last state of each session."""
+    half = table(spark, folder, "events").agg(F.max("event_id")).first()[0] // 2
+    before = session_state(event_exchanges(table(spark, folder, "events")).where(F.col("turn") <= half))
+    signals = [c for c in before.columns if c not in ("conv_id", "turn")]
+    last = before.groupBy("conv_id").agg(F.max_by(F.struct(*signals), "turn").alias("s")).select("conv_id", "s.*")
+    said = _timed(event_exchanges(_stream(spark, folder, "events")).where(F.col("turn") > half))
+    after = _all_of(spark, "states", lambda marks: session_state_stream(said, "said", marks=marks, initial=last))
+    return before.unionByName(after)
+
+
+@query(IDS.replace("{key}", "user_id"))
+def streamed_session_ids(spark, folder):
+    returned = _timed(_returned(_stream(spark, folder, "events"), "user_id"))
+    return _all_of(spark, "ids", lambda marks: stitch_ids_stream(returned, "said", marks=marks))

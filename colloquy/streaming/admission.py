@@ -2,62 +2,38 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from colloquy.operators.admission import FOREVER, NEVER, check_times, decide
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class Admission(StatefulProcessor):
-    """Keeps the time from which a key is free again, and the latest start that was decided."""
-
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("free_at", "free_at BIGINT, decided BIGINT", self.keep_ms)
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timer_values
-    ) -> Iterator[pd.DataFrame]:
-        free, decided = self.state.get() if self.state.exists() else (NEVER, NEVER)
-        # Rows of a key come in no fixed order within a micro-batch.
-        batch = pd.concat(list(rows)).sort_values(["begin", "send"], kind="stable")
-        begins = batch["begin"].tolist()
-        admitted, free = decide(begins, batch["finish"].tolist(), free)
-        self.state.update((int(free), int(max(decided, begins[-1]))))
-        yield pd.DataFrame(
-            {
-                "send": batch["send"].to_numpy(),
-                "session": key[0],
-                "admitted": admitted,
-                "late": [b < decided for b in begins],
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def _ticks(sends: DataFrame, name: str) -> Column:
-    """A time as BIGINT, in microseconds."""
-    time = F.col(name)
-    kind = sends.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(time)
-    if isinstance(kind, T.TimestampNTZType):
-        # From its parts, which unlike a cast to TIMESTAMP do not depend on the session time zone.
-        minutes = (
-            F.unix_date(time.cast("date")).cast("bigint") * 1440 + F.hour(time) * 60 + F.minute(time)
-        )
-        seconds = F.extract(F.lit("SECOND"), time)
-        return minutes * 60000000 + (seconds * 1000000).cast("bigint")
-    return time.cast("bigint")
+from pyspark.sql import Column, DataFrame, functions as F
+
+from colloquy.operators.admission import FOREVER, NEVER, check_times
+from colloquy.streaming.ordered import Walk, microseconds, walk_in_order
+
+
+class AdmissionWalk(Walk):
+    """Remembers the time from which a key is free again."""
+
+    state = "free BIGINT"
+
+    def __init__(self, id_type: str = "BIGINT"):
+        self.out = f"send {id_type}, admitted BOOLEAN"
+
+    def start(self) -> tuple:
+        return (NEVER,)
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begin, send, finish = row
+        admitted = begin >= state[0]
+        return (finish,) if admitted else state, [(send, admitted)]
+
+    def late(self, row: tuple) -> tuple:
+        return (row[1], None)
+
+    def forgets(self, state: tuple, watermark: int) -> bool:
+        # All sends to come start when the key is free.
+        return state[0] <= watermark
+
+
+def _finish(sends: DataFrame, start: str, end: str) -> Column:
+    return F.greatest(microseconds(sends, start), F.coalesce(microseconds(sends, end), F.lit(FOREVER)))
 
 
 def admit_stream(
@@ -66,38 +42,27 @@ def admit_stream(
     start: str = "start",
     end: str = "end",
     id: str = "id",
-    keep_ms: int | None = None,
+    delay: str = "0 seconds",
+    silence: int | None = None,
+    marks: DataFrame | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, key, admitted, late) for each send of a stream, in append mode.
-
-    Sends of a key must arrive in order across micro-batches; within one they may be shuffled. One that starts
-    before a send of its key that an earlier micro-batch decided is decided by the state as it is then and marked
-    `late`, as its verdict may differ from that of a table in order. A task holds the sends that one micro-batch
-    brings for a key, so bound the micro-batch at the source, see `stream_files`. The state is two numbers per key,
-    kept for good or until a key has been still for `keep_ms`; a query with `keep_ms` looks for what expired without
-    end, so `availableNow` does not end it.
+    """(id, key, admitted, late) for each send of a stream, in append mode; verdicts are those of `admit_sends`.
+
+    Sends may arrive up to `delay` after ones that start later. One that comes after that goes out `late` with no verdict.
+    Integer times are microseconds. A key that is free is forgotten; one with a send that never ends is remembered for
+    good, or with `silence` until it has had no send for so many microseconds. For `marks` and `initial` see
+    `walk_in_order`; `admission_state` makes the latter.
     """
-    sends.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     check_times(sends, start, end)
-    begin = _ticks(sends, start)
-    timed = sends.select(
-        F.col(key).alias("session"),
-        F.col(id).alias("send"),
-        begin.alias("begin"),
-        F.greatest(begin, F.coalesce(_ticks(sends, end), F.lit(FOREVER))).alias("finish"),
-    )
-    schema = T.StructType(
-        [
-            T.StructField("send", sends.schema[id].dataType),
-            T.StructField("session", sends.schema[key].dataType),
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("late", T.BooleanType()),
-        ]
-    )
-    decided = timed.groupBy("session").transformWithStateInPandas(
-        Admission(keep_ms),
-        schema,
-        outputMode="Append",
-        timeMode="None" if keep_ms is None else "ProcessingTime",
-    )
-    return decided.select(F.col("send").alias(id), F.col("session").alias(key), "admitted", "late")
+    walk = AdmissionWalk(sends.schema[id].dataType.simpleString())
+    values = {"finish": _finish(sends, start, end)}
+    decided = walk_in_order(sends, walk, key, start, [id], values, delay, silence, marks, initial)
+    return decided.select(F.col("send").alias(id), key, "admitted", "late")
+
+
+def admission_state(admitted: DataFrame, key: str = "key", start: str = "start", end: str = "end") -> DataFrame:
+    """(key, free) of what `admit_sends` gave: the state a stream begins with that goes on from a table. Admitted sends
+    do not overlap, so the key is free when the last of their ends has come."""
+    finish = F.when(F.col("admitted"), _finish(admitted, start, end))
+    return admitted.groupBy(key).agg(F.max(finish).alias("free"))

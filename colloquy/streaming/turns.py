@@ -2,76 +2,54 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.operators.turns import TURN_KEY
-from colloquy.streaming.admission import ROCKSDB
+from colloquy.streaming.ordered import Walk, walk_in_order
+
 
-EXCHANGE = ("turn", "message", "reply", "answered", "late")
+class PairWalk(Walk):
+    """Remembers the message that waits for the turn after it."""
 
+    state = "turn BIGINT, message STRING"
+    out = "turn BIGINT, message STRING, reply STRING, answered BOOLEAN"
 
-class Pairing(StatefulProcessor):
-    """Keeps the last turn seen, and the message that waits for the turn after it."""
+    def start(self) -> tuple:
+        return (None, None)
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        _, turn, role, text = row
+        reply = text if role == "ai" else None
+        said = [] if state[0] is None else [(*state, reply, reply is not None)]
+        return (turn, text) if role == "user" else (None, None), said
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "waiting", "turn BIGINT, message STRING, waits BOOLEAN", self.keep_ms
-        )
+    def late(self, row: tuple) -> tuple:
+        _, turn, role, text = row
+        return (turn, text, None, False) if role == "user" else (turn, None, text, False)
 
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timer_values
-    ) -> Iterator[pd.DataFrame]:
-        last, message, waits = self.state.get() if self.state.exists() else (None, None, False)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("turn", kind="stable").itertuples():
-            asked = row.role == "user"
-            if last is not None and row.turn < last:
-                # Its neighbours are gone: what it says is passed on by itself.
-                out.append((row.turn, row.text if asked else None, None if asked else row.text, False, True))
-                continue
-            if waits:
-                out.append((last, message, None if asked else row.text, not asked, False))
-            last, message, waits = row.turn, row.text if asked else None, asked
-        if last is not None:
-            self.state.update((int(last), message, bool(waits)))
-        yield pd.DataFrame(out, columns=EXCHANGE).assign(session=key[0])[["session", *EXCHANGE]]
+    def finish(self, state: tuple) -> list[tuple]:
+        return [] if state[0] is None else [(*state, None, False)]
 
-    def close(self) -> None:
-        pass
+    def forgets(self, state: tuple, watermark: int) -> bool:
+        return state[0] is None
 
 
-def pair_stream(turns: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """(conv_id, turn, message, reply, answered, late) for user turns of a stream of cleaned turns, in append mode.
+def pair_stream(
+    turns: DataFrame,
+    time: str,
+    delay: str = "0 seconds",
+    silence: int = 3_600_000_000,
+    marks: DataFrame | None = None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """(conv_id, turn, message, reply, answered, late) for user turns of a stream of cleaned turns, in append mode; the
+    exchanges are those of `pair_exchanges` where `time` grows with the turn.
 
-    A message goes out when the turn after it is there: answered if that is a reply, else not; so the last
-    message of a conversation waits. Turns of a conversation must arrive in order across micro-batches. One that
-    comes after a later one was seen goes out unpaired and marked `late`, a reply with a null message. The state
-    is one turn per conversation, kept for good or until a conversation has been still for `keep_ms`; a query with
-    `keep_ms` looks for what expired without end, so `availableNow` does not end it.
+    A message goes out when the turn after it has come, and unanswered when its conversation has been silent for
+    `silence` microseconds, an hour by default. Turns may arrive up to `delay` after later ones; what comes after that
+    goes out unpaired and `late`, a reply with a null message. Only messages that wait are remembered. For `marks` and
+    `initial`, which has (conv_id, turn, message), see `walk_in_order`.
     """
-    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = T.StructType(
-        [
-            T.StructField("session", turns.schema[TURN_KEY].dataType),
-            T.StructField("turn", T.LongType()),
-            T.StructField("message", T.StringType()),
-            T.StructField("reply", T.StringType()),
-            T.StructField("answered", T.BooleanType()),
-            T.StructField("late", T.BooleanType()),
-        ]
-    )
-    named = turns.select(F.col(TURN_KEY).alias("session"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    paired = named.groupBy("session").transformWithStateInPandas(
-        Pairing(keep_ms),
-        schema,
-        outputMode="Append",
-        timeMode="None" if keep_ms is None else "ProcessingTime",
-    )
-    return paired.withColumnRenamed("session", TURN_KEY)
+    named = turns.withColumn("turn", F.col("turn").cast("bigint"))
+    values = {"role": F.col("role"), "text": F.col("text")}
+    return walk_in_order(named, PairWalk(), TURN_KEY, time, ["turn"], values, delay, silence, marks, initial)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from colloquy.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,7 +20,6 @@ CONSTANT = {
     "streamed_snapshots": {"forecast_text"},
     "conversation_snapshots": NO_ENTITIES | {"forecast_text"},
     "conversation_pipeline": NO_ENTITIES | {"mode"},
-    "streamed_exchanges": {"answered"},
 }
 
 
@@ -31,12 +31,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = Counter(tuple(r) for r in df.select(*columns).collect())
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(catalog.SQL[name])
     assert sorted(c[0] for c in result.description) == columns
     places = [[c[0] for c in result.description].index(c) for c in columns]
     expected = Counter(tuple(r[i] for i in places) for r in result.fetchall())
