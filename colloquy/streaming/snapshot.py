@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from colloquy.operators.session import session_snapshot
 from colloquy.operators.turns import TURN_KEY
+from colloquy.sources.store import Store
 
-# A version is a run of the stream and a micro-batch in it; runs are numbered by what the folder holds.
-RUN, BATCH = "run", "batch"
-
-
-def _runs(spark: SparkSession, path: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(folder)]
-    return sorted(int(n.removeprefix(f"{RUN}=")) for n in names if n.startswith(f"{RUN}="))
+# Sets of changes that a read looks at besides the base, unless a merge comes before.
+CHANGES = 16
 
 
 def keep_snapshots(
@@ -26,19 +18,26 @@ def keep_snapshots(
     path: str,
     checkpoint: str,
     key: str = TURN_KEY,
+    buckets: int = 32,
+    changes: int = CHANGES,
     **options,
 ) -> DataStreamWriter:
-    """Writer of the snapshot of each session that a micro-batch changes.
+    """Writer of the snapshot of each session that a micro-batch changes, into the store at `path`.
 
     Exchanges may arrive in any order, as state keeps (turn, value) pairs. The aggregation combines
-    before its shuffle, so a busy session sends one row per task. Every call starts a run of its own, whose
-    versions are above all that the folder holds, with the old progress folder or a new one; a micro-batch that
-    is repeated within a run overwrites its own folder.
+    before its shuffle, so a busy session sends one row per task. A micro-batch that is repeated counts once. A query
+    with a new progress folder is a writer of its own, whose rows are newer than all that the store holds. After
+    `changes` micro-batches the store is merged; `compact_snapshots` may do so before, at any time.
     """
-    run = max(_runs(exchanges.sparkSession, path), default=-1) + 1
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch}")
+        spark = changed.sparkSession
+        # The query's own id, which it keeps with its progress folder.
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store = Store(spark, path)
+        store.append(changed, key, writer, batch, buckets)
+        if len(store.manifest()["changes"]) >= changes:
+            store.merge(key)
 
     return (
         session_snapshot(exchanges, key=key, **options)
@@ -49,23 +48,15 @@ def keep_snapshots(
 
 
 def latest_snapshots(spark: SparkSession, path: str, key: str = TURN_KEY) -> DataFrame:
-    """The last version written of each session."""
-    versions = spark.read.parquet(path)
-    state = [c for c in versions.columns if c not in (key, RUN, BATCH)]
-    last = versions.groupBy(key).agg(F.max_by(F.struct(*state), F.struct(RUN, BATCH)).alias("_state"))
-    return last.select(key, "_state.*")
-
-
-def compact_snapshots(spark: SparkSession, path: str, key: str = TURN_KEY) -> None:
-    """Writes the last version of each session as a run of its own and removes the runs before it.
-
-    For a folder that no stream is writing to: the next `keep_snapshots` goes on above it. Should this break off
-    half-way, older runs are still there and nothing is lost.
-    """
-    runs = _runs(spark, path)
-    if not runs:
-        return
-    latest_snapshots(spark, path, key).write.parquet(f"{path}/{RUN}={runs[-1] + 1}/{BATCH}=0")
-    for run in runs:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{RUN}={run}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """The last snapshot written of each session: one set of files and the few changes since it was merged, however many
+    micro-batches there were."""
+    rows = Store(spark, path).read(key)
+    if rows is None:
+        raise ValueError(f"nothing was written to {path}")
+    return rows
+
+
+def compact_snapshots(spark: SparkSession, path: str, key: str = TURN_KEY) -> bool:
+    """Merges the changes into one set of files; streams and readers may go on meanwhile. Should this break off, the store
+    is what it was. Returns whether there was something to merge and no other merge was faster."""
+    return Store(spark, path).merge(key)

@@ -7,6 +7,7 @@ from colloquy.operators.admission import admit_sends
 from colloquy.operators.session import session_snapshot, session_state, stitch_ids
 from colloquy.operators.turns import pair_exchanges
 from colloquy.sources.shared import new_folder
+from colloquy.sources.store import Store
 from colloquy.sources.turns import stream_files
 from colloquy.streaming.admission import AdmissionWalk, admission_state, admit_stream
 from colloquy.streaming.ordered import PROVIDER, kept_state, rocksdb_state, waiting_rows
@@ -61,22 +62,23 @@ def test_tags(spark, arriving):
 
 def test_snapshots(spark, arriving):
     table = spark.read.parquet(arriving)
-    out = new_folder(spark, "snapshots")
+    out, progress = new_folder(spark, "snapshots"), new_folder(spark, "progress")
     stream = stream_files(spark, arriving, table.schema, per_batch=1)
-    keep_snapshots(stream, out, new_folder(spark, "progress")).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    assert spark.read.parquet(out).select("batch").distinct().count() > 1
+
+    def run(progress, **options):
+        keep_snapshots(stream, out, progress, buckets=4, **options).trigger(availableNow=True).start().awaitTermination()
+
+    run(progress)
+    manifest = Store(spark, out).manifest()
+    assert len(manifest["changes"]) > 1 and manifest["base"] is None
     same(latest_snapshots(spark, out), session_snapshot(table))
-    # A new progress folder begins at batch 0 again; what it reads anew is the last word.
-    keep_snapshots(stream, out, new_folder(spark, "progress")).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    assert spark.read.parquet(out).select("run").distinct().count() == 2
+    # A new progress folder begins at batch 0 again; what it reads anew is the last word. The store is merged on the way.
+    run(new_folder(spark, "progress"), changes=2)
+    manifest = Store(spark, out).manifest()
+    assert len(manifest["changes"]) < 2 and manifest["base"] and len(manifest["applied"]) == 2
     same(latest_snapshots(spark, out), session_snapshot(table))
     compact_snapshots(spark, out)
-    versions = spark.read.parquet(out)
-    assert versions.count() == versions.select("conv_id").distinct().count()
+    assert not compact_snapshots(spark, out)
     same(latest_snapshots(spark, out), session_snapshot(table))
 
 
@@ -99,6 +101,19 @@ def test_a_new_run_outweighs_older_versions(spark):
     assert (got["mode"], got["messages"]) == ("home", 6)
 
 
+def test_a_stopped_stream_goes_on_with_its_store(spark):
+    schema = "conv_id BIGINT, turn BIGINT, message STRING, reply STRING, answered BOOLEAN"
+    folder, out, progress = (new_folder(spark, n) for n in ("arriving", "snapshots", "progress"))
+    for turn in range(3):
+        row = spark.createDataFrame([(turn % 2, turn, "hello", "ok", True)], schema)
+        row.coalesce(1).write.mode("append").parquet(folder)
+        stream = stream_files(spark, folder, schema, per_batch=1)
+        query = keep_snapshots(stream, out, progress).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert Store(spark, out).manifest()["applied"] == {str(query.id): 2}
+    assert {(r["conv_id"], r["messages"]) for r in latest_snapshots(spark, out).collect()} == {(0, 4), (1, 2)}
+
+
 BASE = datetime(2024, 1, 1)
 MARKS = "until TIMESTAMP"
 
