@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +31,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 # Words kept with their ids between batches, and the longest one kept.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 600_000
 CACHED_CHARS = 64
+# Threads of the libraries in one task.
+THREADS = 4
 # Words encoded in one call: the library keeps far more than ids of each until they are read.
 ENCODED_TOGETHER = 8192
 
@@ -155,7 +158,8 @@ class Codec:
     def __init__(self, data: bytes, verify: bool = False):
         self.model = parse(data)
         self.tokenizer = build(self.model)
-        self.words: dict[str, tuple[int, ...]] = {}
+        # Ids of each word, four bytes each.
+        self.words: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.reference = None
         if verify:
@@ -197,43 +201,41 @@ class Codec:
             return [MARK + w for w in normal[1:].split(MARK)]
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", normal)
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words that are not known yet, in one call on all threads."""
+    def learn(self, words: set[str]) -> list[str]:
+        """Encodes words that are not known yet, in few calls on several threads; returns those not to be kept."""
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            # The older half goes; what is common comes back soon.
+            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
         new = [w for w in words if w not in self.words]
-        encoded: list[tuple[int, ...]] = []
+        encoded: list[bytes] = []
         for at in range(0, len(new), ENCODED_TOGETHER):
             part = self.tokenizer.encode_batch_fast(new[at : at + ENCODED_TOGETHER], add_special_tokens=False)
-            encoded += [tuple(e.ids) for e in part]
+            encoded += [array("i", e.ids).tobytes() for e in part]
         self.words.update(zip(new, encoded))
         if self.reference is not None and new:
             self._compare(new, encoded)
+        return [w for w in new if len(w) > CACHED_CHARS]
 
-    def _compare(self, words: list[str], encoded: list[tuple[int, ...]]) -> None:
+    def _compare(self, words: list[str], encoded: list[bytes]) -> None:
         """Notes the words that the reference library encodes otherwise."""
         plain = [w.replace(MARK, " ") if self.model.escape_spaces else w for w in words]
         cut = self.model.dummy_prefix
         # The reference normalises what it gets, so it is asked only where that gives the word back.
         asked = [i for i, w in enumerate(words) if self.normalise(plain[i][1:] if cut else plain[i]) == w]
-        theirs = self.reference.encode([plain[i][1:] if cut else plain[i] for i in asked], num_threads=-1)
+        theirs = self.reference.encode([plain[i][1:] if cut else plain[i] for i in asked], num_threads=THREADS)
         for i, ids in zip(asked, theirs):
-            if tuple(ids) != encoded[i]:
+            if array("i", ids).tobytes() != encoded[i]:
                 self.differ.add(words[i])
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
         """Ids of each text, and how many of its words the reference encodes otherwise."""
         split = [None if t is None else self.split(self.normalise(t)) for t in texts]
         self.differ.clear()
-        self.learn(set(chain.from_iterable(w for w in split if w)))
+        long = self.learn(set(chain.from_iterable(w for w in split if w)))
         get = self.words.__getitem__
-        ids = [
-            None if w is None else np.fromiter(chain.from_iterable(map(get, w)), dtype=np.int32) for w in split
-        ]
+        ids = [None if w is None else np.frombuffer(b"".join(map(get, w)), np.int32) for w in split]
         bad = [sum(w in self.differ for w in words or ()) if self.differ else 0 for words in split]
-        for word in [w for w in self.words if len(w) > CACHED_CHARS]:
-            del self.words[word]
-        for word in self.differ:
+        for word in chain(long, self.differ):
             self.words.pop(word, None)
         return ids, bad
 
@@ -342,5 +344,5 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    os.environ.setdefault("RAYON_NUM_THREADS", "4")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return few_rows(batches, 250)
