@@ -241,7 +241,9 @@ def fit(
     picked = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(order, "id").limit(s.rows)
     read = texts.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     folder = new_folder(spark, "quality-sample")
-    read.join(F.broadcast(picked), "id").select("t", "y", (F.pmod(order, F.lit(5)) == 0).alias("c")).write.parquet(folder)
+    # One text of an id that several rows have, so that the bound holds for rows too.
+    one = read.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("one"))
+    one.select("one.t", "y", (F.pmod(order, F.lit(5)) == 0).alias("c")).write.parquet(folder)
     sample = spark.read.parquet(folder).coalesce(8)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,16 +280,22 @@ def score(texts: DataFrame, model: Model, *keep: str, text: str = "text", into:
     read = texts.select(*keep, *([] if given else [F.col(text).cast("string").alias("_t")]))
     at = keep.index(text) if given else n
     # Vectors of fixed size: buckets x size.
-    shared = spark.sparkContext.broadcast(model)
+    # Arrays and numbers only: unlike a function a broadcast names its classes, and executors may not have them.
+    shared = spark.sparkContext.broadcast((model.vectors, None if model.network is None else tuple(model.network)))
+    share, settings = model.share, model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        words = _Words(m.settings)
+        vectors, layers = shared.value
+        network = None if layers is None else Network(*layers)
+        words = _Words(settings)
         for b in few_rows(batches):
-            if m.network is None:
-                scores = np.full(b.num_rows, m.share)
+            given = b.column(at).to_pylist()
+            if network is None:
+                scores = np.full(b.num_rows, share)
             else:
-                scores = m.network.scores(pool(b.column(at).to_pylist(), m.vectors, words).astype(np.float64))
+                scores = network.scores(pool(given, vectors, words).astype(np.float64))
+                # No letter, no words to judge by: that is no text of quality.
+                scores[[not any(map(str.isalpha, t or "")) for t in given]] = 0.0
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64())], [*keep, into])
 
     return read.mapInArrow(run, T.StructType([*read.schema[:n], T.StructField(into, T.DoubleType())]))

@@ -93,3 +93,36 @@ def test_awkward_tables(spark, awkward, no_documents):
     assert len({r["score"] for r in got if r["doc_id"] in (0, None)}) == 1  # repeated texts
     assert model.score(no_documents, fitted, "doc_id").count() == 0
     assert model.fit(no_documents, both).network is None
+
+
+def test_broadcasts_name_no_class_of_the_library(spark):
+    import pickle
+    import pickletools
+
+    kept = []
+    real = spark.sparkContext.broadcast
+    network = model.fit_network(np.eye(65)[:9], np.arange(9) % 2, np.zeros(9, bool), model.Settings())
+    docs = spark.createDataFrame([(1, "a word"), (2, ""), (3, "!!! 12"), (4, None)], "doc_id LONG, text STRING")
+    spark.sparkContext.broadcast = lambda value: kept.append(value) or real(value)
+    try:
+        vectors = np.zeros((model.Settings().buckets, 64), np.float32)
+        scored = model.score(docs, model.Model(vectors, network, 0.5, model.Settings()), "doc_id").collect()
+    finally:
+        del spark.sparkContext.broadcast
+    names = [str(a) for op, a, _ in pickletools.genops(pickle.dumps(kept[0])) if a is not None]
+    assert kept and not any("colloquy" in n for n in names)
+    # A text without a letter has no quality.
+    assert [r["score"] > 0 for r in sorted(scored)] == [True, False, False, False]
+
+
+def test_rows_of_one_id_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(i % 3, f"good text {i % 7}") for i in range(300)], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id LONG, quality INT")
+    seen = []
+    real = model.fit_network
+    model.fit_network = lambda x, y, c, s: seen.append(len(y)) or real(x, y, c, s)
+    try:
+        model.fit(docs, labels)
+    finally:
+        model.fit_network = real
+    assert seen == [3]
