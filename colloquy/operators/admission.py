@@ -9,10 +9,16 @@ parallel. The few distinct times at which chunks leave their key are then linked
 is next felt, and the links are followed from the first chunk on, in one pass per key, or by pointer
 doubling where a key has too many links for one task. This gives every chunk its true entry time, and the
 ordinary walk runs per chunk.
+
+Some sends may be forced: they go out whatever is pending, so that several can be. Which one ends first then frees
+the key, for all of them. What a chunk leaves is no function of one time any more; so all chunks are walked at once as
+if nothing were pending before them, and those that another one leaves something to are walked again, until no
+chunk finds anything new. A chunk in which the key is free once, with nothing pending, hands on what it did before.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from typing import Iterator
 
 import numpy as np
@@ -46,17 +52,21 @@ def admit_sends(
     id: str = "id",
     max_rows: int | None = None,
     max_links: int | None = None,
+    forced: str | None = None,
 ) -> DataFrame:
     """Sends with `admitted`; equal starts are decided in the order of `id`.
 
     Runs a counting job while the plan is made, and where a key is cut a few more, see `_entries`.
 
     A send without an end is pending for good. `start` and `id` must not be null, and (key, start, id)
-    must be unique.
+    must be unique. `forced` names a boolean column of sends that are not held back; the end of any send that went
+    out, forced or not, frees the key.
     """
     check_times(sends, start, end)
     chunks = measure(sends, key, (start, id), max_rows)
     rows = assign(sends, chunks)
+    if forced is not None:
+        return _with_forced(sends, rows, chunks, start, end, id, forced)
     if chunks.bounds is not None:
         entries = _entries(rows, chunks, start, end, id, max_rows, max_links)
         rows = chunks.join_chunks(rows, entries)
@@ -301,3 +311,118 @@ def _reachable(links: DataFrame, chunks: Chunks) -> DataFrame:
         )
         span *= 2
     return reached
+
+
+class Pending:
+    """What is out for one key: whether a send is held back, and the ends to come."""
+
+    def __init__(self, busy: bool = False, ends: list[int] | None = None):
+        # A sorted list is a heap.
+        self.busy, self.ends = busy, sorted(ends or [])
+
+    def admits(self, start: int, end: int, forced: bool) -> bool:
+        while self.ends and self.ends[0] <= start:
+            heappop(self.ends)
+            self.busy = False
+        if self.busy and not forced:
+            return False
+        self.busy = True
+        if end < FOREVER:
+            heappush(self.ends, end)
+        return True
+
+
+STATE = T.StructType([T.StructField("busy", T.BooleanType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+
+
+def _forced_walker(columns: list[str], groups: list[str], start: str, end: str, forced: str, exits: bool):
+    """Task that walks rows sorted by group, from the state `_enter` of a chunk; gives the rows with their verdict or, with
+    `exits`, one row per group with what it leaves."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = None, Pending()
+        left: list[tuple] = []
+
+        def leave() -> pa.RecordBatch:
+            names = [*groups, "busy", "ends"]
+            kinds = [*kept_types, pa.bool_(), pa.list_(pa.int64())]
+            rows = [pa.array(c, k) for c, k in zip(zip(*left), kinds)] if left else [pa.array([], k) for k in kinds]
+            left.clear()
+            return pa.RecordBatch.from_arrays(rows, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept_types = [batch.column(g).type for g in groups]
+            starts, ends = _ticks(batch.column(start), batch.column(end))
+            keys = zip(*(batch.column(name).to_pylist() for name in groups))
+            must = batch.column(forced).fill_null(False).to_pylist()
+            enters = batch.column("_enter") if "_enter" in batch.schema.names else None
+            admitted = []
+            for i, (key, s, e, f) in enumerate(zip(keys, starts.tolist(), ends.tolist(), must)):
+                if key != group:
+                    if group is not None and exits:
+                        left.append((*group, now.busy, sorted(now.ends)))
+                    found = enters[i].as_py() if enters is not None else None
+                    group, now = key, Pending(**found) if found else Pending()
+                admitted.append(now.admits(s, e, f))
+            if exits:
+                yield leave()
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name) for name in columns), pa.array(admitted, pa.bool_())], [*columns, "admitted"]
+                )
+        if exits and group is not None:
+            left.append((*group, now.busy, sorted(now.ends)))
+            yield leave()
+
+    return walk
+
+
+def _with_forced(
+    sends: DataFrame, rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, forced: str
+) -> DataFrame:
+    groups = chunks.groups(rows)
+    if chunks.bounds is not None:
+        enters = _left_by_others(rows.where(F.col(CHUNK).isNotNull()), chunks, start, end, id, forced)
+        rows = chunks.join_chunks(rows, enters)
+    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, start, id)
+    schema = T.StructType([*sends.schema.fields, T.StructField("admitted", T.BooleanType())])
+    return ordered.mapInArrow(_forced_walker(sends.columns, groups, start, end, forced, exits=False), schema)
+
+
+def _left_by_others(rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, forced: str) -> DataFrame:
+    """(_key, _number, _enter) for each chunk that finds something out when it begins.
+
+    A round walks the chunks that find other things than the round before did, a job each. After round n the first n chunks
+    of a key are right; most are after two, as a chunk seldom hands on what it found.
+    """
+    key, groups = chunks.key, [chunks.key, CHUNK]
+    slim = rows.select(key, CHUNK, start, end, id, forced)
+    schema = T.StructType([*(slim.schema[g] for g in groups), *STATE])
+    along = Window.partitionBy("_key").orderBy("_number")
+
+    def walked(given: DataFrame) -> DataFrame:
+        ordered = given.repartition(*groups).sortWithinPartitions(*groups, start, id)
+        exits = ordered.mapInArrow(_forced_walker([], groups, start, end, forced, exits=True), schema)
+        return exits.select(F.col(key).alias("_key"), F.col(CHUNK).alias("_number"), F.struct("busy", "ends").alias("_exit"))
+
+    exits = walked(slim).withColumn("_enter", F.lit(None).cast(STATE)).checkpoint()
+    while True:
+        before = F.lag("_exit").over(along)
+        # Nothing out is what a chunk that nobody leaves anything to begins with.
+        found = F.when(before["busy"] | (F.size(before["ends"]) > 0), before)
+        then = exits.select("_key", "_number", "_exit", "_enter", found.alias("_found"))
+        stale = then.where(~F.col("_found").eqNullSafe(F.col("_enter")))
+        if stale.isEmpty():
+            return exits.where(F.col("_enter").isNotNull()).select("_key", "_number", "_enter")
+        again = stale.select("_key", "_number", F.col("_found").alias("_enter"))
+        on = chunks.same_key(F.col(key), F.col("_key")) & (F.col(CHUNK) == F.col("_number"))
+        anew = walked(slim.join(again, on).drop("_key", "_number"))
+        a, b = again.select(F.col("_key").alias("_a"), F.col("_number").alias("_n")), anew
+        fresh = again.join(
+            b.withColumnsRenamed({"_key": "_a", "_number": "_n"}),
+            chunks.same_key(F.col("_key"), F.col("_a")) & (F.col("_number") == F.col("_n")),
+        ).select("_key", "_number", "_exit", "_enter")
+        kept = exits.join(a, chunks.same_key(F.col("_key"), F.col("_a")) & (F.col("_number") == F.col("_n")), "left_anti")
+        exits = kept.unionByName(fresh).checkpoint()

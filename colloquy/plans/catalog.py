@@ -212,6 +212,20 @@ walk AS (
 SELECT id, key, admitted FROM walk"""
 
 
+def _admitted_with_forced(key: str) -> str:
+    return f"""WITH RECURSIVE sends AS (
+    SELECT event_id AS id, {key} AS key, ts AS start, {derived.SEND_END} AS until, {derived.FORCED} AS forced,
+        row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+walk AS (
+    SELECT id, key, n, TRUE AS admitted, TRUE AS busy, [until] AS ends FROM sends WHERE n = 1
+    UNION ALL
+    SELECT id, key, n, goes, goes OR held, CASE WHEN goes THEN list_append(later, until) ELSE later END
+    FROM (SELECT s.id, s.key, s.n, s.until, list_filter(w.ends, lambda e: e > s.start) AS later,
+        w.busy AND len(list_filter(w.ends, lambda e: e > s.start)) = len(w.ends) AS held, s.forced OR NOT held AS goes
+        FROM walk w JOIN sends s ON s.key = w.key AND s.n = w.n + 1))
+SELECT id, key, admitted FROM walk"""
+
+
 def _counts(field: str) -> str:
     kind, value = f"json_type(doc, '$.{field}')", f"json_extract_string(doc, '$.{field}')"
     return f"""CASE WHEN {kind} IS NULL OR {kind} = 'NULL' THEN FALSE
@@ -570,6 +584,18 @@ def admission_of_hot_session_by_doubling(spark, folder):
     return admitted.select("id", "key", "admitted")
 
 
+@query(_admitted_with_forced("user_id"))
+def admission_with_forced(spark, folder):
+    sends = event_sends(table(spark, folder, "events"))
+    return admit_sends(sends, forced="forced").select("id", "key", "admitted")
+
+
+@query(_admitted_with_forced(derived.HOT_SESSION))
+def admission_with_forced_of_hot_session(spark, folder):
+    sends = event_sends(table(spark, folder, "events"), derived.HOT_SESSION)
+    return admit_sends(sends, max_rows=CUT_ROWS, forced="forced").select("id", "key", "admitted")
+
+
 # ---- streams, run until their input is used up ---------------------------------------------------
 
 

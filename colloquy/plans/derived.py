@@ -38,6 +38,8 @@ REPLY = """CASE event_id % 7
     WHEN 5 THEN 'Albon lap' || place || ' then Albon P' || other
     ELSE event_type END"""
 SEND_END = "ts + CAST(floor(value) AS BIGINT) * INTERVAL '1' MINUTE"
+# Sends that are not held back.
+FORCED = "event_id % 11 = 0"
 # A third of all events in one session.
 HOT_SESSION = "CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END"
 # A third of all conversations as one, its turns in the order of the conversations.
@@ -84,6 +86,7 @@ def event_sends(events: DataFrame, key: str = "user_id") -> DataFrame:
         F.expr(key).alias("key"),
         F.col("ts").alias("start"),
         F.expr(SEND_END).alias("end"),
+        F.expr(FORCED).alias("forced"),
     )
 
 

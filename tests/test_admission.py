@@ -100,3 +100,47 @@ def test_times_and_payload_columns_survive(spark):
     assert got.columns == [*df.columns, "admitted"]
     assert got.drop("admitted").exceptAll(df).isEmpty()
     assert [r["admitted"] for r in got.orderBy("id").collect()] == [True, False, True, False]
+
+
+def plain_with_forced(rows):
+    """Verdicts by a timeline of starts and ends: an accepted start sets the flag, the end of any accepted send clears it."""
+    out = {}
+    for key in {r[1] for r in rows}:
+        accepted, verdicts = [], {}
+        for id, _, start, end, forced in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            busy = False
+            if accepted:
+                # Cleared by an end at or after the last accepted start, but not after now.
+                last = accepted[-1][0]
+                busy = not any(e is not None and last <= max(s, e) <= start for s, e in accepted)
+                # An earlier send's end at the very time of the last start came before that start.
+                own = [max(s, e) for s, e in accepted[:-1] if e is not None]
+                final = accepted[-1]
+                cleared = any(last < e <= start for e in own) or (
+                    final[1] is not None and max(final[0], final[1]) <= start
+                )
+                busy = not cleared
+            verdicts[id] = bool(forced) or not busy
+            if verdicts[id]:
+                accepted.append((start, end))
+        out |= verdicts
+    return out
+
+
+@pytest.mark.parametrize("seed, max_rows", [(1, None), (4, 40), (5, 60)])
+def test_forced_sends_equal_a_timeline(spark, seed, max_rows):
+    dice, rows = random.Random(seed), []
+    for i in range(260):
+        start = i // 2 if seed != 5 else i * 3
+        length = dice.choice([0, 1, 3, 9, 30, -2])
+        end = None if dice.random() < 0.02 else start + length
+        rows.append((i, dice.choice(["a", "a", "b", None]), start, end, dice.choice([None, False, False, False, True])))
+    schema = "id BIGINT, key STRING, start BIGINT, end BIGINT, forced BOOLEAN"
+    sends = spark.createDataFrame(rows, schema)
+    got = {r["id"]: r["admitted"] for r in admit_sends(sends, max_rows=max_rows, forced="forced").collect()}
+    assert got == plain_with_forced(rows)
+    assert {True, False} == set(got.values())
+    # Without forced sends it is the ordinary walk.
+    free = sends.withColumn("forced", F.lit(False))
+    want = {r["id"]: r["admitted"] for r in admit_sends(free).collect()}
+    assert {r["id"]: r["admitted"] for r in admit_sends(free, max_rows=max_rows, forced="forced").collect()} == want
