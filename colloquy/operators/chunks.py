@@ -16,6 +16,8 @@ from colloquy.sources.shared import shared_folder
 
 # Rows of one key that one task may sort by itself.
 MAX_ROWS = 2_000_000
+# Weight of the rows of one key, in bytes as a rule, that one task may sort by itself.
+MAX_WEIGHT = 256 << 20
 # Rows of a table of keys or of cut points that may be broadcast; a larger one is joined by shuffle. Chunks
 # stay as they are, however many there are.
 BROADCAST_ROWS = 1_000_000
@@ -73,17 +75,26 @@ class Fold(NamedTuple):
 
 
 def measure(
-    rows: DataFrame, key: str, order: tuple[str, ...], max_rows: int | None = None
+    rows: DataFrame,
+    key: str,
+    order: tuple[str, ...],
+    max_rows: int | None = None,
+    weight: Column | None = None,
+    max_weight: int | None = None,
 ) -> Chunks:
-    """Count rows per key and cut the keys above `max_rows`.
+    """Count rows per key and cut the keys above `max_rows`; with a `weight` of each row, such as the bytes of its text,
+    those whose rows weigh more than `max_weight` together, at places that leave chunks of about that weight.
 
     Runs one counting job over the key column. Only if a key is too large, some rows of the large keys are
     looked at to place cuts between them; every row then has its chunk, wherever the cuts are. The result also
     fits any rows derived from `rows` that keep their key and order columns.
     """
-    max_rows = MAX_ROWS if max_rows is None else max_rows
+    if weight is None:
+        max_rows, each = MAX_ROWS if max_rows is None else max_rows, F.lit(1).cast("long")
+    else:
+        max_rows, each = MAX_WEIGHT if max_weight is None else max_weight, F.greatest(weight.cast("long"), F.lit(1))
     chunks = Chunks(key, tuple(order))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    sizes = rows.groupBy(key).agg(F.sum(each).alias("_rows"))
     seen = _large(sizes, key, max_rows)
     if not seen["keys"]:
         return chunks
@@ -95,16 +106,21 @@ def measure(
         keys = F.broadcast(keys)
     share = min(1.0, SAMPLE / max_rows)
     seen_rows = (
-        rows.select(key, *order)
+        rows.select(key, *order, each.alias("_each"))
         .join(keys, chunks.same_key(F.col(key), F.col("_key")), "left_semi")
-        .where(F.rand(17) < share)
+        # A row is looked at as often as it weighs, and stands for those that are not.
+        .where(F.rand(17) < F.col("_each") * share)
+        .withColumn("_each", F.greatest("_each", F.lit(math.floor(1 / share)).cast("long")))
         .repartitionByRange(int(seen["rows"] * share / 1_000_000) + 1, key, *order)
         .withColumn("_range", F.spark_partition_id())
     )
-    nth = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    so_far = F.sum("_each").over(
+        Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
     points = (
-        seen_rows.withColumn("_nth", nth)
-        .where(F.col("_nth") % max(1, int(max_rows * share)) == 0)
+        seen_rows.withColumn("_to", so_far)
+        # A cut where the weight passes a multiple of the most.
+        .where(F.floor(F.col("_to") / max_rows) > F.floor((F.col("_to") - F.col("_each")) / max_rows))
         .select(F.col(key).alias("_key"), chunks.position.alias("_from"))
         .distinct()
         # Which rows are looked at may differ between runs of the same plan.

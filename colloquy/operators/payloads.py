@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 REPLY_FIELDS = ("response", "result", "output")
 ID_FIELD = "conversationId"
 FALLBACK_TEXT = "No response received."
+# Outcomes that show the text of a failure.
+FAILURES = ("bad_body", "bad_type", "unread")
 FAILURE_TEXT = "⚠ Connection issue. Check your API configuration in app.js."
 
 
@@ -21,6 +23,7 @@ def normalise_payloads(
     fields: Sequence[str] = REPLY_FIELDS,
     fallback: str = FALLBACK_TEXT,
     failure: str = FAILURE_TEXT,
+    typed_ids: bool = False,
 ) -> DataFrame:
     """Bodies with `conversation_id`, `reply` and `status`.
 
@@ -29,8 +32,9 @@ def normalise_payloads(
     is nested deeper than the second reader goes.
 
     Bodies are read as VARIANT; one that this reader rejects, as it does by size, depth or length of a number, is read
-    once more by a reader without such limits, so that size decides nothing. Ids that are no strings are handed on as
-    text. The session is set to let the last of several equal object keys win, as JSON readers commonly do.
+    once more by a reader without such limits, so that size decides nothing; to that reader in Python a row that was
+    read is a null. Ids that are no strings are handed on as text; with `typed_ids` there is `conversation_id_json` as
+    well, the id as it stands in the body, for `request_records` to send back. The session is set to let the last of several equal object keys win, as JSON readers commonly do.
     """
     bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.col(body_col)
@@ -68,7 +72,10 @@ def normalise_payloads(
             "conversation_id": F.when(F.col("_readable") & _counts("_id"), F.col("_id_text")).otherwise(
                 F.col("_again.id")
             ),
-            "status": F.when(~F.col("_readable"), F.col("_again.status"))
+            "conversation_id_json": F.when(F.col("_readable") & _counts("_id"), F.to_json("_id")).otherwise(
+                F.col("_again.id_json")
+            ),
+            "status": F.when(~F.col("_readable"), F.coalesce("_again.status", F.lit("bad_body")))
             .when(F.col("_kind").isNull(), "fallback")
             .when(F.col("_kind") == "STRING", "ok")
             .otherwise("bad_type"),
@@ -80,9 +87,8 @@ def normalise_payloads(
         .when(F.col("status") == "fallback", fallback)
         .otherwise(failure)
     )
-    return judged.withColumn("reply", reply).select(
-        *bodies.columns, "conversation_id", "reply", "status"
-    )
+    ids = ["conversation_id", "conversation_id_json"] if typed_ids else ["conversation_id"]
+    return judged.withColumn("reply", reply).select(*bodies.columns, *ids, "reply", "status")
 
 
 def _counts(name: str) -> Column:
@@ -112,15 +118,15 @@ def _no_constant(name: str):
 def read_again(body: str | None, fields: Sequence[str]) -> dict:
     """status, reply and id of one body, by the rules of `normalise_payloads`."""
     if body is None:
-        return {"status": "bad_body", "reply": None, "id": None}
+        return {"status": "bad_body", "reply": None, "id": None, "id_json": None}
     try:
         document = json.loads(body, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
     except ValueError:
-        return {"status": "bad_body", "reply": None, "id": None}
+        return {"status": "bad_body", "reply": None, "id": None, "id_json": None}
     except RecursionError:
-        return {"status": "unread", "reply": None, "id": None}
+        return {"status": "unread", "reply": None, "id": None, "id_json": None}
     if document is None:
-        return {"status": "bad_body", "reply": None, "id": None}
+        return {"status": "bad_body", "reply": None, "id": None, "id_json": None}
     known = document if isinstance(document, dict) else {}
     given = known.get(ID_FIELD)
     value = next((known[f] for f in fields if _present(known.get(f))), None)
@@ -128,6 +134,7 @@ def read_again(body: str | None, fields: Sequence[str]) -> dict:
         "status": "fallback" if value is None else "ok" if isinstance(value, str) else "bad_type",
         "reply": _sendable(value) if isinstance(value, str) else None,
         "id": _as_text(given) if _present(given) else None,
+        "id_json": _as_json(given) if _present(given) else None,
     }
 
 
@@ -136,11 +143,18 @@ def _present(value) -> bool:
 
 
 def _as_text(value) -> str:
+    return _sendable(value) if isinstance(value, str) else _as_json(value)
+
+
+def _as_json(value) -> str:
+    """A value as it stood in the body, numbers as they were written."""
     if isinstance(value, _Number):
         return value.text
-    if isinstance(value, str):
-        return _sendable(value)
-    return json.dumps(value, default=str, separators=(",", ":"))
+    if isinstance(value, list):
+        return "[" + ",".join(map(_as_json, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_as_json(k)}:{_as_json(v)}" for k, v in value.items()) + "}"
+    return json.dumps(_sendable(value) if isinstance(value, str) else value, ensure_ascii=False)
 
 
 def _sendable(text: str) -> str:
@@ -150,10 +164,14 @@ def _sendable(text: str) -> str:
 
 def _second_reader(fields: tuple[str, ...]):
     def read(bodies: pd.Series) -> pd.DataFrame:
-        rows = [read_again(b, fields) for b in bodies]
-        return pd.DataFrame(rows, columns=["status", "reply", "id"], dtype=object)
+        names = ["status", "reply", "id", "id_json"]
+        out = pd.DataFrame(None, index=bodies.index, columns=names, dtype=object)
+        rejected = bodies[bodies.notna()]
+        if len(rejected):
+            out.loc[rejected.index] = pd.DataFrame([read_again(b, fields) for b in rejected], rejected.index, names, object)
+        return out
 
-    return F.pandas_udf(read, "status STRING, reply STRING, id STRING")
+    return F.pandas_udf(read, "status STRING, reply STRING, id STRING, id_json STRING")
 
 
 def outcome_exchanges(outcomes: DataFrame) -> DataFrame:
@@ -173,12 +191,14 @@ def request_records(
     message: str = "message",
     conversation_id: str = "conversation_id",
     into: str = "record",
+    typed: bool = False,
 ) -> DataFrame:
-    """Requests with their JSON record, which leaves out a missing or empty session id."""
-    record = F.to_json(
-        F.struct(
-            F.col(message).alias("message"),
-            F.nullif(F.col(conversation_id), F.lit("")).alias(ID_FIELD),
-        )
-    )
-    return requests.withColumn(into, record)
+    """Requests with their JSON record, which leaves out a missing or empty session id. With `typed` the id column holds
+    JSON, as `conversation_id_json` does, and an id that came as a number is sent back as one."""
+    if not typed:
+        id = F.nullif(F.col(conversation_id), F.lit(""))
+        return requests.withColumn(into, F.to_json(F.struct(F.col(message).alias("message"), id.alias(ID_FIELD))))
+    said = F.to_json(F.struct(F.col(message).alias("message")))
+    id = F.concat(F.lit(f'"{ID_FIELD}":'), F.nullif(F.nullif(F.col(conversation_id), F.lit("")), F.lit('""')))
+    inside = F.concat_ws(",", F.nullif(F.substr(said, F.lit(2), F.length(said) - 2), F.lit("")), id)
+    return requests.withColumn(into, F.concat(F.lit("{"), inside, F.lit("}")))

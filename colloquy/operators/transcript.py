@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.functions.rules import INTENT_LABELS, INTENT_RULES, Rule
 from colloquy.functions.text import escape_markup
 from colloquy.operators.chunks import Chunks, Fold, measure, scan
+from colloquy.operators.payloads import FAILURES
 from colloquy.operators.tagging import attach_labels, tag_intent
 from colloquy.operators.turns import TURN_KEY, is_hidden
 
@@ -77,7 +78,7 @@ def turns_of_outcomes(outcomes: DataFrame, count_failed_twice: bool = False) ->
     lets a reply of the wrong type use up two numbers is an option. The message of an exchange with a true `hidden`
     is hidden, its reply is not.
     """
-    failed = F.col("status").isin("bad_body", "bad_type")
+    failed = F.col("status").isin(*FAILURES)
     twice = (F.col("status") == "bad_type") if count_failed_twice else F.lit(False)
     said = F.array(
         F.struct(

@@ -20,9 +20,12 @@ def clean_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def turn_chunks(turns: DataFrame, max_rows: int | None = None) -> Chunks:
-    """Chunks for all jobs over the same turns; measure the raw turns, whose text is not read."""
-    return measure(turns, TURN_KEY, TURN_ORDER, max_rows)
+def turn_chunks(turns: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> Chunks:
+    """Chunks for all jobs over the same turns; measure the raw turns, whose text is not read. With `max_bytes`
+    conversations are cut by the bytes of their texts instead, which reads them once."""
+    if max_bytes is None:
+        return measure(turns, TURN_KEY, TURN_ORDER, max_rows)
+    return measure(turns, TURN_KEY, TURN_ORDER, weight=F.octet_length("text"), max_weight=max_bytes)
 
 
 def pair_exchanges(turns: DataFrame, chunks: Chunks | None = None) -> DataFrame:

@@ -43,6 +43,19 @@ def stream_turns(
     return known_turns(stream_files(spark, folder, TURN_SCHEMA, files, per_batch))
 
 
+def write_by_conversation(turns: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """Turns as a table of files by conversation, each in reading order, and the table read back.
+
+    Jobs over it that work per conversation find their rows together and shuffle nothing, however many there are of
+    them: the one shuffle is here. A conversation is in one file, so one that is too large for a task is better left
+    to `turn_chunks` and the plain layout.
+    """
+    placed = turns.repartition(buckets, "conv_id")
+    files = placed.write.bucketBy(buckets, "conv_id").sortBy("conv_id", "turn").option("path", path)
+    files.saveAsTable(table, format="parquet")
+    return turns.sparkSession.table(table)
+
+
 def write_transcript(
     transcript: DataFrame, path: str, buckets: int | None = None, chunks: Chunks | None = None
 ) -> None:

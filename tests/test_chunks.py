@@ -142,3 +142,18 @@ def test_conversation_snapshot(turns, cut):
 
 def test_transcript_has_every_turn(turns):
     assert transcript(turns).count() == turns.count()
+
+
+def test_conversations_are_cut_by_bytes(spark, turns):
+    # Few rows, of which some are long: by rows nothing is cut.
+    long = turns.withColumn("text", F.when(F.col("turn") % 7 == 0, F.repeat("text", 200)).otherwise(F.col("text")))
+    most = 20_000
+    assert turn_chunks(long).bounds is None
+    by_bytes = turn_chunks(long, max_bytes=most)
+    weighed = assign(long, by_bytes).groupBy("conv_id", CHUNK).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*"))
+    cut = weighed.where(F.col(CHUNK).isNotNull()).collect()
+    longest = long.agg(F.max(F.octet_length("text"))).first()[0]
+    assert len(cut) > 5 and max(r["n"] for r in cut) < 3 * most + longest
+    assert all(r["n"] <= most for r in weighed.where(F.col(CHUNK).isNull()).collect())
+    for job in (transcript, lambda t, chunks=None: pair_exchanges(clean_turns(t), chunks)):
+        same(job(long, chunks=by_bytes), job(long, chunks=turn_chunks(long)))

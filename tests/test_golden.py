@@ -1,5 +1,6 @@
 """Expected rows for the rules that are easy to get wrong."""
 
+import json
 import random
 import time
 
@@ -432,3 +433,34 @@ def test_hidden_turns(spark):
         '{"message":"tyre","conversationId":"c2"}',
     ]
     assert [r["label"] for r in flow] == ["⚙ Terms Engine", None, None]
+
+
+def test_an_unread_body_is_shown_as_a_failure(spark):
+    rows = [(1, 0, "What is DRS?", "[" * 400_000 + "]" * 400_000), (1, 1, "What is VSC?", '{"response":"a car"}')]
+    outcomes = normalise_payloads(spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, message STRING, body STRING"))
+    shown = transcript(turns_of_outcomes(outcomes), order=("turn", "slot")).orderBy("number").collect()
+    assert [(r["role"], r["label"]) for r in shown] == [
+        ("user", None),
+        ("ai", None),
+        ("user", None),
+        ("ai", "⚙ Terms Engine"),
+    ]
+
+
+def test_ids_are_sent_back_as_they_came(spark):
+    deep = "[" * 1_500 + "]" * 1_500
+    ids = ["7", '"7"', "1.50", "true", '{"a":[1,null,"é\\"x"]}', '""', "0", "null", '"last"', "123456789012345678901234567890"]
+    bodies = [f'{{"response":"r","conversationId":{i}}}' for i in ids]
+    # Both readers hand an id on alike.
+    for more in ("", f',"deep":{deep}'):
+        rows = [(1, i, f"m{i}" if i != 2 else None, b[:-1] + more + "}") for i, b in enumerate(bodies)]
+        df = spark.createDataFrame([*rows, (1, 99, "end", "{}")], "conv_id BIGINT, turn BIGINT, message STRING, body STRING")
+        records = [json.loads(r["record"]) for r in conversation_flow(df).orderBy("turn").collect()]
+        held, want = None, []
+        for i in [*ids, None]:
+            want.append(held)
+            found = json.loads(i) if i else None
+            held = found if found or isinstance(found, (dict, list)) else held
+        assert [r.get("conversationId") for r in records] == want
+        assert [type(r.get("conversationId")) for r in records] == [type(w) for w in want]
+        assert "message" not in records[2] and records[3]["message"] == "m3"

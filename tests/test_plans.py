@@ -1,6 +1,7 @@
 """Plans that the jobs are written for."""
 
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from colloquy.operators.turns import clean_turns, number_messages, pair_exchange
 from colloquy.plans.derived import event_exchanges, event_sends, table
 from colloquy.plans.report import conversation_report
 from colloquy.sources.shared import new_folder
-from colloquy.sources.turns import read_turns, write_transcript
+from colloquy.sources.turns import read_turns, write_by_conversation, write_transcript
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -141,3 +142,23 @@ def test_long_conversation_fills_several_files(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
     assert len(files) > 2 and sum(r["count"] for r in files) == 3000
+
+
+def test_turns_by_conversation_are_not_shuffled(spark, turns):
+    name = f"turns_{uuid.uuid4().hex}"
+    try:
+        placed = write_by_conversation(turns, name, new_folder(spark, "placed"), buckets=5)
+        jobs = {
+            "pairs": lambda t: pair_exchanges(clean_turns(t)),
+            "numbers": number_messages,
+            "state": lambda t: session_state(pair_exchanges(clean_turns(t))),
+            "ids": lambda t: stitch_ids(pair_exchanges(clean_turns(t)).withColumn("conversation_id", F.col("reply"))),
+            "transcript": transcript,
+            "snapshot": conversation_snapshot,
+        }
+        for what, job in jobs.items():
+            df = job(placed)
+            assert count(df, "Exchange") == 0, what
+            assert df.exceptAll(job(turns)).isEmpty() and job(turns).exceptAll(df).isEmpty(), what
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
