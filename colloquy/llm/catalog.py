@@ -199,7 +199,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op1_secrets"] = oracles.OP1
 SQL["op3_quality_rules"] = oracles.OP3
+SQL["op7_personal_data"] = oracles.OP7
 SQL["op8_chat_format"] = oracles.OP8
+SQL["op9_suffix_dedup"] = oracles.OP9
 SQL["op11_conversation_trie"] = oracles.OP11
 SQL["op12_mix"] = oracles.OP12
 SQL["op13_periodic_runs"] = oracles.OP13

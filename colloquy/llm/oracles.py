@@ -21,8 +21,8 @@ kinds AS ({" UNION ALL ".join([
     _secret_kind(1, "access", "AKIA[A-Z0-9]+", 0, 20),
     _secret_kind(2, "hex", "[0-9a-f]+", 0, 24),
     _secret_kind(3, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
-    _secret_kind(4, "forge", r"\bgh[pousr]_[A-Za-z0-9]{36,255}", 0, 1),
-    _secret_kind(5, "chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,250}", 0, 1),
+    _secret_kind(4, "forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    _secret_kind(5, "chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     _secret_kind(6, "jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 1),
 ])}),
 nth AS (SELECT *, unnest(generate_series(1, len(sizes))) AS i FROM kinds),
@@ -226,3 +226,97 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
   sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _base_personal(rank: int, kind: str, pattern: str, check: str) -> str:
+    return f"""
+      SELECT {rank} AS rank, '{kind}' AS kind, doc_id, x, string_split_regex(x, '{pattern}') AS gaps,
+        list_transform(regexp_extract_all(x, '{pattern}', 0), lambda m: {{'size': length(m), 'counts': {check}}}) AS hits
+      FROM texts WHERE regexp_matches(x, '{pattern}')"""
+
+
+def _placed_personal(rank: int, kind: str, cue: str, found: str) -> str:
+    """Every place of a text that has the cue is tried; `found` gives the offset and size of a span that begins near it."""
+    return f"""
+      SELECT doc_id, {rank} AS rank, '{kind}' AS kind, i - 1 + hit.skip AS start, hit.size AS size
+      FROM (SELECT doc_id, i, {found} AS hit
+        FROM (SELECT doc_id, x, unnest(generate_series(1, length(x))) AS i FROM texts WHERE regexp_matches(x, '{cue}')))
+      WHERE hit.size > 0"""
+
+
+_DIGITS = r"regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, k:
+    CASE WHEN k % 2 = 1 THEN d::INT ELSE 2 * d::INT // 10 + 2 * d::INT % 10 END)) % 10 = 0"""
+_FREE = r"NOT regexp_matches(substr(x, i - 1, 1), '[\pL\pN]') OR i = 1"
+_SSN = r"""CASE WHEN regexp_matches(substr(x, i, 11), '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')
+    AND NOT regexp_matches(substr(x, i, 11), '^(000|666|9)|-00-|-0000$') AND NOT regexp_matches(substr(x, i + 11, 1), '[0-9-]')
+    AND (i = 1 OR NOT regexp_matches(substr(x, i - 1, 1), '[\pL\pN_-]')) THEN {'skip': 0, 'size': 11} END"""
+_IBAN_CODE = r"""regexp_extract(substr(x, i, 60),
+    '^([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?:[^A-Za-z0-9]|$)', 1)"""
+# The remainder of the turned code, letter by letter; a letter counts as two digits.
+_IBAN = f"""CASE WHEN ({_FREE}) AND length(replace({_IBAN_CODE}, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_concat([0::BIGINT],
+    list_transform(string_split(substr(replace({_IBAN_CODE}, ' ', ''), 5) || left({_IBAN_CODE}, 4), ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, c: CASE WHEN c >= 65 THEN r * 100 + c - 55 ELSE r * 10 + c - 48 END % 97) = 1
+    THEN {{'skip': 0, 'size': length({_IBAN_CODE})}} END"""
+_CUE = "(?:account|Account|ACCOUNT|acct|Acct|ACCT|konto|Konto|KONTO|compte|Compte|COMPTE|cuenta|Cuenta|CUENTA)"
+_NUMBER = rf"^({_CUE}(?:\x20(?:number|no\.?|nr\.?))?\x20?[:#]?\x20?)([0-9]{{6,17}})(?:[^0-9]|$)"
+_ACCOUNT = f"""CASE WHEN ({_FREE}) AND regexp_matches(substr(x, i, 50), '{_NUMBER}') THEN
+    {{'skip': length(regexp_extract(substr(x, i, 50), '{_NUMBER}', 1)), 'size': length(regexp_extract(substr(x, i, 50), '{_NUMBER}', 2))}} END"""
+_LOGIN = r"""CASE WHEN regexp_matches(substr(x, i), '^(https|http|ftp)://[A-Za-z0-9._%+-]+:[^\s\pZ\x1C-\x1F\x85/@:]+@[A-Za-z0-9.-]+') THEN
+    {'skip': length(regexp_extract(substr(x, i), '^[a-z]+://')), 'size': length(regexp_extract(substr(x, i),
+      '^[a-z]+://([A-Za-z0-9._%+-]+:[^\s\pZ\x1C-\x1F\x85/@:]+@[A-Za-z0-9.-]+)', 1))} END"""
+
+OP7 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+kinds AS ({" UNION ALL ".join([
+    _base_personal(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
+    _base_personal(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND right('00' || p, 3)::INT <= 255))"),
+    _base_personal(2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    _base_personal(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+])}),
+nth AS (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM kinds),
+along AS (
+  SELECT doc_id, rank, kind, hits[i].counts AS counts, hits[i].size AS size,
+    sum(length(gaps[i]) + hits[i].size) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop
+  FROM nth),
+found AS (
+  SELECT doc_id, rank, kind, (stop - size)::BIGINT AS start, size FROM along WHERE counts
+  {"".join(" UNION ALL " + _placed_personal(*k) for k in [
+    (4, "iban", "[A-Z]{2}[0-9]{2}", _IBAN),
+    (5, "ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", _SSN),
+    (6, "account", _CUE, _ACCOUNT),
+    (7, "login", "(http|https|ftp)://", _LOGIN),
+])}),
+named AS (SELECT *, kind || ':' || start || ':' || start + size AS span FROM found),
+summed AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(("email", "ip", "card", "phone")))},
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 4) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM named GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+# Bytes as pairs of hex digits.
+OP9 = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, (length(x) // 2)::BIGINT AS n FROM documents),
+strings AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50)) AS i FROM texts WHERE n >= 50)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM strings) WHERE first < doc_id),
+edges AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, TRUE) AS fresh FROM again),
+runs AS (
+  SELECT doc_id, min(i) AS start, max(i) + 50 AS stop
+  FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM runs),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS n_removed, max(stop) AS last,
+    string_agg(substr(x, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS kept
+  FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""

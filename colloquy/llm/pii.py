@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?))?\x20?[:#]?\x20?([0-9]{6,17})(?![0-9])")
-LOGIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}:[^\s/@:]{1,64}@[A-Za-z0-9.-]{1,253}")
+LOGIN = re.compile(r"[A-Za-z0-9._%+-]++:[^\s/@:]++@[A-Za-z0-9.-]++")
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "login")
 BASE_KINDS = KINDS[:4]

@@ -55,8 +55,8 @@ BASE_RULES = (
 # Public shapes of further credentials.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", cue=r"PRIVATE KEY-----"),
-    Rule("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,255}", cue=r"gh[pousr]_[A-Za-z0-9]"),
-    Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,250}", cue=r"xox[abprs]-"),
+    Rule("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}+", version=2, cue=r"gh[pousr]_[A-Za-z0-9]"),
+    Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}+", version=2, cue=r"xox[abprs]-"),
     Rule(
         "jwt",
         r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}",
