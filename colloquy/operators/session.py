@@ -25,6 +25,12 @@ from colloquy.operators.tagging import (
 from colloquy.operators.turns import TURN_KEY, TURN_ORDER, is_hidden
 
 
+def heard_exchanges(exchanges: DataFrame) -> DataFrame:
+    """Exchanges without the texts of those that were not answered, as they say nothing."""
+    answered = F.col("answered")
+    return exchanges.withColumns({c: F.when(answered, F.col(c)) for c in ("message", "reply")})
+
+
 def exchange_signals(
     exchanges: DataFrame,
     entities: Sequence[str] = ENTITIES,
@@ -33,13 +39,7 @@ def exchange_signals(
     order: Sequence[str] = TURN_ORDER,
 ) -> DataFrame:
     """What each answered exchange says by itself; texts are left behind here, before any shuffle."""
-    heard = exchanges.withColumns(
-        {
-            "message": F.when(F.col("answered"), F.col("message")),
-            "reply": F.when(F.col("answered"), F.col("reply")),
-        }
-    )
-    moods = mode_signal(with_lowered(heard), mode_rules)
+    moods = mode_signal(with_lowered(heard_exchanges(exchanges)), mode_rules)
     told = extract_positions(extract_forecast(moods, entities), entities)
     kept = [c for c in (CHUNK, "shown", "hidden") if c in exchanges.columns]
     return told.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Mapping, NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.rules import INTENT_LABELS, INTENT_RULES, Rule
 from colloquy.functions.text import escape_markup
@@ -58,17 +58,21 @@ def transcript(
     if "failed" in turns.columns:
         shown = shown & ~F.coalesce(F.col("failed"), F.lit(False))
     labelled = attach_labels(seen.withColumn("intent", F.when(shown, F.col("intent"))), labels)
+    numbered = labelled.where(~F.col("_hidden")).withColumn("number", F.col("_total") - 1)
+    return numbered.select(chunks.key, *order, *displayed(user, agent))
+
+
+def displayed(user: Party = USER, agent: Party = AGENT) -> list[Column]:
+    """What is shown of a numbered and labelled turn."""
     by_agent = F.col("role") == "ai"
-    return labelled.where(~F.col("_hidden")).select(
-        chunks.key,
-        *order,
-        (F.col("_total") - 1).alias("number"),
-        "role",
+    return [
+        F.col("number"),
+        F.col("role"),
         F.when(by_agent, agent.avatar).otherwise(user.avatar).alias("avatar"),
         F.when(by_agent, agent.sender).otherwise(user.sender).alias("sender"),
-        "label",
+        F.col("label"),
         escape_markup(F.col("text")).alias("html"),
-    )
+    ]
 
 
 def turns_of_outcomes(outcomes: DataFrame, count_failed_twice: bool = False) -> DataFrame:

@@ -20,12 +20,14 @@ from colloquy.functions.rules import (
 from colloquy.functions.text import SAME_LINE, WHITESPACE, escape_markup
 from colloquy.operators.admission import admit_sends
 from colloquy.operators.chunks import measure
+from colloquy.operators.entities import session_snapshot_by_map
 from colloquy.operators.payloads import (
     FAILURE_TEXT,
     FALLBACK_TEXT,
     normalise_payloads,
     request_records,
 )
+from colloquy.operators.rule_table import rule_table, tag_by_table
 from colloquy.operators.session import (
     conversation_snapshot,
     session_snapshot,
@@ -60,6 +62,7 @@ from colloquy.streaming.ordered import rocksdb_state
 from colloquy.streaming.session import session_state_stream, stitch_ids_stream
 from colloquy.streaming.snapshot import keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
+from colloquy.streaming.transcript import transcript_stream
 from colloquy.streaming.turns import pair_stream
 
 # Small enough that sessions with a third of all events or turns are cut from sf0.01 on.
@@ -288,6 +291,29 @@ def document_tags(spark, folder):
     return tagged.select("doc_id", "intent", "mode")
 
 
+@query(f"SELECT doc_id, {_cases('text', INTENT_RULES, DEFAULT_INTENT)} AS intent FROM documents")
+def document_tags_by_table(spark, folder):
+    rules = rule_table(spark, INTENT_RULES)
+    return tag_by_table(table(spark, folder, "documents"), rules, text="text").select("doc_id", "intent")
+
+
+# Long words of the benchmark as keywords, the longer the better.
+@query(
+    """WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM benchmark),
+found AS (
+    SELECT doc_id, arg_min(left(keyword, 3), (-length(keyword), left(keyword, 3))) AS tag
+    FROM documents JOIN words ON contains(lower(text), keyword) GROUP BY doc_id)
+SELECT doc_id, coalesce(tag, 'none') AS tag FROM documents LEFT JOIN found USING (doc_id)"""
+)
+def document_tags_by_words(spark, folder):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))
+    rules = table(spark, folder, "benchmark").select(words.alias("keyword")).select(
+        (-F.length("keyword")).alias("priority"), F.left("keyword", F.lit(3)).alias("label"), "keyword"
+    )
+    documents = table(spark, folder, "documents")
+    return tag_by_table(documents, rules, "none", text="text", into="tag", keywords=500).select("doc_id", "tag")
+
+
 @query(
     f"WITH {TURNS} SELECT conv_id, turn, {_cases('text', derived.VOCABULARY_RULES, 'NONE')} AS intent"
     " FROM turns WHERE role = 'user'"
@@ -499,6 +525,31 @@ def snapshots(spark, folder):
     return session_snapshot(event_exchanges(table(spark, folder, "events")))
 
 
+def _entity(name: str) -> str:
+    low = name.lower()
+    forecast, position = (f"arg_{m}({c}_{low}, turn) FILTER (WHERE {c}_{low} IS NOT NULL)" for m, c in (("min", "forecast"), ("max", "position")))
+    return f"""SELECT conv_id, '{name}' AS entity, {forecast} AS forecast, {position} AS position,
+    count(*) + count(*) FILTER (WHERE answered) AS messages FROM told GROUP BY conv_id"""
+
+
+@query(
+    f"""WITH {_said()}, {_told('said')}
+SELECT * FROM ({_entity('Albon')} UNION ALL {_entity('Sainz')}) WHERE forecast IS NOT NULL OR position IS NOT NULL"""
+)
+def snapshots_by_map(spark, folder):
+    """Two of five thousand entities are ever named."""
+    entities = ["Albon", "Sainz", *[f"Nobody {i}" for i in range(4998)]]
+    found = session_snapshot_by_map(event_exchanges(table(spark, folder, "events")), entities)
+    keys = F.array_union(F.map_keys("positions"), F.coalesce(F.map_keys("forecast"), F.array().cast("array<string>")))
+    return found.select("conv_id", "messages", "forecast", "positions", F.explode(keys).alias("entity")).select(
+        "conv_id",
+        "entity",
+        F.try_element_at("forecast", F.col("entity")).alias("forecast"),
+        F.try_element_at("positions", F.col("entity")).alias("position"),
+        "messages",
+    )
+
+
 @query(
     f"""WITH {TURNS}, {CLEANED}, {PAIRED}, {_told("paired")}, {FOLDED},
 counted AS (SELECT conv_id, count(*) AS messages FROM cleaned GROUP BY conv_id)
@@ -677,6 +728,13 @@ def streamed_exchanges(spark, folder):
     return _all_of(spark, "exchanges", lambda marks: pair_stream(timed, "said", marks=marks))
 
 
+@query(f"WITH {TURNS}, {CLEANED} {_transcript('conv_id, turn', 'cleaned', 'turn')}")
+def streamed_transcripts(spark, folder):
+    turns = clean_turns(stream_turns(spark, folder, "conversations.parquet"))
+    timed = turns.withColumn("said", F.timestamp_seconds(60 * F.col("turn")))
+    return _all_of(spark, "transcripts", lambda marks: transcript_stream(timed, "said", marks=marks))
+
+
 def _timed(exchanges: DataFrame) -> DataFrame:
     return exchanges.withColumn("said", F.timestamp_seconds("turn"))
 

@@ -1,10 +1,12 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
 from colloquy.operators.admission import admit_sends
 from colloquy.operators.session import session_snapshot, session_state, stitch_ids
+from colloquy.operators.transcript import transcript
 from colloquy.operators.turns import pair_exchanges
 from colloquy.sources.shared import new_folder
 from colloquy.sources.store import Store
@@ -14,6 +16,7 @@ from colloquy.streaming.ordered import PROVIDER, kept_state, rocksdb_state, wait
 from colloquy.streaming.session import session_state_stream, stitch_ids_stream
 from colloquy.streaming.snapshot import compact_snapshots, keep_snapshots, latest_snapshots
 from colloquy.streaming.tags import tag_exchanges
+from colloquy.streaming.transcript import transcript_stream
 from colloquy.streaming.turns import pair_stream
 
 PHRASES = ["at home", "circuit", "Albon P{n}, Sainz P{m}", "hello", "explain the pit", "Albon P{n}"]
@@ -144,6 +147,22 @@ class Log:
         running.awaitTermination()
         return self.spark.read.schema(stream.schema).parquet(self.out)
 
+    def killed(self, job, batches):
+        """Stops the stream as soon as some micro-batches are through, whatever it is at."""
+        stream = job(
+            stream_files(self.spark, self.folder, self.schema, per_batch=1), stream_files(self.spark, self.marks, MARKS)
+        )
+        with rocksdb_state(self.spark):
+            running = (
+                stream.writeStream.option("checkpointLocation", self.progress)
+                .trigger(processingTime="0 seconds")
+                .start(self.out, format="parquet")
+            )
+        until = time.time() + 120
+        while len(running.recentProgress) < batches and running.isActive and time.time() < until:
+            time.sleep(0.05)
+        running.stop()
+
     def run_to_end(self, job):
         """All files first: a mark says that nothing earlier will come."""
         self.run(job)
@@ -268,6 +287,23 @@ def test_running_state_and_ids_of_shuffled_files(spark, arriving):
     same(got.drop("late"), stitch_ids(table).select("conv_id", "turn", "request_id", "session_id"))
 
 
+def test_transcripts_of_a_killed_stream(spark):
+    dice, rows = random.Random(12), []
+    for turn in range(200):
+        role, text = dice.choice([("user", "What is <DRS>?"), ("user", "pit"), ("ai", "a & b"), ("ai", None)])
+        row = (dice.choice([1, 1, 2, 3]), turn, role, text, dice.random() < 0.2, dice.random() < 0.2)
+        rows.append((*row, BASE + timedelta(seconds=turn)))
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING, failed BOOLEAN, hidden BOOLEAN, said TIMESTAMP"
+    log = Log(spark, schema)
+    log.add(*in_files(rows, 8, 20, 25))
+    job = lambda turns, marks: transcript_stream(turns, "said", delay="30 seconds", marks=marks)
+    for batches in (2, 1):
+        log.killed(job, batches)
+    got = log.run_to_end(job)
+    assert got.where("late").isEmpty()
+    same(got.drop("late"), transcript(spark.createDataFrame(rows, schema).drop("said")))
+
+
 def test_settings_of_the_session_are_put_back(spark):
     before = spark.conf.get(PROVIDER, None)
     with pytest.raises(ZeroDivisionError), rocksdb_state(spark):
