@@ -20,6 +20,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from colloquy.operators.chunks import CHUNK, Chunks, assign, measure
+
 START = "start"
 
 
@@ -61,35 +63,57 @@ def unescape_name(role: str) -> str:
 
 
 FORMATTED = "conv_id BIGINT, turn BIGINT, allowed BOOLEAN, state STRING, segments ARRAY<STRUCT<text: STRING, loss: BOOLEAN>>"
+# Of a conversation that is cut: its chunk, and the place of the turn in it.
+PLACED = f"{FORMATTED}, chunk INT, place BIGINT"
+ORDER = ("known", "at", "role", "text")
 
 
-def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = CHATML, max_rows: int | None = None) -> DataFrame:
     """One row per turn in reading order: (conv_id, turn, allowed, state, segments).
 
     `segments` are the texts to be joined, each with its loss flag. Rows of a conversation stand together in one
-    partition, in order; they are streamed, so a task holds a batch of turns and one state, however
-    long the conversation is.
+    partition, in order; they are streamed, so a task holds a batch of turns and one state. A conversation of more
+    than `max_rows` turns is cut into chunks that are formatted side by side: what a chunk does to every state of the machine
+    is found first, so that each begins with its true state. Then rows have (chunk, place) as well.
     """
     named = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("turn").isNotNull().alias("known"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("at"),
     )
-
+    chunks = measure(named, "conv_id", ORDER, max_rows)
+    if chunks.bounds is None:
+        ordered = named.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
+        return ordered.mapInArrow(_formatter(template, False), FORMATTED)
+    rows = assign(named, chunks)
+    entered = chunks.join_chunks(rows, _entry_states(rows, chunks, template))
+    groups = chunks.groups(rows)
+    ordered = entered.repartition(*groups).sortWithinPartitions(*groups, *ORDER)
+    return ordered.mapInArrow(_formatter(template, True), PLACED)
+
+
+def _formatter(template: Template, cut: bool):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: object = START
-        state = START
+        state, place = START, 0
         for batch in batches:
-            out: dict[str, list] = {"allowed": [], "state": [], "segments": []}
-            ids = batch.column(0).to_pylist()
-            for conv, role, text in zip(ids, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if conv != last:
-                    last, state = conv, START
+            out: dict[str, list] = {"allowed": [], "state": [], "segments": [], "place": []}
+            ids = batch.column("conv_id").to_pylist()
+            chunk = batch.column(CHUNK).to_pylist() if cut else [None] * len(ids)
+            enters = batch.column("_enter").to_pylist() if cut else chunk
+            texts = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())
+            for group, enter, (role, text) in zip(zip(ids, chunk), enters, texts):
+                if group != last:
+                    last, state, place = group, enter or START, 0
                 moved = template.moves.get(state, {}).get(role)
                 state = moved or state
                 out["allowed"].append(moved is not None)
                 out["state"].append(state)
+                out["place"].append(place)
+                place += 1
                 head = template.opening + escape_name(role) + template.named
                 out["segments"].append(
                     [
@@ -99,19 +123,64 @@ def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataF
                     ]
                 )
             kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(out["allowed"], pa.bool_()),
-                    pa.array(out["state"], pa.string()),
-                    pa.array(out["segments"], kind),
-                ],
-                ["conv_id", "turn", "allowed", "state", "segments"],
-            )
+            columns = [
+                batch.column("conv_id"),
+                batch.column("turn"),
+                pa.array(out["allowed"], pa.bool_()),
+                pa.array(out["state"], pa.string()),
+                pa.array(out["segments"], kind),
+            ]
+            if cut:
+                columns += [pa.array(chunk, pa.int32()), pa.array(out["place"], pa.int64())]
+            names = ["conv_id", "turn", "allowed", "state", "segments", "chunk", "place"]
+            yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+
+    return walk
+
+
+def _entry_states(rows: DataFrame, chunks: Chunks, template: Template) -> DataFrame:
+    """(_key, _number, _enter): the state in which the machine comes to each chunk."""
+    states = sorted({START, *template.moves, *(s for m in template.moves.values() for s in m.values())})
+    groups = chunks.groups(rows)
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per chunk the state after it for each state before it."""
+        now, after, done = None, states, []
+        for batch in batches:
+            for group, role in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                if group != now:
+                    if now is not None:
+                        done.append((*now, after))
+                    now, after = group, states
+                after = [template.moves.get(s, {}).get(role) or s for s in after]
+            if done:
+                yield rows_of(done)
+                done = []
+        if now is not None:
+            yield rows_of([(*now, after)])
 
-    ordered = named.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(walk, FORMATTED)
+    def rows_of(done: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], ["key", "number", "after"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, START
+        for batch in batches:
+            enters = []
+            for key, after in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if (key,) != now:
+                    now, state = (key,), START
+                enters.append(state)
+                state = after[states.index(state)]
+            columns = [batch.column(0), batch.column(1), pa.array(enters, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_number", "_enter"])
+
+    cut = rows.where(F.col(CHUNK).isNotNull()).select("conv_id", CHUNK, "role", "known", "at", "text")
+    sorted_ = cut.repartition(*groups).sortWithinPartitions(*groups, *ORDER)
+    found = sorted_.mapInArrow(effects, "key BIGINT, number INT, after ARRAY<STRING>")
+    # A row per chunk.
+    along = found.repartition("key").sortWithinPartitions("key", "number")
+    return along.mapInArrow(follow, "_key BIGINT, _number INT, _enter STRING")
 
 
 DIGESTS = (
@@ -120,23 +189,59 @@ DIGESTS = (
 )
 
 
+class Reader:
+    """Finds the turns in the text of a conversation, which comes piece by piece, by its control strings alone."""
+
+    def __init__(self, template: Template):
+        self.template, self.text = template, ""
+        self.open, self.close = template.opening.strip(), template.closing.strip()
+        self.control = re.compile(f"{re.escape(self.open)}|{re.escape(self.close)}")
+
+    def read(self, piece: str, last: bool = False) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that are whole by now, still escaped; with `last` what is left is a turn as well."""
+        self.text += piece
+        while True:
+            begin = self.text.find(self.open)
+            if begin < 0:
+                return
+            inside = begin + len(self.open)
+            end = self.control.search(self.text, inside)
+            if end is None or end[0] == self.close and not last and len(self.text) < end.start() + len(self.template.closing):
+                if last:
+                    yield self._turn(self.text[inside:])
+                    self.text = ""
+                return
+            yield self._turn(self.text[inside : end.start()])
+            whole = self.text.startswith(self.template.closing, end.start())
+            after = len(self.template.closing) if whole else 0 if end[0] == self.open else len(self.close)
+            self.text = self.text[end.start() + after :]
+
+    def _turn(self, text: str) -> tuple[str, str]:
+        role, _, said = text.partition(self.template.named)
+        return role, said
+
+
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per conversation, made from the formatted text alone: the turns parsed out of it again, their
-    digest, and the digest of all text under the loss mask.
+    """One row per conversation, made from the formatted text alone: segments are joined to one text, the turns
+    are found in it by its control strings, and digests are made of them and of all text under the loss mask.
 
-    Takes what `format_conversations` returns, as it comes; digests grow by a turn at a time.
+    Takes what `format_conversations` returns, as it comes. A conversation is read by one task, as its digests are of all
+    of it in order; it holds a turn at a time.
     """
-    turn = re.compile(
-        re.escape(template.opening) + "(.*)" + re.escape(template.named) + "((?s:.*))" + re.escape(template.closing)
-    )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict | None = None
         names = [f.split()[0] for f in DIGESTS.split(", ")]
         done: list[dict] = []
 
+        def add(turns: Iterator[tuple[str, str]]) -> None:
+            for role, text in turns:
+                now["turns"] += 1
+                now["all"].update(f"{unescape_name(role)}\n{unescape(text)}\n".encode())
+
         def close() -> None:
             if now is not None:
+                add(now["reader"].read("", last=True))
                 done.append(
                     {
                         "conv_id": now["id"],
@@ -160,15 +265,12 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
                 if now is None or row["conv_id"] != now["id"]:
                     close()
                     now = {"id": row["conv_id"], "turns": 0, "chars": 0, "loss_chars": 0, "valid": True, "state": ""}
-                    now |= {"all": hashlib.sha256(), "loss": hashlib.sha256()}
-                whole = "".join(s["text"] for s in row["segments"])
-                role, text = turn.fullmatch(whole).groups()
-                now["turns"] += 1
-                now["chars"] += len(whole)
+                    now |= {"all": hashlib.sha256(), "loss": hashlib.sha256(), "reader": Reader(template)}
                 now["valid"] &= row["allowed"]
                 now["state"] = row["state"]
-                now["all"].update(f"{unescape_name(role)}\n{unescape(text)}\n".encode())
                 for segment in row["segments"]:
+                    now["chars"] += len(segment["text"])
+                    add(now["reader"].read(segment["text"]))
                     if segment["loss"]:
                         learned = unescape(segment["text"])
                         now["loss_chars"] += len(learned)
@@ -180,4 +282,6 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         if done:
             yield batch_of(done)
 
+    if "chunk" in formatted.columns:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "place")
     return formatted.mapInArrow(digest, DIGESTS)
