@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colloquy.llm import catalog, quality_model
+from test_near_copies import plain_kept
 from test_pii import plain as plain_spans
-from test_simhash import plain_components, plain_fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,10 +34,9 @@ def test_pipeline_equals_plain_version(spark):
     model = quality_model.fit(docs, labels, ~quality_model.held_out(F.col("id")))
     good = {r["doc_id"] for r in quality_model.score(docs, model, "doc_id").where("score >= 0.7").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
-    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
-    pairs = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2]
-    root = plain_components(pairs, prints)
-    texts = {i: t for i, t in texts.items() if root[i] == i}
+    kept, pairs, _ = plain_kept(sorted(texts.items()))
+    assert pairs
+    texts = {i: texts[i] for i in kept}
     items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     texts = {i: plain_mask(t) for i, t in texts.items() if not any(x in t for x in items)}
     processor = sentencepiece.SentencePieceProcessor(model_proto=catalog.model_bytes())
