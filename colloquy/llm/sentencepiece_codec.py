@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 # Words kept with their ids between batches, and the longest one kept.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 64
 # Threads of the libraries in one task.
 THREADS = 4
