@@ -28,13 +28,13 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
 def stream_files(
     spark: SparkSession, folder: str, schema, files: str = "*.parquet", per_batch: int = 1000
 ) -> DataFrame:
-    """Parquet files of a folder as they arrive; `per_batch` bounds what one micro-batch takes on."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    """Parquet files of a folder as they arrive; `per_batch` bounds what one micro-batch takes on. `files` is a pattern
+    of file names, or the name of one table of the folder, be it a file or a folder of files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    if any(c in files for c in "*?[{"):
+        return reader.option("pathGlobFilter", files).parquet(folder)
+    # A source takes a single file only where its path is a pattern, which this one is by its first letter.
+    return reader.parquet(f"{folder}/[{files[0]}]{files[1:]}")
 
 
 def stream_turns(

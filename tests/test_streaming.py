@@ -1,13 +1,17 @@
 import random
+import shutil
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.operators.admission import admit_sends
 from colloquy.operators.session import session_snapshot, session_state, stitch_ids
 from colloquy.operators.transcript import transcript
 from colloquy.operators.turns import pair_exchanges
+from colloquy.plans import catalog
 from colloquy.sources.shared import new_folder
 from colloquy.sources.store import Store
 from colloquy.sources.turns import stream_files
@@ -310,3 +314,21 @@ def test_settings_of_the_session_are_put_back(spark):
         assert "RocksDB" in spark.conf.get(PROVIDER)
         1 / 0
     assert spark.conf.get(PROVIDER, None) == before
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_a_table_that_is_a_file_or_a_folder(spark, tmp_path, parts):
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    if parts:
+        given.repartition(parts).write.parquet(str(folder / "conversations.parquet"))
+    else:
+        shutil.copy("/root/testdata/sf0.001/conversations.parquet", folder / "conversations.parquet")
+    # Another table of the folder is none of its business.
+    given.withColumn("turn", F.col("turn") + 1_000_000).write.parquet(str(folder / "more_conversations.parquet"))
+    for streamed, plain in (("streamed_turns", "turn_scan"), ("streamed_exchanges", "exchanges")):
+        want = catalog.QUERIES[plain](spark, "/root/testdata/sf0.001")
+        got = catalog.QUERIES[streamed](spark, str(folder)).select(*want.columns)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+        assert want.count()
