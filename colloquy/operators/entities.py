@@ -1,14 +1,15 @@
 """Forecasts and positions of any number of entities, as maps.
 
 With a handful of entities a column each is best; see `tagging`. With thousands, a message is looked through for the
-names first, and only those in it are read on; what is found is a map from entity to place.
+names first, all at once by an automaton, and only those in it are read on; what is found is a map from entity to place.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.rules import MODE_RULES, NO_FORECAST_TEXT, Rule, mode_text
@@ -18,12 +19,44 @@ from colloquy.operators.tagging import lowered_name, mode_signal, with_lowered
 from colloquy.operators.turns import TURN_KEY, TURN_ORDER, is_hidden
 
 
-def _names(entities: Sequence[str]) -> Column:
-    """The entities as one constant."""
+NAMED = "array<struct<name: string, low: string>>"
+
+
+def _named(messages: DataFrame, entities: Sequence[str], lowered: bool):
+    """Function that gives the entities whose name, lower-cased or as it is, is in a text, in their order: one reading of the
+    text, however many there are. Names that are equal lower-cased are found together."""
     if "" in entities or len(set(entities)) < len(entities):
         raise ValueError("entities must have names of their own")
-    rows = json.dumps([{"name": e, "low": e.lower()} for e in entities])
-    return F.from_json(F.lit(rows), "array<struct<name:string,low:string>>")
+    shared = messages.sparkSession.sparkContext.broadcast([(e, e.lower()) for e in entities])
+    name = uuid.uuid4().hex
+
+    def automaton():
+        import ahocorasick
+
+        # Kept at the library, which stays loaded in a worker, where a task may use two of them.
+        kept = ahocorasick.__dict__.setdefault("_kept_entities", {})
+        if name not in kept:
+            ranks: dict[str, list[int]] = {}
+            for rank, names in enumerate(shared.value):
+                ranks.setdefault(names[lowered], []).append(rank)
+            made = ahocorasick.Automaton()
+            for word, found in ranks.items():
+                made.add_word(word, found)
+            if ranks:
+                made.make_automaton()
+            while len(kept) > 1:
+                kept.pop(next(iter(kept)))
+            kept[name] = made
+        return kept[name]
+
+    def find(texts: pd.Series) -> pd.Series:
+        made, names, out = automaton(), shared.value, []
+        for text in texts:
+            ranks = {r for _, found in made.iter(text) for r in found} if text and len(made) else ()
+            out.append([{"name": names[r][0], "low": names[r][1]} for r in sorted(ranks)])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(find, NAMED)
 
 
 def _first_line(text: Column, name: Column, found) -> Column:
@@ -54,8 +87,7 @@ def _place_in_message(lowered: Column, low: Column) -> Column:
     return F.when(after != "", after).otherwise(_first_line(lowered, low, found))
 
 
-def _map_of(entities: Column, text: Column, field: str, place) -> Column:
-    named = F.filter(entities, lambda e: F.contains(text, e[field]))
+def _map_of(named: Column, text: Column, field: str, place) -> Column:
     placed = F.transform(named, lambda e: F.struct(e["name"].alias("key"), place(text, e[field]).alias("value")))
     hits = F.filter(placed, lambda x: x["value"] != "")
     return F.map_from_entries(F.transform(hits, lambda x: F.struct(x["key"], F.concat(F.lit("P"), x["value"]))))
@@ -64,7 +96,8 @@ def _map_of(entities: Column, text: Column, field: str, place) -> Column:
 def position_map(messages: DataFrame, entities: Sequence[str], text: str = "reply", into: str = "positions") -> DataFrame:
     """Replies with a map of the entities whose place they report; empty without any, null without a reply. Values are those
     of `extract_positions`."""
-    return messages.withColumn(into, _map_of(_names(entities), F.col(text), "name", _place_in_reply))
+    named = messages.withColumn("_named", _named(messages, entities, lowered=False)(F.col(text)))
+    return named.withColumn(into, _map_of(F.col("_named"), F.col(text), "name", _place_in_reply)).drop("_named")
 
 
 def forecast_map(
@@ -73,9 +106,10 @@ def forecast_map(
     """Messages with a map of the places they foresee, null unless they place `least` entities. For two entities values
     are those of `extract_forecast`."""
     lowered = F.col(lowered_name(text))
-    found = with_lowered(messages, text).withColumn(
-        into, F.when(F.contains(lowered, F.lit("p")), _map_of(_names(entities), lowered, "low", _place_in_message))
-    )
+    named = with_lowered(messages, text).withColumn("_named", _named(messages, entities, lowered=True)(lowered))
+    found = named.withColumn(
+        into, F.when(F.contains(lowered, F.lit("p")), _map_of(F.col("_named"), lowered, "low", _place_in_message))
+    ).drop("_named")
     kept = found.withColumn(into, F.when(F.size(F.map_keys(into)) >= least, F.col(into)))
     return kept if lowered_name(text) in messages.columns else kept.drop(lowered_name(text))
 

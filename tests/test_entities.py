@@ -57,3 +57,17 @@ def test_names_must_differ(spark):
     for names in (["a", "a"], [""]):
         with pytest.raises(ValueError):
             position_map(spark.createDataFrame([("x",)], "reply STRING"), names)
+
+
+def test_names_are_looked_for_together_not_one_by_one(spark):
+    rows = spark.createDataFrame([("ABC p1, ab 2", "aBc P3 ab P4 AB P5"), ("", None), (None, "")], "message STRING, reply STRING")
+    # Names in one another, names that are equal lower-cased, and more than could be tried for each row.
+    entities = ["aB", "AB", "aBc", "ab", *[f"Nobody {i}" for i in range(200_000)]]
+    found = position_map(forecast_map(rows, entities), entities).select("forecast", "positions")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Nobody 77" not in plan
+    got = [tuple(r) for r in found.collect()]
+    few = position_map(forecast_map(rows, entities[:4]), entities[:4]).select("forecast", "positions")
+    assert got == [tuple(r) for r in few.collect()]
+    assert got[0][1] == {"aB": "P3", "aBc": "P3", "ab": "P4", "AB": "P5"}
+    assert set(got[0][0]) == {"aB", "AB", "aBc", "ab"}
