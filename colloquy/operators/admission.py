@@ -12,8 +12,10 @@ ordinary walk runs per chunk.
 
 Some sends may be forced: they go out whatever is pending, so that several can be. Which one ends first then frees
 the key, for all of them. What a chunk leaves is no function of one time any more; so all chunks are walked at once as
-if nothing were pending before them, and those that another one leaves something to are walked again, until no
-chunk finds anything new. A chunk in which the key is free once, with nothing pending, hands on what it did before.
+if nothing were pending before them, and those that another one leaves something to are walked again. A chunk in which the
+key is free once, with nothing pending, hands on what it did before. Where chunks still find something new after
+that, something is out for longer than a chunk: they are walked in stretches of ever more chunks, in the end a key as a
+whole. Rows are streamed, and what a task holds is what is out.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ FOREVER = 2**63 - 1
 # Links of one key that one task follows; beyond that they are followed by doubling.
 MAX_LINKS = 2_000_000
 NEVER = -FOREVER
+# Times that stretches of one width are walked again before they are made wider, and by how much.
+ROUNDS, WIDER = 2, 16
+STRETCH = "_stretch"
 
 
 def check_times(sends: DataFrame, start: str, end: str) -> None:
@@ -88,7 +93,7 @@ def decide(starts: list[int], ends: list[int], free: int) -> tuple[list[bool], i
 
 def _ticks(starts: pa.ChunkedArray | pa.Array, ends) -> tuple[np.ndarray, np.ndarray]:
     """Times as integers; an end before its start frees the key at the start."""
-    starts = starts.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    starts = starts.cast(pa.int64()).fill_null(NEVER).to_numpy(zero_copy_only=False)
     ends = ends.cast(pa.int64()).fill_null(FOREVER).to_numpy(zero_copy_only=False)
     return starts, np.maximum(starts, ends)
 
@@ -336,8 +341,8 @@ STATE = T.StructType([T.StructField("busy", T.BooleanType()), T.StructField("end
 
 
 def _forced_walker(columns: list[str], groups: list[str], start: str, end: str, forced: str, exits: bool):
-    """Task that walks rows sorted by group, from the state `_enter` of a chunk; gives the rows with their verdict or, with
-    `exits`, one row per group with what it leaves."""
+    """Task that walks rows sorted by group; one without a start comes first and brings the state `_enter` of its group.
+    Gives the rows with their verdict or, with `exits`, one row per group with what it leaves."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = None, Pending()
@@ -357,20 +362,24 @@ def _forced_walker(columns: list[str], groups: list[str], start: str, end: str,
             starts, ends = _ticks(batch.column(start), batch.column(end))
             keys = zip(*(batch.column(name).to_pylist() for name in groups))
             must = batch.column(forced).fill_null(False).to_pylist()
-            enters = batch.column("_enter") if "_enter" in batch.schema.names else None
+            sent = batch.column(start).is_valid()
+            given = None if pc.all(sent).as_py() else (sent.to_pylist(), batch.column("_enter"))
             admitted = []
             for i, (key, s, e, f) in enumerate(zip(keys, starts.tolist(), ends.tolist(), must)):
                 if key != group:
                     if group is not None and exits:
                         left.append((*group, now.busy, sorted(now.ends)))
-                    found = enters[i].as_py() if enters is not None else None
-                    group, now = key, Pending(**found) if found else Pending()
+                    group, now = key, Pending()
+                if given is not None and not given[0][i]:
+                    now = Pending(**given[1][i].as_py())
+                    continue
                 admitted.append(now.admits(s, e, f))
             if exits:
                 yield leave()
             else:
+                kept = batch.filter(sent) if given is not None else batch
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(name) for name in columns), pa.array(admitted, pa.bool_())], [*columns, "admitted"]
+                    [*(kept.column(name) for name in columns), pa.array(admitted, pa.bool_())], [*columns, "admitted"]
                 )
         if exits and group is not None:
             left.append((*group, now.busy, sorted(now.ends)))
@@ -382,47 +391,90 @@ def _forced_walker(columns: list[str], groups: list[str], start: str, end: str,
 def _with_forced(
     sends: DataFrame, rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, forced: str
 ) -> DataFrame:
-    groups = chunks.groups(rows)
+    groups, enters = [chunks.key], None
     if chunks.bounds is not None:
-        enters = _left_by_others(rows.where(F.col(CHUNK).isNotNull()), chunks, start, end, id, forced)
-        rows = chunks.join_chunks(rows, enters)
-    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, start, id)
+        width, enters = _left_by_others(rows.where(F.col(CHUNK).isNotNull()), chunks, start, end, id, forced)
+        rows, groups = _stretches(rows, width), [chunks.key, STRETCH]
     schema = T.StructType([*sends.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return ordered.mapInArrow(_forced_walker(sends.columns, groups, start, end, forced, exits=False), schema)
+    walker = _forced_walker(sends.columns, groups, start, end, forced, exits=False)
+    return _from_states(rows, groups, enters, start, id).mapInArrow(walker, schema)
+
+
+def _stretches(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn(STRETCH, F.floor(F.col(CHUNK) / width)).drop(CHUNK)
 
 
-def _left_by_others(rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, forced: str) -> DataFrame:
-    """(_key, _number, _enter) for each chunk that finds something out when it begins.
+def _from_states(rows: DataFrame, groups: list[str], enters: DataFrame | None, start: str, id: str) -> DataFrame:
+    """Rows in order by group, a row with the state before them in front; `enters` is (_key, _number, _enter)."""
+    if enters is not None:
+        first = enters.withColumnsRenamed({"_key": groups[0], "_number": groups[1]})
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    return rows.repartition(*groups).sortWithinPartitions(*groups, F.col(start).asc_nulls_first(), id)
 
-    A round walks the chunks that find other things than the round before did, a job each. After round n the first n chunks
-    of a key are right; most are after two, as a chunk seldom hands on what it found.
+
+def _left_by_others(
+    rows: DataFrame, chunks: Chunks, start: str, end: str, id: str, forced: str
+) -> tuple[int, DataFrame | None]:
+    """A width, and (_key, _number, _enter) for each stretch of so many chunks that finds something out when it begins.
+
+    Stretches of one chunk are walked, in a job, and those that find other things than they did are walked again, for
+    `ROUNDS` times; then stretches get wider. So there are a few jobs for each factor of `WIDER` in the longest key's
+    chunks. What stretches leave is at most what they found and their own sends: some times the rows in all.
     """
-    key, groups = chunks.key, [chunks.key, CHUNK]
-    slim = rows.select(key, CHUNK, start, end, id, forced)
-    schema = T.StructType([*(slim.schema[g] for g in groups), *STATE])
+    key, groups = chunks.key, [chunks.key, STRETCH]
+    # Read once for each walk.
+    slim = rows.select(key, CHUNK, start, end, id, forced).checkpoint()
+    schema = T.StructType([slim.schema[key], T.StructField(STRETCH, T.LongType()), *STATE])
     along = Window.partitionBy("_key").orderBy("_number")
 
-    def walked(given: DataFrame) -> DataFrame:
-        ordered = given.repartition(*groups).sortWithinPartitions(*groups, start, id)
+    def walked(width: int, again: DataFrame | None = None) -> DataFrame:
+        """(_key, _number, _exit) of all stretches, or of those of `again`, (_key, _number, _enter), from their states."""
+        given, enters = _stretches(slim, width), None
+        if again is not None:
+            on = chunks.same_key(F.col(key), F.col("_key")) & (F.col(STRETCH) == F.col("_number"))
+            given = given.join(again.select("_key", "_number"), on, "left_semi")
+            enters = again.where(F.col("_enter").isNotNull())
+        ordered = _from_states(given, groups, enters, start, id)
         exits = ordered.mapInArrow(_forced_walker([], groups, start, end, forced, exits=True), schema)
-        return exits.select(F.col(key).alias("_key"), F.col(CHUNK).alias("_number"), F.struct("busy", "ends").alias("_exit"))
+        return exits.select(
+            F.col(key).alias("_key"), F.col(STRETCH).alias("_number"), F.struct("busy", "ends").alias("_exit")
+        )
 
-    exits = walked(slim).withColumn("_enter", F.lit(None).cast(STATE)).checkpoint()
-    while True:
+    def compared(known: DataFrame) -> DataFrame:
+        """With what each stretch should have found, `_found`, and whether it has to be walked again."""
         before = F.lag("_exit").over(along)
-        # Nothing out is what a chunk that nobody leaves anything to begins with.
+        # Nothing out is what a stretch that nobody leaves anything to begins with.
         found = F.when(before["busy"] | (F.size(before["ends"]) > 0), before)
-        then = exits.select("_key", "_number", "_exit", "_enter", found.alias("_found"))
-        stale = then.where(~F.col("_found").eqNullSafe(F.col("_enter")))
-        if stale.isEmpty():
-            return exits.where(F.col("_enter").isNotNull()).select("_key", "_number", "_enter")
-        again = stale.select("_key", "_number", F.col("_found").alias("_enter"))
-        on = chunks.same_key(F.col(key), F.col("_key")) & (F.col(CHUNK) == F.col("_number"))
-        anew = walked(slim.join(again, on).drop("_key", "_number"))
-        a, b = again.select(F.col("_key").alias("_a"), F.col("_number").alias("_n")), anew
-        fresh = again.join(
-            b.withColumnsRenamed({"_key": "_a", "_number": "_n"}),
-            chunks.same_key(F.col("_key"), F.col("_a")) & (F.col("_number") == F.col("_n")),
-        ).select("_key", "_number", "_exit", "_enter")
-        kept = exits.join(a, chunks.same_key(F.col("_key"), F.col("_a")) & (F.col("_number") == F.col("_n")), "left_anti")
-        exits = kept.unionByName(fresh).checkpoint()
+        behind = F.floor(F.lag("_number").over(along) / WIDER) == F.floor(F.col("_number") / WIDER)
+        seen = known.select("*", found.alias("_found"), F.coalesce(behind, F.lit(False)).alias("_inner"))
+        return seen.withColumn("_stale", F.col("_torn") | ~F.col("_found").eqNullSafe(F.col("_enter")))
+
+    width, none = 1, F.lit(None).cast(STATE)
+    known = walked(width).select("*", none.alias("_enter"), F.lit(False).alias("_torn")).checkpoint()
+    while True:
+        for _ in range(ROUNDS):
+            then = compared(known)
+            stale = then.where("_stale")
+            if stale.isEmpty():
+                return width, known.where(F.col("_enter").isNotNull()).select("_key", "_number", "_enter")
+            again = stale.select("_key", "_number", F.col("_found").alias("_enter"))
+            anew = walked(width, again).withColumnsRenamed({"_key": "_k", "_number": "_n"})
+            same = chunks.same_key(F.col("_key"), F.col("_k")) & (F.col("_number") == F.col("_n"))
+            fresh = again.join(anew, same).select("_key", "_number", "_exit", "_enter", F.lit(False).alias("_torn"))
+            kept = then.where(~F.col("_stale")).select(*fresh.columns)
+            known = kept.unionByName(fresh).checkpoint()
+        width *= WIDER
+        if width >= chunks.longest:
+            return width, None
+        # A wider stretch is right inside where none of its own but the first finds other things than it did.
+        known = (
+            compared(known)
+            .groupBy("_key", F.floor(F.col("_number") / WIDER).alias("_wide"))
+            .agg(
+                F.max_by("_exit", "_number").alias("_exit"),
+                F.min_by("_enter", "_number").alias("_enter"),
+                F.bool_or(F.col("_torn") | F.col("_stale") & F.col("_inner")).alias("_torn"),
+            )
+            .withColumnRenamed("_wide", "_number")
+            .checkpoint()
+        )

@@ -144,3 +144,15 @@ def test_forced_sends_equal_a_timeline(spark, seed, max_rows):
     free = sends.withColumn("forced", F.lit(False))
     want = {r["id"]: r["admitted"] for r in admit_sends(free).collect()}
     assert {r["id"]: r["admitted"] for r in admit_sends(free, max_rows=max_rows, forced="forced").collect()} == want
+
+
+def test_rounds_of_forced_sends_do_not_grow_with_the_chunks(spark, monkeypatch):
+    """Something is always out, and for longer than a chunk of five rows."""
+    rows = [(i, "a", 2 * i, 2 * i + 31 + 7 * (i % 5), i % 11 == 0) for i in range(300)]
+    sends = spark.createDataFrame(rows, "id BIGINT, key STRING, start BIGINT, end BIGINT, forced BOOLEAN")
+    kept, checkpoint = [], type(sends).checkpoint
+    monkeypatch.setattr(type(sends), "checkpoint", lambda self, *a: kept.append(1) or checkpoint(self, *a))
+    got = {r["id"]: r["admitted"] for r in admit_sends(sends, max_rows=5, forced="forced").collect()}
+    assert got == plain_with_forced(rows)
+    assert 0 < sum(got.values()) < len(rows)
+    assert len(kept) < 16
