@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.functions.rules import DEFAULT_INTENT, Rule
@@ -17,6 +17,8 @@ from colloquy.operators.tagging import lowered_name, with_lowered
 
 # Keywords of one pass over the texts.
 KEYWORDS = 1_000_000
+# Texts that are Python strings at a time; a batch has as many rows as Spark gives it.
+TEXTS = 500
 BEST = "struct<priority: bigint, label: string>"
 
 
@@ -67,9 +69,10 @@ def _finder(messages: DataFrame, rows: list[tuple[str, int, str]]):
     def automaton():
         import ahocorasick
 
-        # Kept at the library, which stays loaded in a worker; the function travels anew with each task.
-        kept = getattr(ahocorasick, "_kept_rules", None)
-        if kept is None or kept[0] != name:
+        # Kept at the library, which stays loaded in a worker; the function travels anew with each task. A worker takes turns
+        # between the passes, so those stay that have `KEYWORDS` keywords together.
+        kept = ahocorasick.__dict__.setdefault("_kept_rules", {})
+        if name not in kept:
             made = ahocorasick.Automaton()
             for rank, (keyword, _, _) in enumerate(shared.value):
                 if keyword:
@@ -77,21 +80,24 @@ def _finder(messages: DataFrame, rows: list[tuple[str, int, str]]):
             if len(made):
                 made.make_automaton()
             always = next((i for i, r in enumerate(shared.value) if r[0] == ""), None)
-            kept = (name, made, always)
-            ahocorasick._kept_rules = kept
-        return kept[1], kept[2]
+            while kept and sum(len(k[0]) for k in kept.values()) + len(made) > most:
+                kept.pop(next(iter(kept)))
+            kept[name] = (made, always)
+        return kept[name]
 
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def find(texts: pa.Array) -> pa.Array:
         made, always = automaton()
-        rules, out = shared.value, []
-        for text in texts:
-            if text is None:
-                out.append((None, None))
-                continue
-            rank = min((r for _, r in made.iter(text)), default=None) if len(made) else None
-            if always is not None and (rank is None or always < rank):
-                rank = always
-            out.append((None, None) if rank is None else rules[rank][1:])
-        return pd.DataFrame(out, columns=["priority", "label"], dtype=object)
-
-    return F.pandas_udf(find, BEST)
+        rules, priorities, labels = shared.value, [], []
+        for at in range(0, len(texts), rows_at_once):
+            for text in texts.slice(at, rows_at_once).to_pylist():
+                rank = None
+                if text is not None:
+                    rank = min((r for _, r in made.iter(text)), default=None) if len(made) else None
+                    if always is not None and (rank is None or always < rank):
+                        rank = always
+                priorities.append(None if rank is None else rules[rank][1])
+                labels.append(None if rank is None else rules[rank][2])
+        return pa.StructArray.from_arrays([pa.array(priorities, pa.int64()), pa.array(labels, pa.string())], ["priority", "label"])
+
+    most, rows_at_once = KEYWORDS, TEXTS
+    return F.arrow_udf(find, BEST)

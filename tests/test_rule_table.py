@@ -2,9 +2,12 @@
 
 import random
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.functions.rules import INTENT_RULES
+from colloquy.operators import rule_table as table_of_rules
 from colloquy.operators.rule_table import rule_table, tag_by_table
 from colloquy.operators.tagging import tag_intent
 
@@ -59,3 +62,18 @@ def test_only_the_text_goes_to_python(spark):
     rows = spark.range(10).select("id", F.lit("pit").alias("message"))
     plan = tag_by_table(rows, rule_table(spark, INTENT_RULES))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_passes_take_turns_in_a_worker_without_making_automata_anew(spark, monkeypatch):
+    monkeypatch.setattr(table_of_rules, "TEXTS", 2)
+    rows = spark.createDataFrame([("x",)], "message STRING")
+    one = table_of_rules._finder(rows, [("ab", 2, "low"), ("abc", 1, None)]).func
+    two = table_of_rules._finder(rows, [("", 5, "always"), ("q", 3, "q")]).func
+    texts = pa.array(["xabcx", "ab", None, "", "q"])
+    ahocorasick.__dict__.pop("_kept_rules", None)
+    first = one(texts).to_pylist()
+    assert [tuple(r.values()) for r in first] == [(1, None), (2, "low"), (None, None), (None, None), (None, None)]
+    assert [tuple(r.values()) for r in two(texts).to_pylist()] == [(5, "always")] * 2 + [(None, None), (5, "always"), (3, "q")]
+    made = {k: v[0] for k, v in ahocorasick._kept_rules.items()}
+    assert one(texts).to_pylist() == first
+    assert len(made) == 2 and all(ahocorasick._kept_rules[k][0] is v for k, v in made.items())
