@@ -20,7 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.chunks import CHUNK, Chunks, assign, measure
+from colloquy.operators.chunks import CHUNK, Chunks, assign, measure, small, together
 
 START = "start"
 
@@ -89,9 +89,9 @@ def format_conversations(turns: DataFrame, template: Template = CHATML, max_rows
         ordered = named.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
         return ordered.mapInArrow(_formatter(template, False), FORMATTED)
     rows = assign(named, chunks)
-    entered = chunks.join_chunks(rows, _entry_states(rows, chunks, template))
+    entered = chunks.join_chunks(rows, small(_entry_states(rows, chunks, template), chunks))
     groups = chunks.groups(rows)
-    ordered = entered.repartition(*groups).sortWithinPartitions(*groups, *ORDER)
+    ordered = together(entered, *groups).sortWithinPartitions(*groups, *ORDER)
     return ordered.mapInArrow(_formatter(template, True), PLACED)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from colloquy.operators.chunks import CHUNK, Chunks, Fold, assign, locate, measure, scan
+from colloquy.operators.chunks import CHUNK, Chunks, Fold, assign, locate, measure, scan, small, together
 
 FOREVER = 2**63 - 1
 # Links of one key that one task follows; beyond that they are followed by doubling.
@@ -74,9 +74,9 @@ def admit_sends(
         return _with_forced(sends, rows, chunks, start, end, id, forced)
     if chunks.bounds is not None:
         entries = _entries(rows, chunks, start, end, id, max_rows, max_links)
-        rows = chunks.join_chunks(rows, entries)
+        rows = chunks.join_chunks(rows, small(entries, chunks))
     groups = chunks.groups(rows)
-    ordered = rows.repartition(*groups).sortWithinPartitions(*groups, start, id)
+    ordered = together(rows, *groups).sortWithinPartitions(*groups, start, id)
     schema = T.StructType([*sends.schema.fields, T.StructField("admitted", T.BooleanType())])
     return ordered.mapInArrow(_walker(sends.columns, groups, start, end), schema)
 
@@ -237,7 +237,7 @@ def _entries(
     )
     most = links.groupBy(key).count().agg(F.max("count")).first()[0]
     if most <= (MAX_LINKS if max_links is None else max_links):
-        ordered = links.repartition(key).sortWithinPartitions(key, "_from")
+        ordered = together(links, key).sortWithinPartitions(key, "_from")
         path = ordered.mapInArrow(_follower(key), links.schema)
     else:
         path = _on_node(chunks, links, _reachable(links, chunks))
@@ -409,7 +409,7 @@ def _from_states(rows: DataFrame, groups: list[str], enters: DataFrame | None, s
     if enters is not None:
         first = enters.withColumnsRenamed({"_key": groups[0], "_number": groups[1]})
         rows = rows.unionByName(first, allowMissingColumns=True)
-    return rows.repartition(*groups).sortWithinPartitions(*groups, F.col(start).asc_nulls_first(), id)
+    return together(rows, *groups).sortWithinPartitions(*groups, F.col(start).asc_nulls_first(), id)
 
 
 def _left_by_others(

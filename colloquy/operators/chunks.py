@@ -176,20 +176,30 @@ def locate(
         & (F.col("_from").isNull() | (at >= F.col("_from")))
         & (F.col("_to").isNull() | (at < F.col("_to")))
     )
-    near = rows.join(_small(coarse, chunks).withColumnRenamed("_stretch", "_part"), inside, "left")
+    near = rows.join(small(coarse, chunks).withColumnRenamed("_stretch", "_part"), inside, "left")
     inside = inside & (F.col("_part") == F.col("_stretch"))
     found = near.drop("_key", "_from", "_to").join(
-        _small(fine, chunks).withColumnRenamed(CHUNK, "_found"), inside, "left"
+        small(fine, chunks).withColumnRenamed(CHUNK, "_found"), inside, "left"
     )
     return found.withColumn(into, F.col("_found")).drop(
         "_key", "_from", "_to", "_part", "_stretch", "_found"
     )
 
 
-def _small(table: DataFrame, chunks: Chunks) -> DataFrame:
+def small(table: DataFrame, chunks: Chunks) -> DataFrame:
+    """A table with at most a row per chunk, broadcast if the counted chunks allow."""
     return F.broadcast(table) if chunks.size <= BROADCAST_ROWS else table
 
 
+def together(rows: DataFrame, *groups: str) -> DataFrame:
+    """Rows with each group in one partition, for a task that walks them.
+
+    By a hash of the groups and not by the groups themselves: Spark leaves out a shuffle that a join below has made
+    already, and may deal out the partitions of that join anew while it runs, as it knows of nothing that needs them.
+    """
+    return rows.repartition(F.xxhash64(*groups))
+
+
 def released(result: DataFrame, given: DataFrame) -> DataFrame:
     """Drop the chunk column unless the caller brought it."""
     return result if CHUNK in given.columns else result.drop(CHUNK)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import admission
+from colloquy.operators import admission, chunks
 from colloquy.operators.admission import admit_sends
 
 SCHEMA = "id BIGINT, key BIGINT, start BIGINT, end BIGINT"
@@ -74,6 +74,31 @@ def test_links_are_followed_either_way(spark, monkeypatch, name, links, unused):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("links", [None, 1], ids=["walk", "doubling"])
+def test_chunks_stay_whole_where_spark_splits_the_partitions_of_joins(spark, monkeypatch, links):
+    prefix = "spark.sql.adaptive."
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        prefix + "advisoryPartitionSizeInBytes": "1k",
+        prefix + "coalescePartitions.enabled": "false",
+        prefix + "skewJoin.skewedPartitionThresholdInBytes": "1k",
+        prefix + "skewJoin.skewedPartitionFactor": "1.01",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    rows = shape("random", 6000, random.Random(7))
+    sends = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        assert verdicts(admit_sends(sends, max_rows=500, max_links=links)) == brute_force(rows)
+        # The entries are joined by shuffle as well.
+        monkeypatch.setattr(chunks, "BROADCAST_ROWS", 0)
+        assert verdicts(admit_sends(sends, max_rows=500, max_links=links)) == brute_force(rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_a_cut_key_takes_few_jobs(spark):
     sends = spark.createDataFrame(shape("random", 1500, random.Random(2)), SCHEMA)
     tracker = spark.sparkContext.statusTracker()
