@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.sources.shared import shared_folder
 
 
+# Edges that a task of a round reads at least, but for the last one.
+TASK_EDGES = 20_000
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -38,6 +42,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not sums[0] or tuple(sums) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(sums)
+        # Few edges are not worth a task for each partition of the last shuffle.
+        now = now.coalesce(sums[0] // TASK_EDGES + 1)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A node that has smaller neighbours is not the smallest itself.
         least = _smallest(both).withColumn("m", F.least("u", "m"))

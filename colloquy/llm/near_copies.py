@@ -1,16 +1,18 @@
 """Near copies: texts whose sets of shingles have a Jaccard similarity of 4/5 or more, none left out.
 
 1.  Texts of equal sets are put together. A shingle counts by 64 bits of hash, a set is named by 64 bits of its hashes.
-2.  All sets are put in one order of shingles, rare ones first. Of two sets within the similarity, the first shingles,
+2.  Sets whose SimHash fingerprints differ in `radius` bits or fewer are candidates, by the exact comparison of `simhash`.
+    The similarity asked for is some ten bits wide, so what is further apart is found in another way.
+3.  All sets are put in one order of shingles, rare ones first. Of two sets within the similarity, the first shingles,
     a fifth of each set and one more, have one in common; so sets meet in a bucket for each of those.
-3.  A bucket is compared tile by tile by xor and bit counts of parity prints: bit b is whether an odd number of
+4.  A bucket is compared tile by tile by xor and bit counts of parity prints: bit b is whether an odd number of
     shingles fall on b, so two prints differ in at most as many bits as their sets in shingles. Pairs that differ in
     more than the similarity allows are no candidates; what is left is passed on as a spanning tree.
-4.  Sets that candidates lead to from one another are compared once more by prints of 4096 bits, as the narrow ones say
+5.  Sets that candidates lead to from one another are compared once more by prints of 4096 bits, as the narrow ones say
     little about long texts.
-5.  Sets that are still connected are read again, and compared by their shingles themselves.
+6.  Sets that are still connected are read again, and compared by their shingles themselves.
 
-Each step but the last only leaves out what cannot be similar. Which shingles are rare is estimated from a sample;
+Steps 3 to 5 only leave out what cannot be similar; the last one decides. Which shingles are rare is estimated from a sample;
 the order that comes of it is the same for all sets, and any order gives the same results.
 
 Defined results are those of `simhash`: null and empty texts are equal, a text of fewer words than a shingle is one
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.llm.batches import few_rows
 from colloquy.llm.components import components, forest
-from colloquy.llm.simhash import SEED
+from colloquy.llm.simhash import SEED, fingerprint, near_links
 from colloquy.operators.chunks import BROADCAST_ROWS
 from colloquy.sources.shared import new_folder, shared_folder
 
@@ -39,6 +41,8 @@ class Settings(NamedTuple):
     # The similarity as a fraction, so that it is exact.
     part: int = 4
     whole: int = 5
+    # Bits that SimHash fingerprints of candidates may differ in.
+    radius: int = 2
     # Sets of one side of a comparison of prints, and shingles of one side of a comparison of sets.
     tile: int = 4096
     shingles: int = 1 << 21
@@ -161,17 +165,19 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def _marked(keyed: DataFrame, s: Settings) -> DataFrame:
-    """(id, key, node, size, print): every row with the name, number of shingles and print of its set."""
+    """(id, key, node, size, print, fingerprint): every row with the name, number of shingles, print and SimHash fingerprint
+    of its set."""
     id = keyed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            nodes, sizes, prints = [], [], []
+            nodes, sizes, prints, bits = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, s.words)
                 nodes.append(_name(own))
                 sizes.append(len(own))
                 prints.append(parity(own).tobytes())
+                bits.append(fingerprint(own))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -179,11 +185,24 @@ def _marked(keyed: DataFrame, s: Settings) -> DataFrame:
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int32()),
                     pa.array(prints, pa.binary()),
+                    pa.array(np.array(bits, np.uint64).view(np.int64)),
                 ],
-                ["id", "key", "node", "size", "print"],
+                ["id", "key", "node", "size", "print", "fingerprint"],
             )
 
-    return keyed.select("id", "key", "text").mapInArrow(run, f"id {id}, key STRING, node BIGINT, size INT, print BINARY")
+    schema = f"id {id}, key STRING, node BIGINT, size INT, print BINARY, fingerprint BIGINT"
+    return keyed.select("id", "key", "text").mapInArrow(run, schema)
+
+
+def _simhash_links(marked: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): edges that connect all sets whose fingerprints are within the radius of each other."""
+    named = marked.groupBy("fingerprint").agg(F.min("node").alias("first")).checkpoint()
+    equal = marked.join(named, "fingerprint").where(F.col("node") != F.col("first"))
+    near = near_links(named.select("fingerprint"), s.radius)
+    one, other = (named.select(F.col("fingerprint").alias(f), F.col("first").alias(n)) for f, n in (("a", "x"), ("b", "y")))
+    return equal.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(
+        near.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
 
 
 def _first_shingles(keyed: DataFrame, s: Settings) -> DataFrame:
@@ -351,7 +370,8 @@ def keep_one(texts: DataFrame, id: str = "doc_id", text: str = "text", settings:
         roots = components(links)
         return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(chosen, "node").checkpoint()
 
-    members = members_of(_candidate_links(_first_shingles(keyed, s), unique, s))
+    found = _candidate_links(_first_shingles(keyed, s), unique, s)
+    members = members_of(found.unionByName(_simhash_links(marked, s)))
     members = members_of(_told_apart(members, keyed, s))
     links = components(_true_links(_with_texts(members, keyed), s))
     first = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))

@@ -35,6 +35,15 @@ TILE = 4096
 SMALL = 64
 
 
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """Bit by bit whether over half the hashes have it; zero of none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(">u8")[0]
+
+
 def fingerprint_values(texts: list[str | None], words: int = 3) -> np.ndarray:
     """Unsigned fingerprints; a word is what stands between ASCII white space, A to Z are lower-cased."""
     from xxhash import xxh64_intdigest
@@ -50,12 +59,7 @@ def fingerprint_values(texts: list[str | None], words: int = 3) -> np.ndarray:
         else:
             shingles = map(b" ".join, zip(*[found[k:] for k in range(words)]))
         n = max(1, len(found) - words + 1)
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, n, 1 << 16):
-            part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > n).view(">u8")[0]
+        out[i] = fingerprint(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
     return out
 
 

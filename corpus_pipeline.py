@@ -26,7 +26,8 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """The document of the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    Candidates are found by SimHash and, as that does not reach all, by rare shingles."""
     return near_copies.keep_one(docs)
 
 

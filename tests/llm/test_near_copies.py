@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from colloquy.llm import near_copies as n
+from colloquy.llm.simhash import fingerprint
 from test_simhash import plain_components
 
 
@@ -85,6 +86,24 @@ def test_given_documents_equal_brute_force(spark):
     assert len(pairs) == 14
 
 
+def test_simhash_finds_candidates_by_itself(spark, monkeypatch):
+    rows = made(3)
+    sets = [plain_set(t) for _, t in rows]
+    prints = [int(fingerprint(n.shingle_set(t, 5))) for _, t in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    found = plain_components(near, range(len(rows)))
+    _, pairs, _ = plain_kept(rows)
+    label = plain_components([(i, j) for i, j in pairs if found[i] == found[j]], range(len(rows)))
+    kept = {}
+    for i, (id, _) in enumerate(rows):
+        kept[label[i]] = min(kept.get(label[i], id), id)
+    monkeypatch.setattr(n, "_candidate_links", lambda first, unique, s: spark.createDataFrame([], "a BIGINT, b BIGINT"))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    assert sorted(r["doc_id"] for r in n.keep_one(docs).collect()) == sorted(kept.values())
+    assert any(sets[i] != sets[j] for i, j in near)
+    assert len(plain_kept(rows)[0]) < len(kept) < len(rows)
+
+
 def test_prints_never_differ_in_more_than_the_sets():
     dice = np.random.default_rng(3)
     for size in (1, 30, 400, 3000):
