@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.llm.batches import few_rows
+from colloquy.llm.batches import few_rows, many_rows
 from colloquy.llm.components import components, forest
 from colloquy.llm.simhash import SEED, fingerprint, near_links
 from colloquy.operators.chunks import BROADCAST_ROWS
@@ -265,7 +265,7 @@ def _compared(rows: DataFrame, s: Settings) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in many_rows(batches):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from colloquy.llm.batches import few_rows
+from colloquy.llm.batches import few_rows, give_back
 
 MARK = "▁"
 # Numbers of the model format, as in its public schema.
@@ -216,6 +216,12 @@ class Codec:
             self._compare(new, encoded)
         return [w for w in new if len(w) > CACHED_CHARS]
 
+    def forget(self) -> None:
+        """Lets the known words of a task go: the worker that keeps the codec does other work too."""
+        self.words.clear()
+        self.differ.clear()
+        give_back()
+
     def _compare(self, words: list[str], encoded: list[bytes]) -> None:
         """Notes the words that the reference library encodes otherwise."""
         plain = [w.replace(MARK, " ") if self.model.escape_spaces else w for w in words]
@@ -280,6 +286,7 @@ def encode(
                 back = [None if i is None else codec.decode(i.tolist()) == x for i, x in zip(ids, given)]
                 columns += [pa.array(bad, pa.int64()), pa.array(back, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names)
+        codec.forget()
 
     schema = T.StructType([*read.schema[:n], T.StructField(into, ENCODED)])
     if verify:
@@ -334,6 +341,7 @@ def encode_digests(texts: DataFrame, model: bytes, id: str = "doc_id", text: str
                 ],
                 [id, *schema.names[1:]],
             )
+        codec.forget()
 
     return read.mapInArrow(run, schema)
 

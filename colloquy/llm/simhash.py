@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from colloquy.llm.batches import few_rows
+from colloquy.llm.batches import few_rows, many_rows
 from colloquy.llm.components import components
 from colloquy.sources.shared import shared_folder
 
@@ -192,7 +192,7 @@ def near_links(unique: DataFrame, radius: int = 2, tile: int = TILE, count: int
             a, b = _links(np.cumsum(change), values, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
+        for batch in many_rows(batches):
             table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
             # The last group may go on in the next batch.
             last = len(table) - 1
