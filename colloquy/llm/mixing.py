@@ -81,7 +81,8 @@ def targets(weighted: DataFrame) -> DataFrame:
     total = weighted.agg(F.sum("source_size")).first()[0] or 0
     rest, shares, full = total, weighted.agg(F.sum("weight")).first()[0] or 1, 0
     while True:
-        share = F.lit(rest) * F.col("weight") / F.lit(shares)
+        # A bigint, as an int times an int weight overflows from two billions on.
+        share = F.expr(f"{rest}L") * F.col("weight") / F.lit(shares)
         over = share > limit
         now = weighted.agg(
             F.count_if(over), F.coalesce(F.sum(F.when(over, limit)), F.lit(0)), F.sum(F.when(~over, F.col("weight")))

@@ -129,3 +129,21 @@ def test_ranks_follow_code_points(spark):
     got = {r["source"]: r["weight"] for r in mixing.weights_in_turn(sources).collect()}
     order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
     assert got == {s: i % 3 + 1 for i, s in enumerate(order)}
+
+
+def test_words_times_weight_beyond_an_int(spark):
+    # 1.2 billion words are an int, three times as many are not.
+    rows = [(i, "abcd"[i % 4], 10_000_000 + i, i * 7919 % 120 << 53) for i in range(120)]
+    sizes = spark.createDataFrame(rows, "id LONG, source STRING, size LONG, hash LONG")
+    own = {s: sum(r[2] for r in rows if r[1] == s) for s in "abcd"}
+    assert sum(own.values()) < 2**31 < 3 * sum(own.values())
+    weighted = mixing.weights_in_turn(mixing.sources_of(sizes))
+    weights = {r["source"]: r["weight"] for r in weighted.collect()}
+    wanted = mixing.targets(weighted)
+    want = plain_targets(own, weights)
+    assert {r["source"]: r["target"] for r in wanted.collect()} == pytest.approx({s: float(t) for s, t in want.items()})
+    got = mixing.taken(sizes, mixing.thresholds(sizes, wanted)).collect()
+    assert len(got) == len(rows)
+    taken = {s: sum(r["size"] * r["repeats"] for r in got if r["source"] == s) for s in own}
+    # The document that was added last brings a source within half a document.
+    assert all(abs(taken[s] - want[s]) <= 5_000_120 for s in own)
